@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import output, saved, slices, table, texts
@@ -134,23 +134,35 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-class _Confirm:
-    """Keeps of candidate pairs those that full shingle sets link."""
+class _Compare:
+    """Holds candidate pairs (`a`, `b`) against each other."""
 
     def __init__(self, docs: DataFrame, sketches: DataFrame, text: str, size: int, percent: int):
         self.docs, self.text, self.size, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)), text, size, percent
         self.of = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        p, likely = self.percent, F.greatest(F.lit(0.0), F.lit(self.percent / 100 - MARGIN))
-        near = pairs.join(self.of("a"), "a").join(self.of("b"), "b")
-        near = near.filter(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")).filter(estimate(F.col("bits_a"), F.col("bits_b")) >= likely)
-        near = saved(near.select("a", "b").distinct(), "likely")
-        ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = saved(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.text, self.size), "node long, shingles array<long>"), "sets")
-        of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-        both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sum"))
-        return saved(both.filter(100 * F.col("common") >= p * (F.col("sum") - F.col("common"))).select("a", "b").distinct(), "confirmed")
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes allow and packed bits make likely."""
+        p, least = self.percent, max(0.0, self.percent / 100 - MARGIN)
+        near = pairs.join(self.of("a").hint("merge"), "a").join(self.of("b").hint("merge"), "b").filter(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+        return near.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b").distinct()
+
+    def full(self, pairs: DataFrame) -> DataFrame:
+        """For each pair: the sizes of both full sets, what is `common`, what b has `added` to a, and whether they are `linked`."""
+        pairs = saved(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = saved(self.docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(self.text, self.size), "node long, shingles array<long>"), "sets")
+        of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"), F.size("shingles").cast("long").alias(f"n_{c}"))
+        both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").withColumn("added", F.array_except("s_b", "s_a"))
+        both = both.select("a", "b", "n_a", "n_b", "added", (F.col("n_b") - F.size("added")).alias("common"))
+        return both.withColumn("linked", 100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        return saved(self.full(self.likely(pairs)).filter("linked").select("a", "b").distinct(), "confirmed")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -158,10 +170,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     Documents are linked whose sets of `size`-word shingles have 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable. Equal sets collapse to one node, its smallest doc_id, before anything else. Nodes that share a band
-    are candidates: first each with the smallest node of its band, so that a group of near copies gives one pair for each copy;
-    once these have made components, what is left of a band outside its largest component is held against the whole band, unless
-    both already are of one component. So no link that bands find between two components is lost, and no group gives all its pairs.
-    Candidates pass by the estimate from packed bits and are confirmed on full sets of 64-bit shingle hashes.
+    are candidates; an estimate from packed bits sorts out most that are unlike, full sets of 64-bit shingle hashes confirm.
+
+    No band gives all its pairs. First each node is held against the smallest of its band, the centre c. For two nodes x and y of
+    one centre, with A removed from and B added to c, |x & y| = |c| - |A_x| - |A_y| + |A_x & A_y| + |B_x & B_y|. As A_x & A_y is
+    within A_y, a link needs |B_x & B_y| >= need(x) + share * (|B_y| - |A_y|), where share = percent / (100 + percent) and need(x)
+    is how much x and c miss of a link. So x and y can only be linked if they have added a shingle in common, or if y has removed
+    so many more than it has added that the right side is not above 0. Those pairs alone are candidates, and only across
+    components: first each against the smallest of those that have an added shingle in common, then all that is left. Of what x has
+    added, a partner must have need(x) shingles, so x looks for it with its rarest ones, all but need(x) - 1. No link is lost by it.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: n_shingles given, component_id null, kept. Rows that share a
     doc_id are one document with several texts: links of each count. Other columns are not read. Empty table: empty.
@@ -170,29 +187,56 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     rows = saved(ids.mapInArrow(_sketch(text, size), "doc_id long, n_shingles long, key binary, bands array<long>, bits array<long>"), "sketches")
     full = rows.filter("key is not null and doc_id is not null")
     nodes = saved(full.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    sketches = saved(full.join(nodes.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]), "classes")
+    sketches = saved(full.join(nodes.select("key", F.col("node").alias("doc_id")).hint("merge"), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]), "classes")
 
-    several = full.join(nodes, "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b")
+    several = full.join(nodes.hint("merge"), "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b")
     same = several.select("a", F.explode("all").alias("b")).filter("a <> b")
 
     members = sketches.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    first = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
-    stars = members.join(first, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    confirm = _Confirm(docs, sketches, text, size, percent)
-    found = saved(confirm(stars).unionAll(same), "links")
-    label = saved(components(found), "components")
-
-    mixed = members.join(first.select("band"), "band").join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = saved(mixed, "shared")
-    parts = mixed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", "largest")
-    apart = mixed.join(largest, "band").filter("component <> largest").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = apart.join(mixed, "band").filter("cx <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    links = found.unionAll(confirm(saved(pairs, "pairs").join(stars, ["a", "b"], "left_anti")))
-    final = components(links)
+    centres = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
+    compare = _Compare(docs, sketches, text, size, percent)
+    stars = saved(compare.full(members.join(centres.hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct()), "stars")
+    links = saved(stars.filter("linked").select("a", "b").unionAll(same).distinct(), "links")
+
+    label = saved(components(links), "components")
+    around = _labelled(stars.select("a", F.col("b").alias("node"), "n_a", "n_b", "common", "added"), label)
+    own = _labelled(stars.select("a", F.col("a").alias("node")).distinct(), label)
+    mixed = around.select("a", "component").unionAll(own.select("a", "component")).groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+    around = saved(around.join(mixed, "a"), "around")
+    added = around.select("a", F.explode("added").alias("shingle"), "node")
+    heads = added.groupBy("a", "shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("a", "shingle", "head")
+    shared = saved(added.join(heads, ["a", "shingle"]), "shared")
+    mates = _labelled(shared.select("head", "node").distinct(), label).join(label.select(F.col("node").alias("head"), F.col("component").alias("of_head")), "head", "left")
+    mates = mates.filter(F.coalesce("of_head", "head") != F.col("component")).filter("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    links = saved(links.unionAll(compare.confirmed(mates)), "links")
+
+    label = saved(components(links), "components")
+    around = _labelled(around.drop("component"), label).withColumns({
+        "surplus": F.col("n_a") - F.col("n_b"), "extra": F.size("added").cast("long"),
+        "missing": F.lit(percent) * (F.col("n_a") + F.col("n_b")) - F.lit(100 + percent) * F.col("common"),
+    }).drop("added", "common", "n_a", "n_b")
+    parts = around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.max("surplus").alias("most"))
+    centre = parts.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("most").alias("most"))
+    around = saved(around.join(centre.hint("merge"), "a"), "around")
+    apart = around.filter("component <> largest").select("a", F.col("node").alias("x"), F.col("component").alias("other"), "missing", "most")
+
+    lacking = apart.withColumn("least", F.ceil(F.col("missing") / percent)).filter("least > 0 and least <= most").select("a", F.explode(F.sequence("least", "most")).alias("surplus"), "x", "other")
+    removed = lacking.join(around.select("a", "surplus", "node", "component"), ["a", "surplus"]).filter("other <> component")
+
+    counts = shared.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = F.row_number().over(Window.partitionBy("a", "x").orderBy("holders", "shingle"))
+    probes = shared.select("a", "shingle", F.col("node").alias("x")).join(apart, ["a", "x"]).join(counts, ["a", "shingle"])
+    need = F.greatest(F.lit(1), F.ceil((F.col("missing") - percent * F.col("most")) / (100 + percent)))
+    probes = probes.withColumn("place", rarest).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("a", "x"))).filter(F.col("place") <= F.col("all") - need + 1)
+    holders = shared.select("a", "shingle", "node").join(around.select("a", "node", "component", "surplus", "extra"), ["a", "node"])
+    enough = (100 + percent) * F.col("extra") >= F.col("missing") - percent * F.col("surplus")
+    mates = probes.select("a", "shingle", "x", "other", "missing").join(holders, ["a", "shingle"]).filter((F.col("other") != F.col("component")) & enough)
+    pair = [F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")]
+    rest = mates.select(*pair).distinct().unionAll(removed.select(*pair)).distinct()
+    final = components(links.unionAll(compare.confirmed(rest)))
 
     roots = nodes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "key").join(roots, "key", "left")
+    out = rows.select("doc_id", "n_shingles", "key").join(roots.hint("merge"), "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -200,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """`docs` without those of which a near-duplicate with a smaller doc_id stays."""
     dropped = near_duplicates(docs, size, percent, text).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
