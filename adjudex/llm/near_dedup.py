@@ -177,8 +177,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     within A_y, a link needs |B_x & B_y| >= need(x) + share * (|B_y| - |A_y|), where share = percent / (100 + percent) and need(x)
     is how much x and c miss of a link. So x and y can only be linked if they have added a shingle in common, or if y has removed
     so many more than it has added that the right side is not above 0. Those pairs alone are candidates, and only across
-    components: first each against the smallest of those that have an added shingle in common, then all that is left. Of what x has
-    added, a partner must have need(x) shingles, so x looks for it with its rarest ones, all but need(x) - 1. No link is lost by it.
+    components: first each against the smallest of those that have an added shingle in common, then all that is left. As many
+    shingles as they need in common, the two must have one among the rarest of each, all but need - 1 of them; only such pairs are
+    made. No link is lost by it.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: n_shingles given, component_id null, kept. Rows that share a
     doc_id are one document with several texts: links of each count. Other columns are not read. Empty table: empty.
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     label = saved(components(links), "components")
     around = _labelled(around.drop("component"), label).withColumns({
-        "surplus": F.col("n_a") - F.col("n_b"), "extra": F.size("added").cast("long"),
+        "surplus": F.col("n_a") - F.col("n_b"),
         "missing": F.lit(percent) * (F.col("n_a") + F.col("n_b")) - F.lit(100 + percent) * F.col("common"),
     }).drop("added", "common", "n_a", "n_b")
     parts = around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.max("surplus").alias("most"))
@@ -224,13 +225,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     removed = lacking.join(around.select("a", "surplus", "node", "component"), ["a", "surplus"]).filter("other <> component")
 
     counts = shared.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"))
-    rarest = F.row_number().over(Window.partitionBy("a", "x").orderBy("holders", "shingle"))
-    probes = shared.select("a", "shingle", F.col("node").alias("x")).join(apart, ["a", "x"]).join(counts, ["a", "shingle"])
-    need = F.greatest(F.lit(1), F.ceil((F.col("missing") - percent * F.col("most")) / (100 + percent)))
-    probes = probes.withColumn("place", rarest).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("a", "x"))).filter(F.col("place") <= F.col("all") - need + 1)
-    holders = shared.select("a", "shingle", "node").join(around.select("a", "node", "component", "surplus", "extra"), ["a", "node"])
-    enough = (100 + percent) * F.col("extra") >= F.col("missing") - percent * F.col("surplus")
-    mates = probes.select("a", "shingle", "x", "other", "missing").join(holders, ["a", "shingle"]).filter((F.col("other") != F.col("component")) & enough)
+    own = Window.partitionBy("a", "node")
+    ranked = shared.select("a", "shingle", "node").join(counts, ["a", "shingle"]).join(around.drop("most"), ["a", "node"])
+    ranked = saved(ranked.withColumn("place", F.row_number().over(own.orderBy("holders", "shingle"))).withColumn("all", F.count(F.lit(1)).over(own)), "ranked")
+    probes = ranked.filter("component <> largest").select("a", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "missing", "surplus", "place", "all")])
+    lack = lambda missing, surplus: F.ceil((F.col(missing) - percent * F.col(surplus)) / (100 + percent))
+    need = F.greatest(F.lit(1), lack("x_missing", "surplus"), lack("missing", "x_surplus"))
+    can = (F.col("x_place") <= F.col("x_all") - need + 1) & (F.col("place") <= F.col("all") - need + 1)
+    mates = probes.join(ranked.drop("largest", "holders"), ["a", "shingle"]).filter((F.col("x_component") != F.col("component")) & can).withColumnRenamed("x_node", "x")
     pair = [F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")]
     rest = mates.select(*pair).distinct().unionAll(removed.select(*pair)).distinct()
     final = components(links.unionAll(compare.confirmed(rest)))

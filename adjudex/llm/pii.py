@@ -31,7 +31,7 @@ TYPES = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "person": rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+    "person": rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])(?: \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])){{0,2}}",
 }
 #: Every entity begins where no letter or digit stands before it, so most places fail at once.
 PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(TYPES.values())})"

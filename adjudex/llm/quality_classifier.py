@@ -165,7 +165,7 @@ def _score(net):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            x = np.array(part.column("pooled").to_pylist(), dtype=np.float64).reshape(part.num_rows, -1)
+            x = np.array(part.column("pooled").to_pylist(), dtype=np.float64).reshape(part.num_rows, 2 * DIM + 1)
             scores = net.value.scores(x) if len(x) else np.empty(0)
             yield output({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}, schema)
 
@@ -188,7 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     pooled = saved(ids.mapInArrow(_pool(text, vectors), "doc_id long, pooled array<float>"), "pooled")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD)
     sample = pooled.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("pooled")).limit(most).toPandas()
-    x = np.array(sample["pooled"].tolist(), dtype=np.float64).reshape(len(sample), -1)
+    x = np.array(sample["pooled"].tolist(), dtype=np.float64).reshape(len(sample), 2 * DIM + 1)
     net = context.broadcast(fit(x, sample["label"].to_numpy(dtype=np.float64)))
     rows = pooled.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_FOLD)
     return rows.mapInArrow(_score(net), "doc_id long, held_out boolean, score double, predicted int")
