@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import probability as P
 from .functions import text as X
-from .operators import answers, calibration, corpus, detector, facts, metrics
+from .operators import answers, calibration, comparison, corpus, detector, facts, metrics
 from .streaming.events import windowed
 
 QUERIES, SQL = {}, {}
@@ -308,6 +308,69 @@ def threshold_sweep(spark, sf_dir):
     return detector.threshold_sweep(_predictions(spark, sf_dir), "expected", "p", (0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9))
 
 
+# --- comparisons -----------------------------------------------------------------------------------------------------------------
+
+
+_RELATIONS = _PRED.format("a") + """, r AS (SELECT a.doc_id AS left_doc_id, b.doc_id AS right_doc_id, CASE WHEN a.expected = b.expected THEN 'invariant' ELSE 'contrast' END AS kind,
+  a.correct AND b.correct AS both_correct, abs(a.p - b.p) AS total_variation, a.predicted = b.predicted AS same_prediction,
+  CASE WHEN a.expected = b.expected THEN abs(a.p - b.p) <= 0.05 END AS within_tolerance, CASE WHEN a.expected <> b.expected THEN (a.p > b.p) = (a.expected = 1) AND a.p <> b.p END AS direction_correct,
+  CASE WHEN a.expected <> b.expected THEN (a.p - b.p) * (CASE WHEN a.expected = 1 THEN 1 ELSE -1 END) END AS margin
+  FROM pred a JOIN pred b ON a.doc_id // 2 = b.doc_id // 2 AND a.doc_id < b.doc_id) """
+
+
+def _relations(spark, sf_dir):
+    """Neighbours by id are related: a pair with the same gold label is invariant."""
+    p = _predictions(spark, sf_dir)
+    ends = p.groupBy(F.floor(F.col("doc_id") / 2).alias("pair")).agg(F.min_by("doc_id", "doc_id").alias("left_doc_id"), F.max("doc_id").alias("right_doc_id"), F.min("expected").alias("lo"), F.max("expected").alias("hi"))
+    pairs = ends.filter("left_doc_id < right_doc_id").select("left_doc_id", "right_doc_id", F.when(F.col("lo") == F.col("hi"), "invariant").otherwise("contrast").alias("kind"))
+    return comparison.relation_metrics(pairs, p, ["doc_id"])
+
+
+@query(_RELATIONS + "SELECT * FROM r")
+def relation_metrics(spark, sf_dir):
+    return _relations(spark, sf_dir)
+
+
+@query(_RELATIONS + """SELECT kind, count(*) AS n, avg(both_correct::INTEGER) AS both_correct, avg(total_variation) AS total_variation, avg(same_prediction::INTEGER) AS same_prediction,
+  avg(within_tolerance::INTEGER) AS within_tolerance, avg(direction_correct::INTEGER) AS direction_correct, avg(margin) AS margin FROM r GROUP BY kind""")
+def relation_summary(spark, sf_dir):
+    return comparison.relation_summary(_relations(spark, sf_dir), ["kind"])
+
+
+@query(_PRED.format("a") + """, a AS (SELECT * FROM pred), b AS (WITH """ + _PRED.format("b")[5:] + """SELECT * FROM pred)
+  SELECT a.source, count_if(NOT a.correct AND b.correct)::BIGINT AS improved, count_if(a.correct AND NOT b.correct)::BIGINT AS regressed, count_if(a.correct AND b.correct)::BIGINT AS kept_right, count_if(NOT a.correct AND NOT b.correct)::BIGINT AS kept_wrong
+  FROM a JOIN b USING (doc_id) GROUP BY a.source""")
+def change_sets(spark, sf_dir):
+    return comparison.change_sets(_predictions(spark, sf_dir), _predictions(spark, sf_dir, "b"), ["doc_id"], ["source"])
+
+
+@query(_PRED.format("a") + """, c AS (SELECT source, doc_id // 4 AS family, bool_and(correct) AS ok FROM pred GROUP BY ALL) SELECT source, count(*) AS cases, count_if(ok)::BIGINT AS "right" FROM c GROUP BY source""")
+def whole_cases(spark, sf_dir):
+    p = _predictions(spark, sf_dir).withColumn("family", F.floor(F.col("doc_id") / 4))
+    return comparison.whole_cases(p, ["family"], ["source"])
+
+
+@query(_PRED.format("a") + """SELECT lang, threshold, count_if(max_probability >= threshold)::BIGINT AS covered, count_if(max_probability >= threshold) / count(*) AS coverage, count_if(max_probability >= threshold AND NOT correct)::BIGINT AS wrong,
+  count_if(max_probability >= threshold AND NOT correct) / nullif(count_if(max_probability >= threshold), 0) AS error FROM pred, (VALUES (0.9::DOUBLE), (0.95::DOUBLE)) t(threshold) GROUP BY lang, threshold""")
+def confidence_coverage(spark, sf_dir):
+    return comparison.confidence_coverage(_predictions(spark, sf_dir), ["lang"])
+
+
+@query(_PRED.format("a") + """, v AS (SELECT doc_id // 4 AS field, predicted, count(*) AS n FROM pred GROUP BY ALL)
+  SELECT field, sum(n)::BIGINT AS layouts, count(*) = 1 AS stable, sum(n * (n - 1) / 2) / nullif(sum(n) * (sum(n) - 1) / 2, 0) AS agreement FROM v GROUP BY field""")
+def layout_stability(spark, sf_dir):
+    return comparison.layout_stability(_predictions(spark, sf_dir).withColumn("field", F.floor(F.col("doc_id") / 4)), ["field"], "predicted")
+
+
+@query(_PRED.format("a") + """, j AS (SELECT source, CASE WHEN expected = 1 THEN 'GOOD' ELSE 'BAD' END AS label, CASE WHEN p > 0.5 THEN 'GOOD' ELSE 'BAD' END AS judged FROM pred)
+  SELECT source, count(*) AS n, avg((label = judged)::INTEGER) AS accuracy, count_if(label = 'BAD' AND judged = 'GOOD')::BIGINT AS misses, count_if(label = 'BAD')::BIGINT AS n_bad,
+  count_if(label = 'BAD' AND judged = 'GOOD') / nullif(count_if(label = 'BAD'), 0) AS miss, count_if(label = 'GOOD' AND judged = 'BAD')::BIGINT AS alarms, count_if(label = 'GOOD')::BIGINT AS n_good,
+  count_if(label = 'GOOD' AND judged = 'BAD') / nullif(count_if(label = 'GOOD'), 0) AS alarm FROM j GROUP BY source""")
+def judge_scores(spark, sf_dir):
+    word = lambda good: F.when(good, "GOOD").otherwise("BAD")
+    return comparison.judge_score(_predictions(spark, sf_dir).withColumns({"label": word(F.col("expected") == 1), "judged": word(F.col("p") > 0.5)}), ["source"])
+
+
 # --- facts -----------------------------------------------------------------------------------------------------------------------
 
 
