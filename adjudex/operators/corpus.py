@@ -113,3 +113,20 @@ def even_sample(n: Column, most: int) -> Column:
     """`most` places out of n, evenly, first and last among them; all if there are no more."""
     picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n - 1) / (most - 1) + 0.5).cast("int"))
     return F.when(n <= most, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"))).otherwise(picked)
+
+
+def first_per_category(cases: DataFrame, category: str, rank: Column) -> DataFrame:
+    """The row with the least `rank` of each category, picked by a minimum that is aggregated before it moves; a null rank is never picked."""
+    whole = F.struct(*[F.col(c) for c in cases.columns])
+    return cases.groupBy(category).agg(F.min_by(whole, rank).alias("__row")).filter("__row is not null").select("__row.*")
+
+
+def eligibility(values: DataFrame, feature: str = "feature", kind: str = "kind", value: str = "value") -> DataFrame:
+    """Which features can be learned: binary ones with two zeros and two ones at least, others with two distinct values. Nulls don't apply.
+
+    Distinct values are not gathered: a feature has two of them if its least and its greatest differ.
+    """
+    v = F.col(value)
+    rows = values.groupBy(feature, kind).agg(F.count(value).alias("applicable"), F.count_if(v == 0).alias("zeros"), F.count_if(v == 1).alias("ones"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    can = F.when(F.col(kind) == "binary", (F.col("zeros") >= 2) & (F.col("ones") >= 2)).otherwise(F.coalesce(F.col("minimum") < F.col("maximum"), F.lit(False)))
+    return rows.withColumn("eligible", can)

@@ -102,3 +102,11 @@ def paired_bootstrap(pairs: DataFrame, family: str, category: str, draws: int =
     drawn = each.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum(F.col("w") * F.col("n"))).alias("x"))
     point = fam.agg((F.sum("d") / F.sum("n")).alias("difference"))
     return drawn.agg(nearest_rank("x", 0.025).alias("low"), nearest_rank("x", 0.975).alias("high")).join(point)
+
+
+def unknown_rates(predictions: DataFrame, by: list[str], label: str = "unknown") -> DataFrame:
+    """How often the answer `label`, in any case, is gold, predicted and both; with recall and precision, null where there is nothing to count."""
+    is_it = lambda c: F.coalesce(F.lower(F.col(c)) == label, F.lit(False))
+    gold, said = F.count_if(is_it("expected")), F.count_if(is_it("predicted"))
+    both = F.count_if(is_it("expected") & is_it("predicted"))
+    return predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), gold.alias("gold"), said.alias("said"), both.alias("hits"), share(both, gold).alias("recall"), share(both, said).alias("precision"))

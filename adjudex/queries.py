@@ -139,6 +139,21 @@ def head_per_source(spark, sf_dir):
     return corpus.head_per_source(rows, "source", F.struct(F.sha2(F.col("id").cast("string"), 256), "id"), 5)
 
 
+@query("SELECT doc_id AS id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('pick:' || doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r = 1")
+def category_pick(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return corpus.first_per_category(rows, "lang", F.struct(F.sha2(F.concat(F.lit("pick:"), F.col("id").cast("string")), 256), "id"))
+
+
+@query("""WITH v AS (SELECT event_type AS feature, 'regression' AS kind, value FROM events UNION ALL SELECT 'high_' || event_type, 'binary', (value > 100)::INTEGER::DOUBLE FROM events),
+  g AS (SELECT feature, kind, count(value) AS applicable, count_if(value = 0)::BIGINT AS zeros, count_if(value = 1)::BIGINT AS ones, min(value) AS minimum, max(value) AS maximum, count(DISTINCT value) AS d FROM v GROUP BY ALL)
+  SELECT feature, kind, applicable, zeros, ones, minimum, maximum, CASE WHEN kind = 'binary' THEN zeros >= 2 AND ones >= 2 ELSE d >= 2 END AS eligible FROM g""")
+def feature_eligibility(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    both = F.array(F.struct(F.col("event_type").alias("feature"), F.lit("regression").alias("kind"), F.col("value").cast("double").alias("value")), F.struct(F.concat(F.lit("high_"), "event_type").alias("feature"), F.lit("binary").alias("kind"), (F.col("value") > 100).cast("double").alias("value")))
+    return corpus.eligibility(e.select(F.inline(both)))
+
+
 # --- predictions -----------------------------------------------------------------------------------------------------------------
 
 _PRED = """WITH h AS (SELECT doc_id, source, lang, quality AS expected, ('0x' || substr(sha256('{0}' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM labels JOIN documents USING (doc_id)),
@@ -371,6 +386,14 @@ def judge_scores(spark, sf_dir):
     return comparison.judge_score(_predictions(spark, sf_dir).withColumns({"label": word(F.col("expected") == 1), "judged": word(F.col("p") > 0.5)}), ["source"])
 
 
+@query(_PRED.format("a") + """, u AS (SELECT lang, expected = 0 AS g, predicted = 0 AS s FROM pred) SELECT lang, count(*) AS n, count_if(g)::BIGINT AS gold, count_if(s)::BIGINT AS said, count_if(g AND s)::BIGINT AS hits,
+  count_if(g AND s) / nullif(count_if(g), 0) AS recall, count_if(g AND s) / nullif(count_if(s), 0) AS precision FROM u GROUP BY lang""")
+def unknown_rates(spark, sf_dir):
+    word = lambda c, no: F.when(F.col(c) == 0, no).otherwise("known")
+    p = _predictions(spark, sf_dir)
+    return metrics.unknown_rates(p.select("lang", word("expected", "unknown").alias("expected"), word("predicted", "Unknown").alias("predicted")), ["lang"])
+
+
 # --- facts -----------------------------------------------------------------------------------------------------------------------
 
 

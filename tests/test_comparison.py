@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from adjudex.operators import comparison
+from adjudex.operators import comparison, corpus, metrics
 
 
 def rows(df):
@@ -43,3 +43,15 @@ def test_predictive_value(spark):
 def test_coverage_without_covered_rows(spark):
     p = spark.createDataFrame([("g", 0.92, False), ("g", 0.5, True)], "s string, max_probability double, correct boolean")
     assert rows(comparison.confidence_coverage(p, ["s"])) == [("g", 0.9, 1, 0.5, 1, 1.0), ("g", 0.95, 0, 0.0, 0, None)]
+
+
+def test_eligibility_and_picks(spark):
+    v = spark.createDataFrame([("a", "binary", 0.0), ("a", "binary", 0.0), ("a", "binary", 1.0), ("b", "number", 2.0), ("b", "number", None), ("c", "number", 2.0), ("c", "number", 3.0), ("d", "number", None)], "feature string, kind string, value double")
+    assert {r["feature"]: r["eligible"] for r in corpus.eligibility(v).collect()} == {"a": False, "b": False, "c": True, "d": False}
+    c = spark.createDataFrame([("x", 3), ("x", 1), ("y", None), (None, 5)], "category string, id int")
+    assert rows(corpus.first_per_category(c, "category", F.col("id"))) == [("x", 1), (None, 5)]
+
+
+def test_unknown_rates_of_nothing(spark):
+    p = spark.createDataFrame([("s", "Unknown", None), ("t", "a", "b")], "g string, expected string, predicted string")
+    assert rows(metrics.unknown_rates(p, ["g"])) == [("s", 1, 1, 0, 0, 0.0, None), ("t", 1, 0, 0, 0, None, None)]
