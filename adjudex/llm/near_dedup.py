@@ -176,8 +176,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     one centre, with A removed from and B added to c, |x & y| = |c| - |A_x| - |A_y| + |A_x & A_y| + |B_x & B_y|. As A_x & A_y is
     within A_y, a link needs |B_x & B_y| >= need(x) + share * (|B_y| - |A_y|), where share = percent / (100 + percent) and need(x)
     is how much x and c miss of a link. So x and y can only be linked if they have added a shingle in common, or if y has removed
-    so many more than it has added that the right side is not above 0. Those pairs alone are candidates, and only across
-    components: first each against the smallest of those that have an added shingle in common, then all that is left. As many
+    so many more than it has added that the right side is not above 0, and x likewise for y's need. Those pairs alone are
+    candidates, and only across components; a centre whose nodes are all of one component is done with, as it has itself been held
+    against each of them: first each against the smallest of those that have an added shingle in common, then all that is left. As many
     shingles as they need in common, the two must have one among the rarest of each, all but need - 1 of them; only such pairs are
     made. No link is lost by it.
 
@@ -201,8 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     label = saved(components(links), "components")
     around = _labelled(stars.select("a", F.col("b").alias("node"), "n_a", "n_b", "common", "added"), label)
-    own = _labelled(stars.select("a", F.col("a").alias("node")).distinct(), label)
-    mixed = around.select("a", "component").unionAll(own.select("a", "component")).groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+    mixed = around.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
     around = saved(around.join(mixed, "a"), "around")
     added = around.select("a", F.explode("added").alias("shingle"), "node")
     heads = added.groupBy("a", "shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("a", "shingle", "head")
@@ -217,12 +217,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         "missing": F.lit(percent) * (F.col("n_a") + F.col("n_b")) - F.lit(100 + percent) * F.col("common"),
     }).drop("added", "common", "n_a", "n_b")
     parts = around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.max("surplus").alias("most"))
-    centre = parts.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("most").alias("most"))
+    centre = parts.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("most").alias("most"), F.count(F.lit(1)).alias("parts"))
+    centre = centre.filter("parts > 1").drop("parts")
     around = saved(around.join(centre.hint("merge"), "a"), "around")
-    apart = around.filter("component <> largest").select("a", F.col("node").alias("x"), F.col("component").alias("other"), "missing", "most")
+    apart = around.filter("component <> largest").select("a", F.col("node").alias("x"), F.col("component").alias("other"), "missing", "most", F.col("surplus").alias("x_surplus"))
 
-    lacking = apart.withColumn("least", F.ceil(F.col("missing") / percent)).filter("least > 0 and least <= most").select("a", F.explode(F.sequence("least", "most")).alias("surplus"), "x", "other")
-    removed = lacking.join(around.select("a", "surplus", "node", "component"), ["a", "surplus"]).filter("other <> component")
+    lacking = apart.withColumn("least", F.ceil(F.col("missing") / percent)).filter("least > 0 and least <= most").select("a", F.explode(F.sequence("least", "most")).alias("surplus"), "x", "other", "x_surplus")
+    enough = F.col("missing") <= percent * F.col("x_surplus")
+    removed = lacking.join(around.select("a", "surplus", "node", "component", "missing"), ["a", "surplus"]).filter((F.col("other") != F.col("component")) & enough)
 
     counts = shared.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"))
     own = Window.partitionBy("a", "node")
