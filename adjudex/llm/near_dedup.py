@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     candidates, and only across components; a centre whose nodes are all of one component is done with, as it has itself been held
     against each of them: first each against the smallest of those that have an added shingle in common, then all that is left. As many
     shingles as they need in common, the two must have one among the rarest of each, all but need - 1 of them; only such pairs are
-    made. No link is lost by it.
+    made. A shingle that only nodes of one component have added counts for none of this. No link is lost by it.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: n_shingles given, component_id null, kept. Rows that share a
     doc_id are one document with several texts: links of each count. Other columns are not read. Empty table: empty.
@@ -204,9 +204,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     around = _labelled(stars.select("a", F.col("b").alias("node"), "n_a", "n_b", "common", "added"), label)
     mixed = around.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
     around = saved(around.join(mixed, "a"), "around")
-    added = around.select("a", F.explode("added").alias("shingle"), "node")
-    heads = added.groupBy("a", "shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("a", "shingle", "head")
-    shared = saved(added.join(heads, ["a", "shingle"]), "shared")
+    added = around.select("a", F.explode("added").alias("shingle"), "node", "component")
+    heads = added.groupBy("a", "shingle").agg(F.min("node").alias("head"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a", "shingle", "head")
+    shared = saved(added.drop("component").join(heads, ["a", "shingle"]), "shared")
     mates = _labelled(shared.select("head", "node").distinct(), label).join(label.select(F.col("node").alias("head"), F.col("component").alias("of_head")), "head", "left")
     mates = mates.filter(F.coalesce("of_head", "head") != F.col("component")).filter("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     links = saved(links.unionAll(compare.confirmed(mates)), "links")
