@@ -176,8 +176,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     one centre, with A removed from and B added to c, |x & y| = |c| - |A_x| - |A_y| + |A_x & A_y| + |B_x & B_y|. As A_x & A_y is
     within A_y, a link needs |B_x & B_y| >= need(x) + share * (|B_y| - |A_y|), where share = percent / (100 + percent) and need(x)
     is how much x and c miss of a link. So x and y can only be linked if they have added a shingle in common, or if y has removed
-    so many more than it has added that the right side is not above 0, and x likewise for y's need. Those pairs alone are
-    candidates, and only across components; a centre whose nodes are all of one component is done with, as it has itself been held
+    so many more than it has added that the right side is not above 0, and x likewise for y's need. A node that lacks something of a
+    link with c looks for those that have removed enough; where it is of the centre's largest component, those outside it that are
+    linked with c look for it, as they lack nothing and it does not look itself. Those pairs alone are candidates, and only across components; a centre whose nodes are all of one component is done with, as it has itself been held
     against each of them: first each against the smallest of those that have an added shingle in common, then all that is left. As many
     shingles as they need in common, the two must have one among the rarest of each, all but need - 1 of them; only such pairs are
     made. A shingle that only nodes of one component have added counts for none of this. No link is lost by it.
@@ -224,7 +225,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     lacking = apart.withColumn("least", F.ceil(F.col("missing") / percent)).filter("least > 0 and least <= most").select("a", F.explode(F.sequence("least", "most")).alias("surplus"), "x", "other", "x_surplus")
     enough = F.col("missing") <= percent * F.col("x_surplus")
-    removed = lacking.join(around.select("a", "surplus", "node", "component", "missing"), ["a", "surplus"]).filter((F.col("other") != F.col("component")) & enough)
+    removed = lacking.join(around.select("a", "surplus", "node", "component", "missing"), ["a", "surplus"]).filter((F.col("other") != F.col("component")) & enough).select("x", "node")
+
+    short = around.filter("component = largest and missing > 0").withColumn("least", F.ceil(F.col("missing") / percent)).select("a", "least", "node", "surplus")
+    bounds = short.groupBy("a").agg(F.min("least").alias("low"), F.max("least").alias("high"))
+    offered = apart.filter("missing <= 0").join(bounds.hint("merge"), "a").filter("x_surplus >= low")
+    offered = offered.select("a", F.explode(F.sequence("low", F.least("high", "x_surplus"))).alias("least"), "x", F.col("missing").alias("x_missing"))
+    removed = removed.unionAll(offered.join(short, ["a", "least"]).filter(F.col("x_missing") <= percent * F.col("surplus")).select("x", "node"))
 
     counts = shared.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"))
     own = Window.partitionBy("a", "node")
