@@ -64,37 +64,40 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def _lines_of(column: str, host: str):
-    schema = pa.schema([("line", pa.int64()), ("around", pa.int64())])
+def _lines_of(column: str, host: str, by: str):
+    schema = pa.schema([("line", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
-            lines, around = [], []
+            lines, places = [], []
             for h, text in zip(part.column(host).to_pylist(), texts(part, column), strict=True):
                 keys = line_keys(h, text)[1]
                 keys = keys[keys != 0]
                 if not len(keys):
                     continue
-                padded = np.concatenate(([0], keys, [0])).view(np.uint64)
-                near = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ padded[2:] * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
                 first = np.unique(keys, return_index=True)[1]
                 lines.append(keys[first])
-                around.append(near[first])
+                if by == "texts":
+                    places.append(np.full(len(first), xxhash.xxh3_64_intdigest(text), dtype=np.uint64).view(np.int64))
+                    continue
+                padded = np.concatenate(([0], keys, [0])).view(np.uint64)
+                near = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ padded[2:] * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+                places.append(near[first])
             if lines:
-                yield output({"line": np.concatenate(lines), "around": np.concatenate(around)}, schema)
+                yield output({"line": np.concatenate(lines), "place": np.concatenate(places)}, schema)
 
     return run
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS) -> DataFrame:
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, by: str = "texts") -> DataFrame:
     """`line`: keys of lines that more than `most` documents of their host have.
 
-    Each document names a line once, with the lines around its first place there; documents that agree on these too count as one,
-    so that copies of one document don't make all its lines boilerplate (near-dedup sees to copies). Both counts are aggregated
-    before they are shuffled. Over all documents, without a cap.
+    Each document names a line once. By "texts", documents of a host with the same whole text count as one, and no others. By
+    "contexts", those count as one that agree on the lines around the line's first place, as the SQL of op8 has it: it misses the
+    inner lines of blocks. Both counts are aggregated before they are shuffled. Over all documents, without a cap.
     """
-    named = docs.select(F.col(text), F.col(host).cast("string").alias(host)).mapInArrow(_lines_of(text, host), "line long, around long")
-    return named.groupBy("line", "around").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("documents")).filter(F.col("documents") > most).select("line")
+    named = docs.select(F.col(text), F.col(host).cast("string").alias(host)).mapInArrow(_lines_of(text, host, by), "line long, place long")
+    return named.groupBy("line", "place").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("documents")).filter(F.col("documents") > most).select("line")
 
 
 def _strip(schema: T.StructType, column: str, host: str, known):
@@ -136,19 +139,19 @@ def _figures(schema: T.StructType, column: str, least: float, min_words: int):
     return run
 
 
-def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, least: float = LEAST_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, least: float = LEAST_LEFT, min_words: int = MIN_WORDS, by: str = "texts") -> DataFrame:
     """`docs` with figures of each whole text, `clean_text` (without the lines above the limit), `n_words_left`, `base_failed` and `kept`.
 
     kept is false if base_failed (under `min_words` words, or more than half of them in repeated windows of three), or if less than
     `least` of the words is left. Keys of removed lines are broadcast up to LINES_PER_PASS; beyond it, passes take them in blocks.
 
     Null or empty text: no words, fails the base rule, clean_text empty. Null host: a host of its own. Repeated rows: each judged;
-    they count as one document for their lines. Columns named like the new ones are replaced. Empty table: empty.
+    they count as one document for their lines (`by`: see `frequent_lines`). Columns named like the new ones are replaced. Empty table: empty.
     """
     new = [f"{x}" for x in ("clean_text", "n_words_left", "base_failed", "kept")] + [x.split()[0] for x in _BASE.split(", ")]
     kept = [c for c in docs.columns if c.lower() not in new and not c.startswith("__")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"__host": F.col(host).cast("string"), "__gone": F.array().cast("array<int>")})
-    found = saved(frequent_lines(docs, text, host, most), "lines")
+    found = saved(frequent_lines(docs, text, host, most, by), "lines")
     passes = max(1, -(-found.count() // LINES_PER_PASS))
     for k in range(passes):
         block = found.filter(F.pmod(F.xxhash64("line"), F.lit(passes)) == k).toPandas()["line"].to_numpy(np.int64)
@@ -163,7 +166,7 @@ def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most:
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    judged = judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), by="contexts")
     return judged.select("doc_id", *[x.split()[0] for x in _BASE.split(", ")], "base_failed", "kept", "n_words_left")
 
 
