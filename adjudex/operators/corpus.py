@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import hash_unit
 
 
@@ -88,10 +89,43 @@ def leaked(cases: DataFrame, key: str, split: str = "split") -> DataFrame:
     return cases.groupBy(key).agg(F.count_distinct(split).alias("splits")).filter("splits > 1")
 
 
+#: A sentence with its end marks, closing quotes and the white space after, or what is left at the end.
+SENTENCE = r"[^.!?。！？]++(?:[.!?。！？]++[\"')\]]*+\s*+|\z)"
+
+
+def piece_sizes(block: Column, most: int = 300) -> Column:
+    """Word counts of a block's pieces: the block itself up to `most` words, else whole sentences packed greedily, a longer sentence in runs of `most`."""
+    none, n = F.expr("cast(array() as array<int>)"), X.count_words(block)
+
+    def flushed(s: Column) -> Column:
+        return F.when(X.count_words(s["open"]) > 0, F.concat(s["sizes"], F.array(X.count_words(s["open"])))).otherwise(s["sizes"])
+
+    def add(s: Column, sentence: Column) -> Column:
+        w = X.count_words(sentence)
+        runs = F.concat(F.array_repeat(F.lit(most), F.floor(w / most).cast("int")), F.when(w % most > 0, F.array((w % most).cast("int"))).otherwise(none))
+        full = X.count_words(s["open"]) + w > most
+        sizes = F.when(w > most, F.concat(flushed(s), runs)).when(full, flushed(s)).otherwise(s["sizes"])
+        open_ = F.when(w > most, F.lit("")).when(full, sentence).otherwise(F.concat(s["open"], sentence))
+        return F.struct(sizes.alias("sizes"), open_.alias("open"))
+
+    sentences = F.regexp_extract_all(F.regexp_replace(block, r"^\s+|\s+$", ""), F.lit(SENTENCE), F.lit(0))
+    split = F.aggregate(sentences, F.struct(none.alias("sizes"), F.lit("").alias("open")), add, flushed)
+    return F.when(n > most, split).when(n > 0, F.array(n)).otherwise(none)
+
+
+def pack_texts(blocks: Column, most: int = 300, least: int = 40) -> Column:
+    """As `pack_blocks`, from the blocks' texts; a block of more than `most` words is split first, and its pieces have its place."""
+    pieces = F.transform(blocks, lambda b, i: F.transform(piece_sizes(b, most), lambda w: F.struct(i.alias("i"), w.alias("w"))))
+    return _packed(F.flatten(pieces), most, least)
+
+
 def pack_blocks(sizes: Column, most: int = 300, least: int = 40) -> Column:
     """Greedy chunks of consecutive blocks, from their word counts: array of (first, last, words). A last chunk under `least` joins the one before."""
+    return _packed(F.filter(F.transform(sizes, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda b: b["w"] > 0), most, least)
+
+
+def _packed(blocks: Column, most: int, least: int) -> Column:
     empty = F.expr("cast(array() as array<struct<first:int,last:int,words:int>>)")
-    blocks = F.filter(F.transform(sizes, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda b: b["w"] > 0)
 
     def add(chunks: Column, b: Column) -> Column:
         fresh = F.struct(b["i"].cast("int").alias("first"), b["i"].cast("int").alias("last"), b["w"].cast("int").alias("words"))

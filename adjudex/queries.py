@@ -66,9 +66,8 @@ def page_paragraphs(spark, sf_dir):
 
 @query()
 def chunk_packing(spark, sf_dir):
-    """Lines of a text stand for its blocks."""
-    sizes = F.transform(F.split("text", "\n"), lambda b: X.count_words(b))
-    rows = read(spark, sf_dir, "documents").select("doc_id", corpus.pack_blocks(sizes).alias("chunks"))
+    """Lines of a text stand for its blocks; those over 300 words are split."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", corpus.pack_texts(F.split("text", "\n")).alias("chunks"))
     return rows.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.first", "c.last", "c.words")
 
 

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,31 @@ def test_chunk_packing(spark, sizes, words, spans):
     assert [c["words"] for c in got] == words and [(c["first"], c["last"]) for c in got] == spans
 
 
+def test_long_blocks_are_split(spark):
+    def pieces(text, most):
+        """The reference's splitLongBlock, in words."""
+        out, current = [], ""
+        if len(text.split()) <= most:
+            return [len(text.split())] if text.split() else []
+        for x in re.findall("[^.!?。！？]+[.!?。！？]+[\"')\\]]*\\s*|[^.!?。！？]+\\Z", text.strip()):
+            n = len(x.split())
+            if n > most or len(current.split()) + n > most:
+                out, current = [*out, len(current.split())], ""
+            if n > most:
+                out += [min(most, n - i) for i in range(0, n, most)]
+            else:
+                current += x
+        return [w for w in [*out, len(current.split())] if w]
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["w", "w ", "w w ", " ", ". ", "3.1 ", '!" ', "。", "?"]) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "w " * 500, ". " + "w " * 30]], "t string")
+    for r in rows.select("t", corpus.piece_sizes(F.col("t"), 7).alias("sizes")).collect():
+        assert r["sizes"] == pieces(r["t"], 7), r["t"]
+    chunks = one(spark, corpus.pack_texts(F.array(F.lit("a b"), F.lit(""), F.lit("w " * 700)), 300, 40))
+    assert [(c["first"], c["last"], c["words"]) for c in chunks] == [(0, 0, 2), (2, 2, 300), (2, 2, 300), (2, 2, 100)]
+
+
 def test_even_sample(spark):
     assert one(spark, corpus.even_sample(F.lit(10), 3)) == [0, 5, 9]
 
