@@ -11,6 +11,8 @@ from .common import free_name, saved, table
 
 # Titles by gender, syllables by script.
 MEN = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος")
+#: These tell no gender, so a given name after them has no ending.
+EITHER = ("Dr", "Prof", "Doctor", "Professor")
 WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία")
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"),
@@ -21,7 +23,7 @@ SYLLABLES = {
 LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ", "han": "安北成大方光海金林明南平清山文新"}
 ENDINGS = {"latin": ("an", "ina"), "cyrillic": ("ан", "ина"), "greek": ("αν", "ινα")}
 
-_TITLES = "|".join(sorted((*MEN, *WOMEN), key=len, reverse=True))
+_TITLES = "|".join(sorted((*MEN, *WOMEN, *EITHER), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 TYPES = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -33,8 +35,8 @@ TYPES = {
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "person": rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])(?: \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])){{0,2}}",
 }
-#: Every entity begins where no letter or digit stands before it, so most places fail at once.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(TYPES.values())})"
+#: Every entity but a secret begins where no letter or digit stands before it, so most places fail at once; a secret's name may have any prefix, which stays as it is.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(v for k, v in TYPES.items() if k != 'secret')})|{TYPES['secret']}"
 
 
 def _let(value: Column, then) -> Column:
@@ -97,14 +99,15 @@ def _person(value: Column, h: Column, attempt: Column) -> Column:
     """The same title, and for each name one of syllables of its script; a given name ends as the title's gender asks. Later attempts add syllables."""
     title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
     names = F.split(value.substr(F.length(title) + 1, F.length(value)), " ")
-    woman = F.regexp_replace(title, r"\.? $", "").isin(*WOMEN)
+    bare = F.regexp_replace(title, r"\.? $", "")
+    woman, either = bare.isin(*WOMEN), bare.isin(*EITHER)
 
     def name(n: Column, i: Column) -> Column:
         made = F.lit("")
         for script, syllables in SYLLABLES.items():
             table_ = F.array(*[F.lit(s) for s in syllables])
             parts = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(6)) + 2), lambda k: F.element_at(table_, F.conv(F.substring(h, 1 + i * 12 + k, F.lit(1)), 16, 10).cast("int") + 1))
-            ending = F.when((i == 0) & (F.size(names) > 1), F.when(woman, ENDINGS[script][1]).otherwise(ENDINGS[script][0])).otherwise("")
+            ending = F.when((i == 0) & (F.size(names) > 1) & ~either, F.when(woman, ENDINGS[script][1]).otherwise(ENDINGS[script][0])).otherwise("")
             is_script = {"cyrillic": n.rlike(r"^\p{IsCyrillic}"), "greek": n.rlike(r"^\p{IsGreek}")}.get(script, F.lit(True))
             word = F.initcap(F.concat(F.array_join(parts, ""), ending))
             made = F.when(is_script, word).otherwise(made) if script != "latin" else word
@@ -169,7 +172,7 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text
     """`docs` with every entity in `text` replaced, and `n_entities`.
 
     Types: e-mail, phone, IP address, payment card with a right check digit, US social security number, cloud key, secret after
-    token= and the like, person after a title. A surrogate follows from key, type and value alone, so that an entity has the same
+    token= and the like (whatever stands before that name), person after a title. A surrogate follows from key, type and value alone, so that an entity has the same
     one everywhere, and keeps format, script and a title's gender. Distinct entities keep distinct surrogates: all entities of the
     corpus, distinct and aggregated before they move, are checked for clashes; only texts with a changed surrogate meet a join, and
     if there are none no text is shuffled.

@@ -154,6 +154,14 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert "4111111111111112" in got and got.count("Mr. ") == 2 and got.split(",")[0] in got.split("; ")[1]
 
 
+def test_prefixed_secrets_and_neutral_titles(spark):
+    names = ("api_token=", "DB_PASSWORD=", "aws_secret = ", "accessToken: ", f"{'x' * 60}_pwd=", "my-app.api_key='")
+    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame([(i, f"a {n}abcdef0123456789' z") for i, n in enumerate(names)] + [(9, "Dr. Ann Lee, Prof Smith")], "doc_id long, text string")).collect()}
+    for i, n in enumerate(names):
+        assert got[i]["n_entities"] == 1 and got[i]["text"].startswith(f"a {n}") and "abcdef0123456789" not in got[i]["text"] and len(got[i]["text"]) == len(f"a {n}abcdef0123456789' z")
+    assert got[9]["n_entities"] == 2 and got[9]["text"].startswith("Dr. ") and "Prof " in got[9]["text"] and not {"Ann", "Lee", "Smith"} & set(got[9]["text"].replace(",", "").split())
+
+
 def test_clashing_surrogates_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
