@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.text import hash_unit
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes to the shared folder of spark.checkpoint.dir and reads back, so that loops don't grow a lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="adjudex-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/adjudex-core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before us
-        pass
+from .shared import saved
 
 
 def connected_groups(cases: DataFrame, case: str = "id", key: str = "key") -> DataFrame:
@@ -40,14 +16,14 @@ def connected_groups(cases: DataFrame, case: str = "id", key: str = "key") -> Da
     Each round gives every key its least root and every case its keys' least root, then follows roots of roots; minima are
     aggregated before they are shuffled and each round is written.
     """
-    pairs = written(cases.select(F.col(case).alias("id"), F.col(key).alias("key")).distinct())
-    label = written(pairs.groupBy("id").agg(F.min("id").alias("root")))
+    pairs = saved(cases.select(F.col(case).alias("id"), F.col(key).alias("key")).distinct())
+    label = saved(pairs.groupBy("id").agg(F.min("id").alias("root")))
     while True:
         by_key = pairs.join(label, "id").groupBy("key").agg(F.min("root").alias("least"))
         near = pairs.join(by_key, "key").groupBy("id").agg(F.min("least").alias("near"))
         up = label.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = up.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        new = written(up.join(jump, "root", "left").select("id", F.least("root", F.coalesce("further", "root")).alias("root"), "was"))
+        new = saved(up.join(jump, "root", "left").select("id", F.least("root", F.coalesce("further", "root")).alias("root"), "was"))
         if new.filter("root <> was").isEmpty():
             return new.select("id", "root")
         label = new.select("id", "root")
