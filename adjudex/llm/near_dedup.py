@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import output, saved, slices, table, texts
+from .common import discard, output, saved, slices, table, texts
 
 #: A pair at similarity 0.8 shares none of 36 bands of 5 with probability 6e-7.
 HASHES, BANDS, BAND_ROWS = 192, 36, 5
@@ -20,6 +20,9 @@ BITS = 4
 #: Estimates this far under the threshold (over five standard errors) are still confirmed on full sets.
 MARGIN = 0.2
 
+#: Members of a band to a deal; a centre with more of them gets as many deals as hold them.
+DEAL = 512
+
 _PIECE = 4096
 
 
@@ -124,45 +127,80 @@ def components(edges: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "parents")
-        if label is None:
-            label = up
-        else:
+        before, label = label, up
+        if before is not None:
             nxt = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            label = saved(label.join(nxt, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            label = saved(before.join(nxt, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
         pa_, pb = up.select(F.col("node").alias("a"), F.col("component").alias("x")), up.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        links = saved(links.join(pa_, "a").join(pb, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        used, links = links, saved(links.join(pa_, "a").join(pb, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(used, before, *([up] if label is not up else []))
     return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 class _Compare:
-    """Holds candidate pairs (`a`, `b`) against each other."""
+    """Holds pairs (`a`, `b`) against each other. The rows of a hot `a` are dealt by `deal`, and what belongs to `a` is sent once for each deal.
+
+    `hubs` has the number of deals of every `a` that has more than one.
+    """
+
+    def __init__(self, sketches: DataFrame, sets: DataFrame, hubs: DataFrame, percent: int):
+        self.sketches, self.sets, self.hubs, self.percent = sketches, sets, hubs, percent
 
-    def __init__(self, docs: DataFrame, sketches: DataFrame, text: str, size: int, percent: int):
-        self.docs, self.text, self.size, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)), text, size, percent
-        self.of = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    def dealt(self, of_a: DataFrame) -> DataFrame:
+        """`of_a`, unique by `a`, once for each deal of it."""
+        deals = of_a.join(self.hubs, "a", "left").withColumn("deals", F.coalesce("deals", F.lit(1).cast("long")))
+        return deals.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+
+    def with_both(self, pairs: DataFrame, table_: DataFrame, key: str, column: str) -> DataFrame:
+        """`pairs` (`a`, `b`, `deal`) with `column` of both ends."""
+        of = lambda end: table_.select(F.col(key).alias(end), F.col(column).alias(f"{column}_{end}"))
+        return pairs.join(self.dealt(of("a")).hint("merge"), ["a", "deal"]).join(of("b").hint("merge"), "b")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes allow and packed bits make likely."""
-        p, least = self.percent, max(0.0, self.percent / 100 - MARGIN)
-        near = pairs.join(self.of("a").hint("merge"), "a").join(self.of("b").hint("merge"), "b").filter(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-        return near.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b").distinct()
+        """Pairs that packed low bits make likely: those whose estimate is at most MARGIN under the threshold."""
+        near = self.with_both(pairs, self.sketches, "doc_id", "bits")
+        return near.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= max(0.0, self.percent / 100 - MARGIN)).drop("bits_a", "bits_b")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of likely pairs those that full sets confirm."""
+        both = self.with_both(self.likely(pairs), self.sets, "node", "shingles")
+        common, sizes = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a") + F.size("shingles_b")
+        return both.filter(100 * common >= self.percent * (sizes - common)).select("a", "b")
 
-    def full(self, pairs: DataFrame) -> DataFrame:
-        """For each pair: the sizes of both full sets, what is `common`, what b has `added` to a, and whether they are `linked`."""
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = saved(self.docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(self.text, self.size), "node long, shingles array<long>"), "sets")
-        of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"), F.size("shingles").cast("long").alias(f"n_{c}"))
-        both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").withColumn("added", F.array_except("s_b", "s_a"))
-        both = both.select("a", "b", "n_a", "n_b", "added", (F.col("n_b") - F.size("added")).alias("common"))
-        return both.withColumn("linked", 100 * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        return saved(self.full(self.likely(pairs)).filter("linked").select("a", "b").distinct(), "confirmed")
+def mates(around: DataFrame, compare: _Compare) -> DataFrame:
+    """Pairs of nodes around one centre, in different components, that can still be linked: `a`, `b`, `deal`.
 
+    `around` has rows (`a`, `b`, `deal`, `component` of b, `largest` component of a's rows). With D the symmetric difference of a
+    node's set and the centre's, two nodes x and y differ in |D_x| + |D_y| - 2 |D_x & D_y| shingles, and are linked if that is at
+    most share * (|x| + |y|), where share = (100 - percent) / (100 + percent). So D_x and D_y need a certain overlap; it is at
+    least 1 where one of the two is not linked with the centre, as holds for nodes of two components. Two sets with an overlap of
+    `need` have a shingle in common among the rarest of each, all but need - 1; only such pairs are made. A shingle that stands in
+    the differences of one component alone counts for none of this.
 
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    A node's least need over all partners cuts its list before the join: a partner of a linked node isn't linked with the centre,
+    so |D| - share * |x| of it is above share * |centre|; else it is at least -share * |centre|.
+    """
+    share, slack = (100 - compare.percent) / (100 + compare.percent), 1e-9
+    both = compare.with_both(around, compare.sets, "node", "shingles")
+    apart = F.concat(F.array_except("shingles_a", "shingles_b"), F.array_except("shingles_b", "shingles_a"))
+    rows = both.select("a", "b", "component", "largest", F.size("shingles_a").alias("n_a"), F.size("shingles_b").alias("n"), apart.alias("apart"))
+    rows = saved(rows.withColumn("d", F.size("apart")).withColumn("which", F.xxhash64("apart")), "apart")
+
+    each = rows.select(*[c for c in rows.columns if c != "apart"], F.explode("apart").alias("shingle"))
+    holders = each.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("a", "shingle", "holders")
+    own = Window.partitionBy("a", "b", "which")
+    ranked = each.join(holders, ["a", "shingle"]).withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "all": F.count(F.lit(1)).over(own)})
+    rest = F.when(F.col("d") <= share * (F.col("n") + F.col("n_a")), share * F.col("n_a")).otherwise(-share * F.col("n_a"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") - share * F.col("n") + rest) / 2 - slack))
+    ranked = saved(ranked.filter(F.col("place") <= F.col("all") - least + 1).drop("holders", "n_a", "which"), "ranked")
+
+    probes = ranked.filter("component <> largest").select("a", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("b", "component", "n", "d", "place", "all")])
+    need = F.ceil((F.col("x_d") + F.col("d") - share * (F.col("x_n") + F.col("n"))) / 2 - slack)
+    can = (F.col("x_place") <= F.col("x_all") - need + 1) & (F.col("place") <= F.col("all") - need + 1)
+    once = (F.col("component") == F.col("largest")) | (F.col("x_b") < F.col("b"))
+    met = probes.join(ranked, ["a", "shingle"]).filter((F.col("x_component") != F.col("component")) & once & can)
+    return met.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct().withColumn("deal", F.lit(0).cast("long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -170,24 +208,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     Documents are linked whose sets of `size`-word shingles have 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable. Equal sets collapse to one node, its smallest doc_id, before anything else. Nodes that share a band
-    are candidates; an estimate from packed bits sorts out most that are unlike, full sets of 64-bit shingle hashes confirm.
-
-    No band gives all its pairs. First each node is held against the smallest of its band, the centre c. For two nodes x and y of
-    one centre, with A removed from and B added to c, |x & y| = |c| - |A_x| - |A_y| + |A_x & A_y| + |B_x & B_y|. As A_x & A_y is
-    within A_y, a link needs |B_x & B_y| >= need(x) + share * (|B_y| - |A_y|), where share = percent / (100 + percent) and need(x)
-    is how much x and c miss of a link. So x and y can only be linked if they have added a shingle in common, or if y has removed
-    so many more than it has added that the right side is not above 0, and x likewise for y's need. A node that lacks something of a
-    link with c looks for those that have removed enough; where it is of the centre's largest component, those outside it that are
-    linked with c look for it, as they lack nothing and it does not look itself. Those pairs alone are candidates, and only across components; a centre whose nodes are all of one component is done with, as it has itself been held
-    against each of them: first each against the smallest of those that have an added shingle in common, then all that is left. As many
-    shingles as they need in common, the two must have one among the rarest of each, all but need - 1 of them; only such pairs are
-    made. A shingle that only nodes of one component have added counts for none of this. No link is lost by it.
-
-    Null or empty text: no shingles, linked with nothing. Null doc_id: n_shingles given, component_id null, kept. Rows that share a
-    doc_id are one document with several texts: links of each count. Other columns are not read. Empty table: empty.
+    are candidates; an estimate from packed bits sorts out those that are unlike, full sets of 64-bit shingle hashes confirm.
+
+    No band gives all its pairs. First each node is held against the smallest of its band, the centre, which joins nearly all
+    copies of a text. Nodes of one centre that are in different components after this meet by what they have changed of the
+    centre, see `mates`. No link between nodes of a band is lost by it.
+
+    Null or empty text: no shingles, linked with nothing. doc_id is read as a long; null, or no number: n_shingles given,
+    component_id null, kept. Rows that share a doc_id are one document with several texts: links of each count. Other columns,
+    whatever their names, are not read. Empty table: empty.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
-    rows = saved(ids.mapInArrow(_sketch(text, size), "doc_id long, n_shingles long, key binary, bands array<long>, bits array<long>"), "sketches")
+    ids = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = saved(ids.mapInArrow(_sketch("text", size), "doc_id long, n_shingles long, key binary, bands array<long>, bits array<long>"), "sketches")
     full = rows.filter("key is not null and doc_id is not null")
     nodes = saved(full.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     sketches = saved(full.join(nodes.select("key", F.col("node").alias("doc_id")).hint("merge"), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]), "classes")
@@ -195,67 +227,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     several = full.join(nodes.hint("merge"), "key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b")
     same = several.select("a", F.explode("all").alias("b")).filter("a <> b")
 
-    members = sketches.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    centres = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("band", "a")
-    compare = _Compare(docs, sketches, text, size, percent)
-    stars = saved(compare.full(members.join(centres.hint("merge"), "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct()), "stars")
-    links = saved(stars.filter("linked").select("a", "b").unionAll(same).distinct(), "links")
-
-    label = saved(components(links), "components")
-    around = _labelled(stars.select("a", F.col("b").alias("node"), "n_a", "n_b", "common", "added"), label)
-    mixed = around.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-    around = saved(around.join(mixed, "a"), "around")
-    added = around.select("a", F.explode("added").alias("shingle"), "node", "component")
-    heads = added.groupBy("a", "shingle").agg(F.min("node").alias("head"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a", "shingle", "head")
-    shared = saved(added.drop("component").join(heads, ["a", "shingle"]), "shared")
-    mates = _labelled(shared.select("head", "node").distinct(), label).join(label.select(F.col("node").alias("head"), F.col("component").alias("of_head")), "head", "left")
-    mates = mates.filter(F.coalesce("of_head", "head") != F.col("component")).filter("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-    links = saved(links.unionAll(compare.confirmed(mates)), "links")
-
-    label = saved(components(links), "components")
-    around = _labelled(around.drop("component"), label).withColumns({
-        "surplus": F.col("n_a") - F.col("n_b"),
-        "missing": F.lit(percent) * (F.col("n_a") + F.col("n_b")) - F.lit(100 + percent) * F.col("common"),
-    }).drop("added", "common", "n_a", "n_b")
-    parts = around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n"), F.max("surplus").alias("most"))
-    centre = parts.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("most").alias("most"), F.count(F.lit(1)).alias("parts"))
-    centre = centre.filter("parts > 1").drop("parts")
-    around = saved(around.join(centre.hint("merge"), "a"), "around")
-    apart = around.filter("component <> largest").select("a", F.col("node").alias("x"), F.col("component").alias("other"), "missing", "most", F.col("surplus").alias("x_surplus"))
-
-    lacking = apart.withColumn("least", F.ceil(F.col("missing") / percent)).filter("least > 0 and least <= most").select("a", F.explode(F.sequence("least", "most")).alias("surplus"), "x", "other", "x_surplus")
-    enough = F.col("missing") <= percent * F.col("x_surplus")
-    removed = lacking.join(around.select("a", "surplus", "node", "component", "missing"), ["a", "surplus"]).filter((F.col("other") != F.col("component")) & enough).select("x", "node")
-
-    short = around.filter("component = largest and missing > 0").withColumn("least", F.ceil(F.col("missing") / percent)).select("a", "least", "node", "surplus")
-    bounds = short.groupBy("a").agg(F.min("least").alias("low"), F.max("least").alias("high"))
-    offered = apart.filter("missing <= 0").join(bounds.hint("merge"), "a").filter("x_surplus >= low")
-    offered = offered.select("a", F.explode(F.sequence("low", F.least("high", "x_surplus"))).alias("least"), "x", F.col("missing").alias("x_missing"))
-    removed = removed.unionAll(offered.join(short, ["a", "least"]).filter(F.col("x_missing") <= percent * F.col("surplus")).select("x", "node"))
-
-    counts = shared.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"))
-    own = Window.partitionBy("a", "node")
-    ranked = shared.select("a", "shingle", "node").join(counts, ["a", "shingle"]).join(around.drop("most"), ["a", "node"])
-    ranked = saved(ranked.withColumn("place", F.row_number().over(own.orderBy("holders", "shingle"))).withColumn("all", F.count(F.lit(1)).over(own)), "ranked")
-    probes = ranked.filter("component <> largest").select("a", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "missing", "surplus", "place", "all")])
-    lack = lambda missing, surplus: F.ceil((F.col(missing) - percent * F.col(surplus)) / (100 + percent))
-    need = F.greatest(F.lit(1), lack("x_missing", "surplus"), lack("missing", "x_surplus"))
-    can = (F.col("x_place") <= F.col("x_all") - need + 1) & (F.col("place") <= F.col("all") - need + 1)
-    mates = probes.join(ranked.drop("largest", "holders"), ["a", "shingle"]).filter((F.col("x_component") != F.col("component")) & can).withColumnRenamed("x_node", "x")
-    pair = [F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")]
-    rest = mates.select(*pair).distinct().unionAll(removed.select(*pair)).distinct()
-    final = components(links.unionAll(compare.confirmed(rest)))
-
-    roots = nodes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "key").join(roots.hint("merge"), "key", "left")
+    members = sketches.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
+    centres = members.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("last"), F.count(F.lit(1)).alias("n")).filter("a <> last")
+    centres = saved(centres.select("band", "a", F.expr(f"1 + n div {DEAL}").alias("deals")), "centres")
+    hubs = saved(centres.groupBy("a").agg(F.max("deals").alias("deals")).filter("deals > 1"), "hubs")
+    stars = members.join(centres.hint("merge"), "band").filter("b <> a").groupBy("a", "b").agg(F.min(F.pmod(F.xxhash64("b"), "deals")).alias("deal"))
+    stars = saved(stars, "stars")
+    met = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
+    sets = saved(ids.join(met.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets("text", size), "node long, shingles array<long>"), "sets")
+    compare = _Compare(sketches, sets, hubs, percent)
+    label = components(compare.linked(stars).unionAll(same))
+
+    named = label.select(F.col("node").alias("b"), "component")
+    around = stars.join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    parts = around.groupBy("a", "component").agg(F.count(F.lit(1)).alias("of")).groupBy("a").agg(F.max_by("component", F.struct("of", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+    mixed = compare.dealt(parts.filter("parts > 1").drop("parts"))
+    more = compare.linked(mates(around.join(mixed, ["a", "deal"]), compare))
+    for end in ("a", "b"):
+        more = more.join(label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    roots = components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))
+
+    final = nodes.join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component")).join(roots, "component", "left")
+    final = final.select("key", F.coalesce("root", "component").alias("root"))
+    out = rows.select("doc_id", "n_shingles", "key").join(final.hint("merge"), "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """`docs` without those of which a near-duplicate with a smaller doc_id stays."""
+    """`docs` without those of which a near-duplicate with a smaller doc_id stays. All columns pass through.
+
+    Null or empty text and null doc_id: stay. Rows that share a doc_id go or stay together. Empty table: empty.
+    """
     dropped = near_duplicates(docs, size, percent, text).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), docs["doc_id"].try_cast("long") == dropped["doc_id"], "left_anti")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
