@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -48,3 +49,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session has ended before us
         pass
+
+
+#: Rows that one task may sort at once where only one row per group of a corpus remains.
+ONE_TASK = 1 << 20
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, or the same with underscores before it, so that it clashes with no column of `df`."""
+    have = {c.lower() for c in df.columns}
+    while wanted.lower() in have:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], spread: bool = True) -> DataFrame:
+    """`df` with a column for each of `sums`: its sum over the rows before, in `order`; 0 for the first.
+
+    Rows are dealt to tasks by ranges of `order`; each task sums its own, and one small table has what all ranges before sum to. Rows
+    alike in `order` lie in one range. Without `spread` one task does it all, which is for tables of a bounded number of rows.
+    """
+    before = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if not spread:
+        return df.withColumns({k: zero(F.sum(v).over(before(Window.partitionBy(F.lit(0))))) for k, v in sums.items()})
+    part = free_name(df, "part")
+    ranged = saved(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    offset = {k: free_name(df, f"{k}_offset") for k in sums}
+    parts = ranged.groupBy(part).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    inside = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(part, *[zero(F.sum(k).over(inside)).alias(offset[k]) for k in sums])
+    own = before(Window.partitionBy(part))
+    out = ranged.join(F.broadcast(parts), part).withColumns({k: zero(F.sum(v).over(own)) + F.col(offset[k]) for k, v in sums.items()})
+    return out.drop(part, *offset.values())
