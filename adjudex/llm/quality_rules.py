@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import output, saved, slices, table, texts
+from .common import free_name, output, saved, slices, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -21,8 +21,10 @@ MOST_DOCUMENTS = 20
 #: A document is rejected when less than this share of its words is left.
 LEAST_LEFT = 0.3
 MIN_WORDS = 50
-#: Removed lines that a pass broadcasts (8 bytes each); more of them take more passes.
-LINES_PER_PASS = 1 << 20
+#: Removed lines that are broadcast (8 bytes each); more of them go to the texts by joins.
+MOST_LINES = 1 << 20
+#: Deals of a line in that join.
+DEALS = 16
 
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -64,109 +66,116 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def _lines_of(column: str, host: str, by: str):
-    schema = pa.schema([("line", pa.int64()), ("place", pa.int64())])
+def _text_key(keys: np.ndarray) -> int:
+    """Of all lines of a text as normalised: texts alike but for case, digits and white space have one."""
+    return xxhash.xxh3_64_intdigest(keys[keys != 0].tobytes())
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _lines_of(column: str, host: str):
+    schema = pa.schema([("line", pa.int64()), ("document", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
-            lines, places = [], []
+            lines, documents = [], []
             for h, text in zip(part.column(host).to_pylist(), texts(part, column), strict=True):
                 keys = line_keys(h, text)[1]
-                keys = keys[keys != 0]
-                if not len(keys):
-                    continue
-                first = np.unique(keys, return_index=True)[1]
-                lines.append(keys[first])
-                if by == "texts":
-                    places.append(np.full(len(first), xxhash.xxh3_64_intdigest(text), dtype=np.uint64).view(np.int64))
-                    continue
-                padded = np.concatenate(([0], keys, [0])).view(np.uint64)
-                near = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ padded[2:] * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-                places.append(near[first])
-            if lines:
-                yield output({"line": np.concatenate(lines), "place": np.concatenate(places)}, schema)
+                own = np.unique(keys[keys != 0])
+                lines.append(own)
+                documents.append(np.full(len(own), _signed(_text_key(keys)), dtype=np.int64))
+            yield output({"line": np.concatenate(lines), "document": np.concatenate(documents)}, schema)
 
     return run
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, by: str = "texts") -> DataFrame:
-    """`line`: keys of lines that more than `most` documents of their host have.
+def lines_of(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(`line`, `document`): each line of a document once, both as keys; copies within a host count as one document."""
+    return docs.select(F.col(f"`{text}`"), F.col(f"`{host}`").cast("string").alias(f"{host}")).mapInArrow(_lines_of(text, host), "line long, document long").distinct()
+
 
-    Each document names a line once. By "texts", documents of a host with the same whole text count as one, and no others. By
-    "contexts", those count as one that agree on the lines around the line's first place, as the SQL of op8 has it: it misses the
-    inner lines of blocks. Both counts are aggregated before they are shuffled. Over all documents, without a cap.
+def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS) -> DataFrame:
+    """`line`: keys of lines that more than `most` distinct documents of their host have.
+
+    Documents of a host whose normalised lines agree are one. Both counts are aggregated before they are shuffled, and cover all
+    documents and lines.
     """
-    named = docs.select(F.col(text), F.col(host).cast("string").alias(host)).mapInArrow(_lines_of(text, host, by), "line long, place long")
-    return named.groupBy("line", "place").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("documents")).filter(F.col("documents") > most).select("line")
+    return lines_of(docs, text, host).groupBy("line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > most).select("line")
 
 
-def _strip(schema: T.StructType, column: str, host: str, known):
+def _judge(schema: T.StructType, column: str, host: str, gone: str | None, known, least: float, min_words: int):
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = np.sort(np.frombuffer(known.value, dtype=np.int64))
+        everywhere = np.sort(np.frombuffer(known.value, dtype=np.int64)) if known else None
         for part in slices(batches, column):
-            gone, left = [], []
-            for h, text, before in zip(part.column(host).to_pylist(), texts(part, column), part.column("__gone").to_pylist(), strict=True):
+            rows, left = [], []
+            own = part.column(gone).to_pylist() if gone else [None] * part.num_rows
+            for h, text, some in zip(part.column(host).to_pylist(), texts(part, column), own, strict=True):
                 lines, keys = line_keys(h, text)
+                listed = np.sort(np.array(some or [], dtype=np.int64)) if everywhere is None else everywhere
                 at = np.minimum(np.searchsorted(listed, keys), max(len(listed) - 1, 0))
                 out = (listed[at] == keys) & (keys != 0) if len(listed) else np.zeros(len(keys), dtype=bool)
-                out[np.array(before or [], dtype=np.int64)] = True
-                gone.append(np.flatnonzero(out).astype(np.int32))
-                left.append(b"\n".join(x for x, o in zip(lines, out, strict=True) if not o))
-            made = {
-                "__gone": pa.array([x.tolist() for x in gone], pa.list_(pa.int32())),
-                "__left": pa.array([x.decode("utf-8", "replace") for x in left], pa.string()),
-            }
-            yield pa.RecordBatch.from_arrays([made.get(n, part.column(n) if n in part.schema.names else None) for n in names], names=names)
-
-    return run
-
-
-def _figures(schema: T.StructType, column: str, least: float, min_words: int):
-    names = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
-            rows = [base_figures(x) for x in texts(part, column)]
-            n, chars, symbols, dup, repeat = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-            left = np.array([len(x.split()) for x in texts(part, "__left")], dtype=np.int64)
+                clean = b"\n".join(x for x, o in zip(lines, out.tolist(), strict=True) if not o)
+                rows.append((*base_figures(text), len(clean.split())))
+                left.append(clean.decode("utf-8", "replace"))
+            n, chars, symbols, dup, repeat, rest = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
             failed = (n < min_words) | (100 * repeat > 50 * n)
-            made = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_words_left": left, "base_failed": failed, "kept": ~failed & (left >= least * n)}
-            made = {k: pa.array(v) for k, v in made.items()} | {"clean_text": part.column("__left")}
-            yield pa.RecordBatch.from_arrays([made.get(x, part.column(x) if x in part.schema.names else None) for x in names], names=names)
+            made = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_words_left": rest, "base_failed": failed, "kept": ~failed & (rest >= least * n)}
+            made = {k: pa.array(v) for k, v in made.items()} | {"clean_text": pa.array(left, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[x] if x in made else part.column(x) for x in names], names=names)
 
     return run
 
 
-def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, least: float = LEAST_LEFT, min_words: int = MIN_WORDS, by: str = "texts") -> DataFrame:
+def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, least: float = LEAST_LEFT, min_words: int = MIN_WORDS, most_lines: int = MOST_LINES) -> DataFrame:
     """`docs` with figures of each whole text, `clean_text` (without the lines above the limit), `n_words_left`, `base_failed` and `kept`.
 
     kept is false if base_failed (under `min_words` words, or more than half of them in repeated windows of three), or if less than
-    `least` of the words is left. Keys of removed lines are broadcast up to LINES_PER_PASS; beyond it, passes take them in blocks.
+    `least` of the words is left. Up to `most_lines` removed lines are broadcast as keys of 8 bytes, and no text is shuffled. Where
+    there are more, each text gets its own removed lines by a join on the line, dealt DEALS times against hot lines, and one on
+    the text's key.
 
     Null or empty text: no words, fails the base rule, clean_text empty. Null host: a host of its own. Repeated rows: each judged;
-    they count as one document for their lines (`by`: see `frequent_lines`). Columns named like the new ones are replaced. Empty table: empty.
+    they count as one document for their lines. Columns named like the new ones are replaced, all others pass through. Empty
+    table: empty.
     """
-    new = [f"{x}" for x in ("clean_text", "n_words_left", "base_failed", "kept")] + [x.split()[0] for x in _BASE.split(", ")]
-    kept = [c for c in docs.columns if c.lower() not in new and not c.startswith("__")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"__host": F.col(host).cast("string"), "__gone": F.array().cast("array<int>")})
-    found = saved(frequent_lines(docs, text, host, most, by), "lines")
-    passes = max(1, -(-found.count() // LINES_PER_PASS))
-    for k in range(passes):
-        block = found.filter(F.pmod(F.xxhash64("line"), F.lit(passes)) == k).toPandas()["line"].to_numpy(np.int64)
-        known = docs.sparkSession.sparkContext.broadcast(block.tobytes())
-        schema = T.StructType([f for f in rows.schema.fields if f.name != "__left"] + [T.StructField("__left", T.StringType())])
-        rows = rows.mapInArrow(_strip(schema, text, "__host", known), schema)
-        if passes > 1:
-            rows = saved(rows, "stripped")
-    own = [f for f in rows.schema.fields if not f.name.startswith("__")]
-    schema = T.StructType(own + list(T.StructType.fromDDL(f"{_BASE}, n_words_left long, base_failed boolean, kept boolean, clean_text string")))
-    return rows.mapInArrow(_figures(schema, text, least, min_words), schema)
+    new = ["clean_text", "n_words_left", "base_failed", "kept"] + [x.split()[0] for x in _BASE.split(", ")]
+    kept = [c for c in docs.columns if c.lower() not in new]
+    name, document, gone = (free_name(docs, c) for c in ("host_name", "document", "gone"))
+    source = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{host}`").cast("string").alias("h"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{host}`").cast("string").alias(name))
+    if text not in kept:
+        raise ValueError(f"the text column cannot be named {text}")
+    found = saved(frequent_lines(source, "t", "h", most), "lines")
+    known = None
+    if found.count() <= most_lines:
+        known = docs.sparkSession.sparkContext.broadcast(found.toPandas()["line"].to_numpy(np.int64).tobytes())
+    else:
+        each = found.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+        pairs = lines_of(source, "t", "h").withColumn("deal", F.pmod("document", F.lit(DEALS)).cast("int"))
+        own = saved(pairs.join(each, ["line", "deal"]).groupBy(F.col("document").alias(document)).agg(F.collect_list("line").alias(gone)), "gone")
+        rows = rows.mapInArrow(_with_key(rows.schema, text, name, document), T.StructType([*rows.schema.fields, T.StructField(document, T.LongType())]))
+        rows = rows.join(own.hint("merge"), document, "left").drop(document)
+    out = T.StructType([f for f in rows.schema.fields if f.name not in (name, gone)] + list(T.StructType.fromDDL(f"{_BASE}, n_words_left long, base_failed boolean, kept boolean, clean_text string")))
+    return rows.mapInArrow(_judge(out, text, name, None if known else gone, known, least, min_words), out)
+
+
+def _with_key(schema: T.StructType, column: str, host: str, document: str):
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column):
+            keys = [_signed(_text_key(line_keys(h, t)[1])) for h, t in zip(part.column(host).to_pylist(), texts(part, column), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(keys, pa.int64())], names=[*names, document])
+
+    return run
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    judged = judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), by="contexts")
+    judged = judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", *[x.split()[0] for x in _BASE.split(", ")], "base_failed", "kept", "n_words_left")
 
 
@@ -175,8 +184,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 ln AS (SELECT r, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 lw AS (SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lws FROM ln),
 lk AS (SELECT r, source, i, raw, len(lws) AS n, regexp_replace(array_to_string(lws, ' '), '[0-9]', '0', 'g') AS line FROM lw WHERE len(lws) > 0),
-near AS (SELECT *, lag(line) OVER w AS prev, lead(line) OVER w AS next, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM lk WINDOW w AS (PARTITION BY r ORDER BY i)),
-freq AS (SELECT source, line FROM (SELECT DISTINCT source, line, prev, next FROM near WHERE nth = 1) GROUP BY source, line HAVING count(*) > 20),
+whole AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS document FROM lk GROUP BY r),
+freq AS (SELECT source, line FROM (SELECT DISTINCT source, line, document FROM lk JOIN whole USING (r)) GROUP BY source, line HAVING count(*) > 20),
 gone AS (SELECT r, sum(n) AS words FROM lk JOIN freq ON lk.line = freq.line AND lk.source IS NOT DISTINCT FROM freq.source GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n_dup FROM lk GROUP BY r),
 wd AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
