@@ -1,18 +1,21 @@
-"""Personal data replaced by keyed surrogates of the same type and format, in DataFrame functions only."""
+"""Personal data replaced by keyed surrogates of the same type and format, coreferent mentions alike, in DataFrame functions only."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, saved, table
+from .common import discard, free_name, saved, table
 
 # Titles by gender, syllables by script.
 MEN = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος")
 #: These tell no gender, so a given name after them has no ending.
 EITHER = ("Dr", "Prof", "Doctor", "Professor")
+#: After these two names or more are a person, of no known gender.
+CUES = ("my name is", "name", "contact", "contact person", "author", "signed", "regards", "best regards", "kind regards", "sincerely", "yours sincerely")
 WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία")
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"),
@@ -23,8 +26,15 @@ SYLLABLES = {
 LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ", "han": "安北成大方光海金林明南平清山文新"}
 ENDINGS = {"latin": ("an", "ina"), "cyrillic": ("ан", "ина"), "greek": ("αν", "ινα")}
 
+#: Country calling codes: 1 and 7, those of two digits, all others of three.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _TITLES = "|".join(sorted((*MEN, *WOMEN, *EITHER), key=len, reverse=True))
+_CUES = "|".join(sorted(CUES, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_NAME = r"\p{Lu}[\p{L}'’-]++(?![\p{N}_@])"
+#: What stands before a person's names: a title, or a cue.
+_LEAD = rf"(?:(?:{_TITLES})\.? |(?i:{_CUES})(?: ?[:,]| is)?\s{{1,3}}(?=\p{{Lu}}[\p{{L}}'’-]++ \p{{Lu}}))"
 TYPES = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?i:(?:token|secret|api_?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3})[\"']?[A-Za-z0-9_+/-]{12,}",
@@ -33,10 +43,13 @@ TYPES = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "person": rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])(?: \p{{Lu}}[\p{{L}}'-]++(?![\p{{N}}_@])){{0,2}}",
+    "person": rf"{_LEAD}{_NAME}(?: {_NAME}){{0,2}}",
 }
 #: Every entity but a secret begins where no letter or digit stands before it, so most places fail at once; a secret's name may have any prefix, which stays as it is.
 PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(v for k, v in TYPES.items() if k != 'secret')})|{TYPES['secret']}"
+#: A word that may be a name standing alone.
+ALONE = r"(?<![\p{L}\p{N}_@.])\p{Lu}[\p{L}'’-]++(?![\p{N}_@])"
+_OWNED = r"['’]s$"
 
 
 def _let(value: Column, then) -> Column:
@@ -44,20 +57,35 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _hash(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """128 hexadecimal digits from the key, the type, the value and the attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), value)
-    return F.concat(F.sha2(seed, 256), F.sha2(F.concat(F.lit("2|"), seed), 256))
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a text, as 64 hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytearray(x ^ 0x36 for x in raw)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytearray(x ^ 0x5C for x in raw)), F.unhex(inner)), 256)
+
+
+def _hash(key: str, norm: Column, attempt: Column) -> Column:
+    """128 hexadecimal digits from the key, the normal form with its type, and the attempt."""
+    seed = F.concat_ws("|", attempt.cast("string"), norm)
+    return F.concat(_hmac(key, F.concat(F.lit("1|"), seed)), _hmac(key, F.concat(F.lit("2|"), seed)))
 
 
 def _stretch(stream: Column, value: Column) -> Column:
     return F.rpad(stream, F.length(value), stream)
 
 
+def _digits(h: Column) -> Column:
+    return F.translate(h, "abcdef", "012345")
+
+
+def _only_digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
 def _like(value: Column, h: Column) -> Column:
     """A text of the same length, with a digit for a digit, and for a letter one of its case and script; other characters stay."""
-    digits = F.translate(h, "abcdef", "012345")
-    streams = [_stretch(digits, value).alias("digit"), *[_stretch(F.translate(h, "0123456789abcdef", x), value).alias(s) for s, x in LETTERS.items()]]
+    streams = [_stretch(_digits(h), value).alias("digit"), *[_stretch(F.translate(h, "0123456789abcdef", x), value).alias(s) for s, x in LETTERS.items()]]
 
     def fill(stream: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -71,6 +99,20 @@ def _like(value: Column, h: Column) -> Column:
     return _let(F.struct(*streams), fill)
 
 
+def _filled(value: Column, digits: Column) -> Column:
+    """`value` with its digits, from the right, replaced by those of `digits`."""
+    n, of = F.length(_only_digits(value)), lambda x: F.length(_only_digits(x))
+    skip = F.length(digits) - n
+    one = lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, skip + of(F.substring(value, F.lit(1), i + 1)), F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
+def _cased(value: Column, made: Column) -> Column:
+    """`made` with capitals where `value` has them."""
+    chars = F.zip_with(F.split(made, ""), F.split(value, ""), lambda m, c: F.when(c.rlike(r"^\p{Lu}$"), F.upper(m)).otherwise(m))
+    return F.when(F.length(made) == F.length(value), F.array_join(chars, "")).otherwise(made)
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Sum of the Luhn check over digits that stand before the check digit."""
     doubled = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
@@ -78,16 +120,15 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _payload(value: Column) -> tuple[Column, Column]:
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    digits = _only_digits(value)
     return digits.substr(F.lit(1), F.length(digits) - 1), digits.substr(F.length(digits), F.lit(1)).cast("int")
 
 
-def _card(value: Column, h: Column) -> Column:
-    """The same first digit, length and separators, and a right check digit."""
-    old, _ = _payload(value)
-    new = F.concat(F.substring(old, 1, 1), F.substring(F.translate(h, "abcdef", "012345"), F.lit(1), F.length(old) - 1))
-    whole = F.concat(new, ((10 - _luhn_sum(new) % 10) % 10).cast("string"))
-    return F.regexp_replace(whole, F.lit(r"(\d{4})(?=\d)"), F.concat(F.lit("$1"), F.regexp_extract(value, r"\d([ -])\d", 1)))
+def _card(digits: Column, h: Column) -> Column:
+    """The same first digit and length, and a right check digit."""
+    old, _ = _payload(digits)
+    new = F.concat(F.substring(old, 1, 1), F.substring(_digits(h), F.lit(1), F.length(old) - 1))
+    return F.concat(new, ((10 - _luhn_sum(new) % 10) % 10).cast("string"))
 
 
 def _ip(h: Column) -> Column:
@@ -95,109 +136,201 @@ def _ip(h: Column) -> Column:
     return F.concat_ws(".", (1 + byte(0) % 223).cast("string"), *[(byte(2 * i) % 256).cast("string") for i in range(1, 3)], (1 + byte(6) % 254).cast("string"))
 
 
-def _person(value: Column, h: Column, attempt: Column) -> Column:
-    """The same title, and for each name one of syllables of its script; a given name ends as the title's gender asks. Later attempts add syllables."""
-    title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
-    names = F.split(value.substr(F.length(title) + 1, F.length(value)), " ")
-    bare = F.regexp_replace(title, r"\.? $", "")
-    woman, either = bare.isin(*WOMEN), bare.isin(*EITHER)
+def _of_script(name: Column, of: dict[str, Column]) -> Column:
+    return F.when(name.rlike(r"^\p{IsCyrillic}"), of["cyrillic"]).when(name.rlike(r"^\p{IsGreek}"), of["greek"]).otherwise(of["latin"])
+
 
-    def name(n: Column, i: Column) -> Column:
-        made = F.lit("")
-        for script, syllables in SYLLABLES.items():
-            table_ = F.array(*[F.lit(s) for s in syllables])
-            parts = F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(6)) + 2), lambda k: F.element_at(table_, F.conv(F.substring(h, 1 + i * 12 + k, F.lit(1)), 16, 10).cast("int") + 1))
-            ending = F.when((i == 0) & (F.size(names) > 1) & ~either, F.when(woman, ENDINGS[script][1]).otherwise(ENDINGS[script][0])).otherwise("")
-            is_script = {"cyrillic": n.rlike(r"^\p{IsCyrillic}"), "greek": n.rlike(r"^\p{IsGreek}")}.get(script, F.lit(True))
-            word = F.initcap(F.concat(F.array_join(parts, ""), ending))
-            made = F.when(is_script, word).otherwise(made) if script != "latin" else word
-        return made
+def _stem(name: Column, h: Column, attempt: Column) -> Column:
+    """Syllables of the name's script, one more with every attempt. They end in a vowel, so a name with an ending is no other stem."""
+    count = F.least(attempt, F.lit(50)) + 2
 
-    return F.concat(title, F.array_join(F.transform(names, name), " "))
+    def of(syllables: tuple[str, ...]) -> Column:
+        table_ = F.array(*[F.lit(s) for s in syllables])
+        return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda k: F.element_at(table_, F.conv(F.substring(h, 1 + k, F.lit(1)), 16, 10).cast("int") + 1)), "")
+
+    return _of_script(name, {s: of(x) for s, x in SYLLABLES.items()})
 
 
 def kind_of(value: Column) -> Column:
     """The type of an entity; null for a number that is no card by its check digit."""
     payload, check = _payload(value)
     card = (_luhn_sum(payload) + check) % 10 == 0
-    found = F.when(value.rlike(rf"^(?:{_TITLES})\.? "), "person")
+    found = F.when(value.rlike(rf"^{_LEAD}\p{{Lu}}"), "person")
     found = found.when(value.contains("@"), "email").when(value.rlike(r"^AKIA[0-9A-Z]{16}$"), "key").when(value.rlike(r"[=:]"), "secret")
     found = found.when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
     return found.when(value.rlike(r"^(\+|\()|^\d{3}-\d{3}-\d{4}$"), "phone").when(card, "card")
 
 
-def surrogate(value: Column, key: str, attempt: Column) -> Column:
-    """What stands for an entity: the same for the same value, key and attempt. No entity: the value itself."""
-    tld, lead = F.regexp_extract(value, r"\.\p{L}+$", 0), F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']?", 0)
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    after = lambda lead_: value.substr(F.length(lead_) + 1, F.length(value))
-    secret = after(lead)
+def _secret_lead(value: Column) -> Column:
+    return F.regexp_extract(value, r"^[^=:]*[=:]\s*[\"']?", 0)
+
+
+def _person_lead(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^{_LEAD}", 0)
+
+
+def _after(value: Column, lead: Column) -> Column:
+    return value.substr(F.length(lead) + 1, F.length(value))
+
+
+def _name_norm(name: Column) -> Column:
+    return F.concat(F.lit("name|"), F.lower(F.regexp_replace(name, _OWNED, "")))
+
+
+def _names(value: Column) -> Column:
+    return F.split(_after(value, _person_lead(value)), " ")
+
+
+def norms(value: Column) -> Column:
+    """The normal forms of an entity, each led by its type: of a person one for each name, of others one. All spellings of one entity share them.
+
+    E-mail addresses in lower case; cards, phones and social security numbers by their digits, a phone with its calling code unless
+    that is 1; secrets without the name before them; names without title and possessive, in lower case. No entity: none.
+    """
+
+    def of(kind: Column) -> Column:
+        code = F.regexp_extract(value, CALLING_CODE, 0)
+        number = _only_digits(_after(value, code))
+        phone = F.when(code.isin("", "+1"), number).otherwise(F.concat(F.substring(code, 2, 3), F.lit(":"), number))
+        one = F.when(kind == "email", F.lower(value)).when(kind == "secret", _after(value, _secret_lead(value))).when(kind == "phone", phone)
+        one = one.when(kind.isin("card", "ssn"), _only_digits(value)).otherwise(value)
+        return F.when(kind == "person", F.transform(_names(value), _name_norm)).when(kind.isNotNull(), F.array(F.concat(kind, F.lit("|"), one))).otherwise(F.array().cast("array<string>"))
+
+    return _let(kind_of(value), of)
+
+
+def canonical(norm: Column, key: str, attempt: Column) -> Column:
+    """What stands for a normal form, as a normal form: it follows from key, normal form and attempt alone."""
 
     def by_kind(x: Column) -> Column:
-        h = x["hash"]
+        h, value = x["hash"], x["value"]
+        tld, code = F.regexp_extract(value, r"\.\p{L}+$", 0), F.regexp_extract(value, r"^\d+:", 0)
         made = {
             "email": F.concat(_like(value.substr(F.lit(1), F.length(value) - F.length(tld)), h), tld),
-            "key": F.concat(F.lit("AKIA"), _like(after(F.lit("AKIA")), h)),
-            "secret": F.concat(lead, F.when(secret.rlike("^[0-9a-f]+$"), _stretch(h, secret)).otherwise(_like(secret, h))),
+            "key": F.concat(F.lit("AKIA"), _like(_after(value, F.lit("AKIA")), h)),
+            "secret": F.when(value.rlike("^[0-9a-f]+$"), _stretch(h, value)).otherwise(_like(value, h)),
             "ssn": _like(value, h),
-            "phone": F.concat(code, _like(after(code), h)),
+            "phone": F.concat(code, _like(_after(value, code), h)),
             "ip": _ip(h),
             "card": _card(value, h),
-            "person": _person(value, h, attempt),
+            "name": _stem(value, h, attempt),
         }
-        return reduce(lambda out, k: F.when(x["kind"] == k, made[k]).otherwise(out), made, value)
+        return F.concat(x["kind"], F.lit("|"), reduce(lambda out, k: F.when(x["kind"] == k, made[k]).otherwise(out), made, value))
+
+    kind = F.substring_index(norm, "|", 1)
+    return _let(F.struct(kind.alias("kind"), _after(norm, F.concat(kind, F.lit("|"))).alias("value"), _hash(key, norm, attempt).alias("hash")), by_kind)
+
+
+def _bare(made: Column) -> Column:
+    return F.regexp_replace(made, r"(?s)^[^|]*\|", "")
+
+
+def _name(name: Column, ending: Column, stand) -> Column:
+    """A name's surrogate with the ending of a gender ('m', 'w' or ''), in capitals if the name is, with its possessive."""
+    ends = lambda k: _of_script(name, {s: F.lit(x[k]) for s, x in ENDINGS.items()})
+    made = F.concat(_bare(stand(_name_norm(name))), F.when(ending == "m", ends(0)).when(ending == "w", ends(1)).otherwise(""))
+    bare = F.regexp_replace(name, _OWNED, "")
+    return F.concat(F.when(bare.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made)), F.regexp_extract(name, _OWNED, 0))
+
 
-    return _let(kind_of(value), lambda kind: _let(F.struct(kind.alias("kind"), _hash(key, kind, value, attempt).alias("hash")), by_kind))
+def _given(value: Column) -> Column:
+    """The names of a person as structs (`name`, `ending`): a given name, which is one that others follow, has its title's gender."""
+    title = F.regexp_replace(_person_lead(value), r"\.? $", "")
+    gender = F.when(title.isin(*MEN), "m").when(title.isin(*WOMEN), "w").otherwise("")
+    return _let(_names(value), lambda names: F.transform(names, lambda n, i: F.struct(n.alias("name"), F.when((i == 0) & (F.size(names) > 1), gender).otherwise("").alias("ending"))))
 
 
-def changed_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """Of all distinct `entity` of the corpus, those whose first surrogate would clash, with one that doesn't (`entity`, `instead`).
+def surrogate(value: Column, stand) -> Column:
+    """What is written for an entity; `stand` gives the normal form that stands for one. No entity: the value itself."""
 
-    A clash is a surrogate that stands for two entities or is itself an entity of the corpus. Of those that clash, the first by code
-    point keeps it, unless it is an entity; the others take the next attempt, until none clashes.
+    def of(kind: Column) -> Column:
+        one = _let(F.get(norms(value), F.lit(0)), lambda n: _bare(stand(n)))
+        code = F.regexp_extract(value, CALLING_CODE, 0)
+        lead = _secret_lead(value)
+        person = F.concat(_person_lead(value), F.array_join(F.transform(_given(value), lambda n: _name(n["name"], n["ending"], stand)), " "))
+        said = F.when(kind == "person", person).when(kind == "email", _cased(value, one)).when(kind == "secret", F.concat(lead, one))
+        said = said.when(kind == "phone", F.concat(code, _let(F.regexp_replace(one, r"^\d+:", ""), lambda d: _filled(_after(value, code), d))))
+        return said.when(kind.isin("card", "ssn"), _let(one, lambda d: _filled(value, d))).when(kind.isNotNull(), one).otherwise(value)
+
+    return _let(kind_of(value), of)
+
+
+def changed_surrogates(found: DataFrame, key: str) -> DataFrame:
+    """Of all distinct normal forms of the corpus (`norm`), those whose first surrogate would clash, with an `attempt` that doesn't.
+
+    A clash is a surrogate that stands for two of them or is itself one of the corpus. Of those that clash, the first by code point
+    keeps it, unless it is one of the corpus; the others take the next attempt, until none clashes.
     """
-    real = entities.select(F.col("entity").alias("made"), F.lit(True).alias("real"))
-    state = entities.select("entity", F.lit(0).alias("attempt"))
+    real = found.select(F.col("norm").alias("made"), F.lit(True).alias("real"))
+    state, last = found.select("norm", F.lit(0).alias("attempt")), None
     while True:
-        made = state.withColumn("made", surrogate(F.col("entity"), key, F.col("attempt")))
-        first = made.groupBy("made").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
-        hit = first.join(real, "made", "left").filter("n > 1 or real").select("made", F.when(F.col("real").isNull(), F.col("first.entity")).alias("keeps"))
+        made = state.withColumn("made", canonical(F.col("norm"), key, F.col("attempt")))
+        first = made.groupBy("made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
+        hit = first.join(real, "made", "left").filter("n > 1 or real").select("made", F.when(F.col("real").isNull(), F.col("first.norm")).alias("keeps"))
         if hit.isEmpty():
-            return made.filter("attempt > 0").select("entity", F.col("made").alias("instead"))
-        again = F.col("hit") & (F.col("keeps").isNull() | (F.col("keeps") != F.col("entity")))
-        state = saved(made.join(hit.withColumn("hit", F.lit(True)), "made", "left").select("entity", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt")), "attempts")
+            return state.filter("attempt > 0")
+        again = F.col("hit") & (F.col("keeps").isNull() | (F.col("keeps") != F.col("norm")))
+        state = saved(made.join(hit.withColumn("hit", F.lit(True)), "made", "left").select("norm", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt")), "attempts")
+        discard(last)
+        last = state
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """`docs` with every entity in `text` replaced, and `n_entities`.
 
     Types: e-mail, phone, IP address, payment card with a right check digit, US social security number, cloud key, secret after
-    token= and the like (whatever stands before that name), person after a title. A surrogate follows from key, type and value alone, so that an entity has the same
-    one everywhere, and keeps format, script and a title's gender. Distinct entities keep distinct surrogates: all entities of the
-    corpus, distinct and aggregated before they move, are checked for clashes; only texts with a changed surrogate meet a join, and
-    if there are none no text is shuffled.
+    token= and the like (whatever stands before that name), person after a title or a cue such as "my name is". A surrogate follows
+    from `key`, by HMAC, and from type and normal form alone (`norms`), so that an entity has the same one everywhere and in all its
+    spellings, each of which keeps its own format, script and case. A person's names have a surrogate each; a given name carries the
+    title's gender. Names found so are also replaced where they stand alone in the same text, but for those of under three letters
+    and those that the text also has in lower case.
+
+    Distinct normal forms keep distinct surrogates: all of the corpus, distinct and aggregated before they move, are checked for
+    clashes; only texts with a changed surrogate meet a join, and if there are none no text is shuffled. Keep `key` secret: who has
+    it can try all numbers. It stands in the plan, as literals do.
 
     Null text: stays null, n_entities 0. Empty text: empty. Repeated rows: each replaced alike. Other columns pass through, but a
     column n_entities is replaced. Empty table: empty.
     """
+    if not key:
+        raise ValueError("the key is empty")
     kept = [c for c in docs.columns if c.lower() != "n_entities"]
-    found, digest, instead = (free_name(docs, c) for c in ("__found", "__digest", "__instead"))
-    t, all_found = F.col(f"`{text}`"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))
-    entities = saved(docs.select(F.explode(all_found).alias("entity")).distinct().filter(kind_of(F.col("entity")).isNotNull()), "entities")
-    changed = changed_surrogates(entities, key)
-    rows, zero = docs.select(*[F.col(f"`{c}`") for c in kept], all_found.alias(found)), F.lit(0)
-    stand = lambda e: surrogate(e, key, zero)
+    found, digest, instead, names = (free_name(docs, c) for c in ("found", "digest", "instead", "names"))
+    t = F.col(f"`{text}`")
+    all_found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
+    each = docs.select(F.explode(all_found).alias("entity")).distinct().select(F.explode(norms(F.col("entity"))).alias("norm")).distinct()
+    changed = changed_surrogates(saved(each, "entities"), key)
+    rows, attempt = docs.select(*[F.col(f"`{c}`") for c in kept], all_found.alias(found)), lambda n: F.lit(0)
     if not changed.isEmpty():
         rows = rows.withColumn(digest, F.sha2(t, 256))
-        each = rows.select(digest, F.explode(found).alias("entity")).distinct()
-        maps = each.join(changed, "entity").groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("entity", "instead"))).alias(instead))
+        each = rows.filter(F.size(found) > 0).select(digest, F.explode(F.flatten(F.transform(found, norms))).alias("norm")).distinct()
+        maps = each.join(changed, "norm").groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(instead))
         rows = rows.join(maps, digest, "left")
-        stand = lambda e: F.coalesce(F.element_at(F.col(instead), e), surrogate(e, key, zero))
-    pieces = F.zip_with(F.split(t, PATTERN, -1), F.col(found), lambda gap, e: F.when(e.isNull(), gap).otherwise(F.concat(gap, stand(e))))
+        attempt = lambda n: F.coalesce(F.try_element_at(F.col(instead), n), F.lit(0))
+    stand = lambda n: canonical(n, key, attempt(n))
+
+    persons = F.filter(found, lambda e: e.rlike(rf"^{_LEAD}\p{{Lu}}"))
+    short = lambda n: F.regexp_replace(n["name"], _OWNED, "")
+    in_lower = lambda n: F.regexp_like(t, F.concat(F.lit(r"(?<!\p{L})"), F.lower(short(n)), F.lit(r"(?!\p{L})")))
+    rows = rows.withColumn(names, F.when(F.size(persons) > 0, F.filter(F.flatten(F.transform(persons, _given)), lambda n: (F.length(short(n)) > 2) & ~in_lower(n))))
+
+    def alone(word: Column) -> Column:
+        same = F.get(F.filter(names, lambda n: _name_norm(n["name"]) == _name_norm(word)), F.lit(0))
+        return _let(same, lambda n: F.when(n.isNull(), word).otherwise(_name(word, n["ending"], stand)))
+
+    def without_names(gap: Column) -> Column:
+        words = F.zip_with(F.split(gap, ALONE, -1), F.regexp_extract_all(gap, F.lit(ALONE), F.lit(0)), lambda g, w: F.when(w.isNull(), g).otherwise(F.concat(g, alone(w))))
+        return F.when(F.size(F.col(names)) > 0, F.array_join(words, "")).otherwise(gap)
+
+    pieces = F.zip_with(F.split(t, PATTERN, -1), F.col(found), lambda gap, e: _let(without_names(gap), lambda g: F.when(e.isNull(), g).otherwise(F.concat(g, surrogate(e, stand)))))
     swapped = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(t)
-    count = F.coalesce(F.size(F.filter(found, lambda e: kind_of(e).isNotNull())), zero)
-    return rows.select(*[swapped.alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.greatest(count, zero).cast("long").alias("n_entities"))
+    count = F.coalesce(F.size(F.filter(found, lambda e: kind_of(e).isNotNull())), F.lit(0))
+    return rows.select(*[swapped.alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.greatest(count, F.lit(0)).cast("long").alias("n_entities"))
+
+
+#: Stands in, in the query, for a key that its users keep to themselves.
+QUERY_KEY = "key of the query, no secret"
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
