@@ -1,4 +1,4 @@
-"""Token counts of byte-level BPE by finite-state machines: one cuts texts into pieces, one counts the tokens of a piece."""
+"""Token counts of byte-level BPE by finite-state machines: one cuts texts into pieces, one counts the tokens of pieces, both in chunks."""
 
 from __future__ import annotations
 
@@ -17,8 +17,12 @@ from .common import slices, table, texts
 LIMIT = 1024
 #: Characters in a chunk of the parallel scan.
 CHUNK = 512
-#: Pieces whose counts a worker remembers.
-MOST_PIECES = 1 << 19
+#: States at which the machine that counts tokens is built anew.
+MOST_STATES = 1 << 18
+#: The rank of pairs that don't merge; what stands for the last merge of a single byte.
+NEVER, _BYTE = 1 << 30, (-1, b"", b"")
+#: Bytes of text that are run at a time.
+RUN = 1 << 22
 
 # Classes of characters. The letters apart are those of 's 't 'm 'd 're 've 'll.
 LETTER, CLOSER, R, V, ELL, E, NUMBER, OTHER, QUOTE, SPACE, BLANK, END, STAY, UNSEEN = range(14)
@@ -126,65 +130,169 @@ def cuts(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-class PieceCounter:
-    """Counts the BPE tokens of a piece from left to right.
+class Machine:
+    """The transducer that counts BPE tokens byte by byte, built from merges as far as texts ask for it.
 
-    A state is a prefix of a piece. What BPE makes of a prefix ends in one token, fixed by what it makes of the shorter prefixes:
-    the only token that is a suffix of the prefix and that merges keep apart from the last token before it. So the transition on a
-    byte emits a difference of counts, and the last state's sum is the piece's count. Pairs of tokens that stay apart are found by
-    the merge ranks once and kept.
+    Having read a prefix of a piece, what BPE makes of it ends in one token, fixed by what it makes of the shorter prefixes: the
+    longest vocabulary token that is a suffix of the prefix and that merges keep apart from the last token before it. So a state
+    holds, for every place from which a token may still reach beyond the prefix, the last token before that place and how many tokens
+    lie behind it, seen from the prefix's end. Prefixes that agree in this are one state. A transition on a byte leads to a state and
+    emits by how much the token count changes; a piece's count is the sum of what its bytes emit.
+
+    Transitions stand in one open hash table of numpy arrays, so that many chunks of text make a step at a time. It starts anew when
+    MOST_STATES are reached, between two runs.
     """
 
     def __init__(self, ranks: dict[tuple[bytes, bytes], int], tokens: set[bytes]):
         self.ranks = ranks
-        self.longest = max(map(len, tokens))
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
         #: Whether a token is what merges make of its own bytes; None until asked.
         self.whole: dict[bytes, bool | None] = dict.fromkeys(tokens)
-        self.counts: dict[str, int] = {}
+        self.open = {t[:i] for t in tokens for i in range(1, len(t))}
+        #: The merge that made a token last: its rank and both parts.
+        self.last: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        #: A state's bytes that tokens may begin in, and its places: (bytes from there, the last token before, its count less the state's).
+        self.states: list[tuple[bytes, tuple]] = [(b"", ((0, None, 0),))]
+        self.numbers = {self.states[0]: 0}
+        self.keys, self.values, self.used = np.full(1 << 16, -1, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
     def merged(self, piece: bytes) -> list[bytes]:
         """BPE by its definition: the adjacent pair of lowest rank is merged, the first of equals, until none is left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 30), i) for i in range(len(parts) - 1))
-            if rank == 1 << 30:
+            rank, i = min((self.ranks.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
+            self.last[parts[i] + parts[i + 1]] = rank, parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _run(self, piece: bytes) -> int:
-        last, counts = [b""], [0]
-        whole, apart, longest = self.whole, self.apart, self.longest
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token not in whole:
-                    continue
-                if (own := whole[token]) is None:
-                    own = whole[token] = self.merged(token) == [token]
-                if not own:
-                    continue
-                if start:
-                    pair = last[start], token
-                    if (stay := apart.get(pair)) is None:
-                        stay = apart[pair] = self.merged(last[start] + token) == [*pair]
-                    if not stay:
-                        continue
-                last.append(token)
-                counts.append(counts[start] + 1)
-                break
+    def _is_whole(self, token: bytes) -> bool:
+        own = self.whole.get(token, False)
+        if own is None:
+            own = self.whole[token] = self.merged(token) == [token]
+        return own
+
+    def apart(self, a: bytes, b: bytes) -> bool:
+        """Whether BPE leaves two tokens side by side. Their last merges are undone, the later first: a merge over the border between
+        them would have come before it if its rank is lower, or the same where what was undone lies to the right."""
+        before = NEVER
+        while True:
+            if self.ranks.get((a, b), NEVER) < before:
+                return False
+            (rank_a, _, right), (rank_b, left, _) = self.last.get(a, _BYTE), self.last.get(b, _BYTE)
+            if rank_a == rank_b == -1:
+                return True
+            if rank_a > rank_b:
+                before, a = rank_a, right
             else:
-                raise AssertionError(f"no token ends {piece[:end]!r}")
-        return counts[-1]
-
-    def __call__(self, piece: str) -> int:
-        found = self.counts.get(piece)
-        if found is None:
-            if len(self.counts) >= MOST_PIECES:
-                self.counts.clear()
-            found = self.counts[piece] = self._run(piece.encode())
-        return found
+                before, b = rank_b + 1, left
+
+    def _transition(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state and the change of the count."""
+        suffix, places = self.states[state]
+        suffix += bytes((byte,))
+        for n, last, count in places:
+            token = suffix[len(suffix) - n - 1 :]
+            if self._is_whole(token) and (last is None or self.apart(last, token)):
+                emitted = count + 1
+                break
+        else:
+            raise AssertionError(f"no token ends {suffix!r}")
+        live = [(n + 1, last, count - emitted) for n, last, count in places if suffix[len(suffix) - n - 1 :] in self.open]
+        then = (suffix[len(suffix) - live[0][0] :] if live else b"", (*live, (0, token, 0)))
+        number = self.numbers.setdefault(then, len(self.states))
+        if number == len(self.states):
+            self.states.append(then)
+        return number, emitted
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands in the table, or the free place where it would."""
+        bits = self.keys.size.bit_length() - 1
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+        there = self.keys[at]
+        off = np.flatnonzero((there != keys) & (there != -1))
+        while len(off):
+            at[off] = (at[off] + 1) & (self.keys.size - 1)
+            there = self.keys[at[off]]
+            off = off[(there != keys[off]) & (there != -1)]
+        return at
+
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys, all different, that the table lacks."""
+        if 2 * (self.used + len(keys)) > self.keys.size:
+            had = self.keys != -1
+            keys, values = np.concatenate((self.keys[had], keys)), np.concatenate((self.values[had], values))
+            size = self.keys.size
+            while 4 * len(keys) > size:
+                size *= 2
+            self.keys, self.values, self.used = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64), 0
+        self.used += len(keys)
+        while len(keys):
+            at = self._slots(keys)
+            first = np.unique(at, return_index=True)[1]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and what is emitted, for a byte read in each of many states."""
+        keys = state << 8 | byte
+        at = self._slots(keys)
+        if (new := self.keys[at] != keys).any():
+            unknown = np.unique(keys[new])
+            made = [self._transition(k >> 8, k & 255) for k in unknown.tolist()]
+            self._insert(unknown, np.array([n << 16 | (e + (1 << 15)) for n, e in made], dtype=np.int64))
+            at = self._slots(keys)
+        found = self.values[at]
+        return found >> 16, (found & 0xFFFF) - (1 << 15)
+
+    def emitted(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """What every byte of `data` emits; `begins` says where pieces begin, the first byte among them.
+
+        The bytes lie in chunks, side by side. A chunk in which a piece begins ends in one state, whatever the state before: its map
+        is constant, and is found by running it from there on. Maps compose by a parallel prefix scan, each step over twice the
+        distance, until every chunk has the nearest constant map before it; chunks within one long piece, with maps that aren't
+        constant, are then run in turn. Last, the bytes before a chunk's first beginning are run from the state that comes in.
+        """
+        if len(self.states) > MOST_STATES:
+            self.reset()
+        n = len(data)
+        rows = -(-n // CHUNK)
+        grid, first = np.zeros(rows * CHUNK, dtype=np.int64), np.zeros(rows * CHUNK, dtype=bool)
+        grid[:n], first[:n] = data, begins
+        grid, first = np.ascontiguousarray(grid.reshape(rows, CHUNK).T), np.ascontiguousarray(first.reshape(rows, CHUNK).T)
+        out = np.zeros((CHUNK, rows), dtype=np.int32)
+        constant, start = first.any(axis=0), np.where(first.any(axis=0), first.argmax(axis=0), CHUNK)
+        length = np.full(rows, CHUNK)
+        length[-1] = n - (rows - 1) * CHUNK
+
+        def run(which: np.ndarray, state: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            for i in range(int(low.min(initial=CHUNK)), int(high.max(initial=0))):
+                on = np.flatnonzero((low <= i) & (i < high))
+                at = which[on]
+                then, out[i, at] = self.step(np.where(first[i, at], 0, state[on]), grid[i, at])
+                state[on] = then
+            return state
+
+        ends = np.full(rows, -1, dtype=np.int64)
+        some = np.flatnonzero(constant)
+        ends[some] = run(some, np.zeros(len(some), dtype=np.int64), start[some], length[some])
+
+        nearest, step = np.where(constant, np.arange(rows), -1), 1
+        while step < rows:
+            nearest[step:] = np.maximum(nearest[step:], nearest[:-step])
+            step *= 2
+        depth = np.arange(rows) - nearest
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            inner = np.flatnonzero(depth == d)
+            ends[inner] = run(inner, ends[inner - 1], np.zeros(len(inner), dtype=np.int64), length[inner])
+        heads = np.flatnonzero(constant & (start > 0))
+        run(heads, ends[heads - 1], np.zeros(len(heads), dtype=np.int64), start[heads])
+        return out.T.reshape(-1)[:n]
 
 
 def _alphabet() -> dict[str, int]:
@@ -195,19 +303,24 @@ def _alphabet() -> dict[str, int]:
 
 
 class Tokens:
-    """The two machines, compiled from a vocabulary file of byte-level BPE."""
+    """The two machines, compiled from a vocabulary file of byte-level BPE with its usual splitter; other files are refused."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)
+        odd = odd or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if odd or any(x.get(k) for x in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{file} is no byte-level BPE with the default splitter")
         self.special = [x["content"] for x in spec["added_tokens"]]
         of = _alphabet()
         raw = lambda s: bytes(of[c] for c in s)
-        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         added = set(self.special)
-        self.count_piece = PieceCounter({(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}, {raw(x) for x in spec["model"]["vocab"] if x not in added})
+        self.machine = Machine({(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}, {raw(x) for x in model["vocab"] if x not in added})
         self._splitter = Tokenizer.from_file(file).pre_tokenizer
         self.classes = np.full(0x110000, UNSEEN, dtype=np.uint8)
         for c, k in {"'": QUOTE, " ": SPACE, "r": R, "v": V, "l": ELL, "e": E, "s": CLOSER, "t": CLOSER, "m": CLOSER, "d": CLOSER, "\x00": OTHER}.items():
@@ -246,16 +359,20 @@ class Tokens:
         ends = np.cumsum([len(s) + 1 for s in segments]) - 1
         classes[ends] = END
         at = cuts(classes)
-        real = classes[at] != END
-        after = np.append(at[1:], len(points))
-        which = np.array(owner)[np.searchsorted(ends, at[real])]
-        known, count = self.count_piece.counts.get, self.count_piece
-        n = []
-        for a, b in zip(at[real].tolist(), after[real].tolist(), strict=True):
-            piece = flat[a:b]
-            n.append(known(piece) or count(piece))
-        sums = np.bincount(which, weights=np.array(n, dtype=np.float64), minlength=len(docs)).astype(np.int64)
-        return (sums + np.array(total)).tolist()
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        offset = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(width)))
+        data = np.frombuffer(flat.encode(), dtype=np.uint8)
+        begins = np.zeros(len(data), dtype=bool)
+        begins[offset[at]] = True
+        emitted = np.empty(len(data), dtype=np.int64)
+        low, starts = 0, offset[at]
+        while low < len(data):  # a run ends where a piece begins, so that nothing is carried over
+            high = len(data) if len(data) - low <= RUN else int(starts[max(np.searchsorted(starts, low + RUN, side="right") - 1, np.searchsorted(starts, low, side="right"))]) if starts[-1] > low else len(data)
+            emitted[low:high] = self.machine.emitted(data[low:high], begins[low:high])
+            low = high
+        emitted[offset[ends]] = 0
+        sums = np.add.reduceat(emitted, np.concatenate((np.zeros(1, dtype=np.int64), offset[ends[:-1] + 1])))
+        return (np.bincount(owner, weights=sums, minlength=len(docs)).astype(np.int64) + np.array(total)).tolist()
 
 
 @cache
