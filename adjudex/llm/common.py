@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import discard, saved  # noqa: F401
+from ..operators.shared import ONE_TASK, discard, free_name, prefix_sums, saved  # noqa: F401
 
 
 
@@ -57,14 +57,6 @@ def output(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """`wanted`, or the same with underscores before it, so that it clashes with no column of `df`."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; of null, that of an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))
