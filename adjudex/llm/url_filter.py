@@ -72,24 +72,26 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str]
     Null url: host and path empty, no rule, allow. Nulls and repeats in the list don't count. Columns named like the new ones are
     replaced. Empty tables: no rows, or nothing listed.
     """
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    names = listed.select(canonical(F.col(listed_url)).alias("__listed")).filter("__listed is not null").distinct()
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    n = {c: free_name(pages, f"of_{c}") for c in ("host", "path", "canonical", "block", "rule", "maybe", "hit", "listed", *[f"lane{i}" for i in range(LANES)])}
+    col = lambda c: F.col(n[c])
+    names = listed.select(canonical(F.col(f"`{listed_url}`")).alias(n["listed"])).filter(col("listed").isNotNull()).distinct()
     blocks = max(1, min(MOST_BLOCKS, -(-names.count() * BITS_PER_URL // BLOCK_BITS)))
-    bloom = blocked_bloom(names, "__listed", blocks).withColumnsRenamed({"block": "__block"} | {f"lane{i}": f"__lane{i}" for i in range(LANES)})
+    bloom = blocked_bloom(names, n["listed"], blocks).withColumnsRenamed({c: n[c] for c in ("block", *[f"lane{i}" for i in range(LANES)])})
 
-    u = F.col(url)
-    rows = pages.withColumns({"__host": host_of(u), "__path": path_of(u), "__canonical": canonical(u)})
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__canonical"), F.lit(blocks)))
+    u = F.col(f"`{url}`")
+    rows = pages.select("*", host_of(u).alias(n["host"]), path_of(u).alias(n["path"]), canonical(u).alias(n["canonical"]))
+    rows = rows.withColumn(n["block"], F.pmod(F.xxhash64(n["canonical"]), F.lit(blocks)))
     sets = F.lit(True)
     for i in range(LANES):
-        sets = sets & (F.col(f"__lane{i}").bitwiseAND(_lane(F.col("__canonical"), i)) != 0)
-    rows = rows.join(F.broadcast(bloom), "__block", "left").withColumn("__maybe", F.coalesce(sets, F.lit(False)) & F.col("__canonical").isNotNull())
-    rows = rows.withColumn("__rule", matched_rule(F.col("__host"), F.col("__path"), rules)).select(*[F.col(f"`{c}`") for c in kept], "__host", "__path", "__canonical", "__rule", "__maybe")
-
-    passed = rows.filter("__maybe").join(names.withColumn("__hit", F.lit(True)), F.col("__canonical") == F.col("__listed"), "left")
-    both = passed.drop("__listed").unionByName(rows.filter("not __maybe").withColumn("__hit", F.lit(False)))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__hit"), F.lit("block")).otherwise(F.lit("allow")))
-    return both.select(*[F.col(f"`{c}`") for c in kept], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+        sets = sets & (col(f"lane{i}").bitwiseAND(_lane(col("canonical"), i)) != 0)
+    rows = rows.join(F.broadcast(bloom), n["block"], "left").withColumn(n["maybe"], F.coalesce(sets, F.lit(False)) & col("canonical").isNotNull())
+    rows = rows.select(*kept, col("host"), col("path"), col("canonical"), matched_rule(col("host"), col("path"), rules).alias(n["rule"]), col("maybe"))
+
+    passed = rows.filter(col("maybe")).join(names.withColumn(n["hit"], F.lit(True)), col("canonical") == col("listed"), "left")
+    both = passed.drop(n["listed"]).unionByName(rows.filter(~col("maybe")).withColumn(n["hit"], F.lit(False)))
+    verdict = F.coalesce(col("rule")["verdict"], F.when(col("hit"), F.lit("block")).otherwise(F.lit("allow")))
+    return both.select(*kept, col("host").alias("host"), col("path").alias("path"), col("rule")["rule"].alias("rule"), verdict.alias("verdict"))
 
 
 #: In the query a list stands in for one bought or crawled: the URLs of all pages whose host has a label with one of these words.
