@@ -242,11 +242,11 @@ def score_texts(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
     Figures of a word are made once, in the table of words. The HEAD_WORDS most frequent go to every task; the rest of a text's
     words meet theirs in a join on the word, which holds no hot word any more, and come back as sums.
 
-    Null or empty text: the end alone. Null doc_id: hashed as an empty text. Rows with the same doc_id and text: summed together,
+    Null or empty text: the end alone. doc_id is read as a long. Null doc_id, or no number: hashed as an empty text. Rows with the same doc_id and text: summed together,
     then each returned. Other columns are not read. Empty table: empty.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_FOLD)
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(text).alias(text)).withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_FOLD)
     counted = rows.select(text, "held_out").mapInArrow(_count(text), "word string, c long")
     words = saved(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()

@@ -21,6 +21,8 @@ REACH = 2
 #: Labelled rows, those with the least hash of doc_id, that the network is fitted on.
 TRAIN_ROWS = 20_000
 FOLDS, HELD_FOLD = 3, 1
+#: Tokens whose vectors are held at a time.
+RUN = 1 << 17
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|\n|[^\s\w]")
 _MOST_WORDS = 1 << 19
@@ -60,15 +62,18 @@ def _contexts(column: str):
         words, vectors, total = Words(), index_vectors(), np.zeros((BUCKETS, DIM), dtype=np.int64)
         gap = [0] * REACH
         for part in slices(batches, column, 1 << 20):
-            ids = np.array([x for t in texts(part, column) for x in (*words(t), *gap)], dtype=np.int32)
-            own = vectors[ids]
-            near = np.zeros_like(own)
-            for r in range(1, REACH + 1):
-                near[r:] += own[:-r]
-                near[:-r] += own[r:]
-            order = np.argsort(ids, kind="stable")
-            which, first = np.unique(ids[order], return_index=True)
-            total[which] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+            every = np.array([*gap, *[x for t in texts(part, column) for x in (*words(t), *gap)]], dtype=np.int32)
+            for at in range(REACH, len(every) - REACH, RUN):  # runs with REACH neighbours on either side
+                ids = every[at - REACH : min(at + RUN, len(every) - REACH) + REACH]
+                own = vectors[ids]
+                near = np.zeros_like(own)
+                for r in range(1, REACH + 1):
+                    near[r:] += own[:-r]
+                    near[:-r] += own[r:]
+                ids, near = ids[REACH : len(ids) - REACH], near[REACH : len(ids) - REACH]
+                order = np.argsort(ids, kind="stable")
+                which, first = np.unique(ids[order], return_index=True)
+                total[which] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
         total[0] = 0
         used = np.flatnonzero(total.any(axis=1))
         yield output({"bucket": used.astype(np.int32)} | {f"d{i}": total[used, i] for i in range(DIM)}, schema)
@@ -99,7 +104,8 @@ def _pool(column: str, vectors):
             rows = []
             for t in texts(part, column):
                 ids = np.array(words(t), dtype=np.int32)
-                mean = table_[ids].mean(axis=0) if len(ids) else np.zeros(table_.shape[1], dtype=np.float32)
+                sums = sum((table_[ids[i : i + RUN]].sum(axis=0, dtype=np.float64) for i in range(0, len(ids), RUN)), np.zeros(table_.shape[1]))
+                mean = (sums / max(1, len(ids))).astype(np.float32)
                 rows.append(np.append(mean, np.float32(np.log1p(len(ids)))))
             yield output({"doc_id": part.column("doc_id"), "pooled": rows}, schema)
 
@@ -178,15 +184,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     Word vectors come from all texts. The network learns from `most` labelled rows at most, none of them held out. Only the text is
     an input of a score.
 
-    Null or empty text: scored as a text without words. Null doc_id: hashed as an empty text, never labelled. Null labels and
+    Null or empty text: scored as a text without words. doc_id is read as a long. Null doc_id, or no number: hashed as an empty text, never labelled. Null labels and
     labels other than 0 and 1 don't count; several labels of one document are a row each. No labels, or of one class only: all
     scores are that class's share. Repeated rows: each scored. Other columns are not read. Empty table: empty.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
+    ids = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(text).alias(text))
     context = docs.sparkSession.sparkContext
     vectors = context.broadcast(word_vectors(ids, text))
     pooled = saved(ids.mapInArrow(_pool(text, vectors), "doc_id long, pooled array<float>"), "pooled")
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD)
+    marked = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD)
     sample = pooled.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("pooled")).limit(most).toPandas()
     x = np.array(sample["pooled"].tolist(), dtype=np.float64).reshape(len(sample), 2 * DIM + 1)
     net = context.broadcast(fit(x, sample["label"].to_numpy(dtype=np.float64)))
