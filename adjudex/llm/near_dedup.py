@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     members = sketches.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
     centres = members.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("last"), F.count(F.lit(1)).alias("n")).filter("a <> last")
-    centres = saved(centres.select("band", "a", F.expr(f"1 + n div {DEAL}").alias("deals")), "centres")
-    hubs = saved(centres.groupBy("a").agg(F.max("deals").alias("deals")).filter("deals > 1"), "hubs")
-    stars = members.join(centres.hint("merge"), "band").filter("b <> a").groupBy("a", "b").agg(F.min(F.pmod(F.xxhash64("b"), "deals")).alias("deal"))
+    centres = saved(centres.select("band", "a", F.max(F.expr(f"1 + n div {DEAL}")).over(Window.partitionBy("a")).alias("deals")), "centres")
+    hubs = saved(centres.filter("deals > 1").select("a", "deals").distinct(), "hubs")
+    stars = members.join(centres.hint("merge"), "band").filter("b <> a").groupBy("a", "b").agg(F.first(F.pmod(F.xxhash64("b"), "deals")).alias("deal"))
     stars = saved(stars, "stars")
     met = stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(ids.join(met.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets("text", size), "node long, shingles array<long>"), "sets")
