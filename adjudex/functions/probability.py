@@ -16,14 +16,47 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
+def let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, where a lambda would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
+    """Null and empty vectors: null."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    up = F.transform(z, lambda v: F.exp((v - F.array_max(z)) / t))
-    return F.transform(up, lambda v: v / total(up))
+    up = let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp((v - top) / t)))
+    return F.when(F.size(z) > 0, let(up, lambda u: let(total(u), lambda s: F.transform(u, lambda v: v / s))))
 
 
 def log_sum_exp(z: Column) -> Column:
-    return F.array_max(z) + F.ln(total(F.transform(z, lambda v: F.exp(v - F.array_max(z)))))
+    return let(F.array_max(z), lambda top: top + F.ln(total(F.transform(z, lambda v: F.exp(v - top)))))
+
+
+def class_loss(z: Column, gold: Column) -> Column:
+    """-ln of the softmax at `gold` (from 0), from logits."""
+    return log_sum_exp(z) - F.get(z, gold)
+
+
+def display_rounded(p: Column) -> Column:
+    """A vector of values in [0, 1] that misses a sum of 1 by 0.05 at most, divided by its sum; null for others."""
+    ok = F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1))
+    return F.when(ok, let(total(p), lambda s: F.when((s > 0) & (F.abs(s - 1) <= 0.05), F.transform(p, lambda v: v / s))))
+
+
+def mean_within(p: Column, reported: Column, on_grid: Column) -> Column:
+    """Whether a reported mean level fits its vector: within 0.005001, and 0.005 more for each level's distance if the vector is in hundredths."""
+    return let(expected_level(p), lambda m: F.abs(reported - m) <= 0.005001 + F.when(on_grid, 0.005 * total(F.transform(p, lambda v, i: F.abs(i - m)))).otherwise(0.0))
+
+
+def mixture_loss(p: Column, gold: Column, teacher: Column, alpha: float, weight: float) -> Column:
+    """(1 - alpha) of the gold answer's loss and alpha of the cross entropy with a teacher's vector, plus `weight` times the Brier score."""
+    soft = total(F.zip_with(teacher, p, lambda q, x: q * floored_nll(x)))
+    return (1 - alpha) * floored_nll(F.get(p, gold)) + alpha * soft + weight * brier(p, gold)
+
+
+def consistency(p: Column, q: Column) -> Column:
+    """Half the squared distance of two vectors over one answer space."""
+    return total(F.zip_with(p, q, lambda x, y: (x - y) * (x - y))) / 2
 
 
 def binary_loss(z: Column, y: Column) -> Column:
@@ -46,8 +79,8 @@ def variation(a: Column, b: Column) -> Column:
 
 def unique_winner(p: Column) -> Column:
     """Place (from 0) of the only value within 1e-12 of the largest; null on a tie."""
-    near = F.filter(F.transform(p, lambda v, i: F.when(F.abs(v - F.array_max(p)) <= FLOOR, i)), lambda i: i.isNotNull())
-    return F.when(F.size(near) == 1, near[0])
+    near = let(F.array_max(p), lambda top: F.filter(F.transform(p, lambda v, i: F.when(F.abs(v - top) <= FLOOR, i)), lambda i: i.isNotNull()))
+    return let(near, lambda n: F.when(F.size(n) == 1, n[0]))
 
 
 def choice_confidence(p: Column) -> Column:

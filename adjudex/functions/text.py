@@ -65,28 +65,75 @@ def truncated(x: Column, most: int) -> Column:
 
 
 def without_markdown(x: Column) -> Column:
-    """Bold marks, headings, bullets and numbers of lists go, from texts that have any of the first three."""
-    bare = F.regexp_replace(F.regexp_replace(x, r"\*\*([^*\n]+)\*\*", "$1"), r"(?m)^#{1,6}[ \t]+", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?m)^[ \t]*[-*•][ \t]+", ""), r"(?m)^[ \t]*\d+[.)][ \t]+", "")
-    return F.when(x.rlike(r"\*\*") | x.rlike(r"(?m)^#{1,6}[ \t]") | x.rlike(r"(?m)^[ \t]*[-*•][ \t]"), bare).otherwise(x)
+    """Bold marks, headings to the fourth level, bullets and numbers of lists go, from texts that have any of the first three."""
+    bare = F.regexp_replace(F.regexp_replace(x, r"\*\*(.+?)\*\*", "$1"), r"(?m)^#{1,4} +", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?m)^[-*] +", ""), r"(?m)^[0-9]+\. +", "")
+    return F.when(x.rlike(r"(?m)\*\*|^#{1,4} |^[-*] "), bare).otherwise(x)
 
 
 def slug(x: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
 
 
-def _replacing(mark: str, said: str):
-    return lambda p: F.replace(p, F.lit(mark), F.lit(said))
+# Named references in the order in which they are decoded, parts of pages without prose, and what no paragraph has.
+NAMED = (("nbsp", " "), ("ndash", "–"), ("mdash", "—"), ("rsquo", "’"), ("lsquo", "‘"), ("rdquo", "”"), ("ldquo", "“"), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"))
+NO_PROSE = (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?is)<sup[^>]*>.*?</sup>", r"(?is)<table.*?</table>", r"(?is)<nav.*?</nav>", r"(?is)<header.*?</header>", r"(?is)<footer.*?</footer>")
+JUNK = r"(?i)Jump to navigation|Jump to search|Wayback Machine has not archived|cookie"
+
+
+def _numeric(x: Column, pattern: str, base: int) -> Column:
+    """Numeric references as their characters; those beyond Unicode stay."""
+
+    def said(digits: Column) -> Column:
+        point = F.conv(digits, base, 10).cast("decimal(20,0)")
+        return F.when(point <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32"))
+
+    pieces = F.zip_with(F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda gap, d: F.when(d.isNull(), gap).otherwise(F.concat(gap, F.coalesce(said(d), F.concat(F.lit("&#x" if base == 16 else "&#"), d, F.lit(";"))))))
+    return F.when(x.contains("&#"), F.array_join(pieces, "")).otherwise(x)
+
+
+def decoded(x: Column) -> Column:
+    """Character references decoded: hexadecimal, decimal, then named ones in order, so that `&amp;lt;` becomes `<`."""
+    out = _numeric(_numeric(x, "&#x([0-9a-fA-F]+);", 16), "&#([0-9]+);", 10)
+    for name, said in NAMED:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(said))
+    return out
+
+
+def cleaned(x: Column) -> Column:
+    """A paragraph without citation and edit marks and rests of templates; blanks and newlines squeezed, ends trimmed."""
+    for mark in (r"\[[0-9]+\]", r"(?i)\[citation needed\]", r"(?i)\[edit\]", r"Template:[A-Za-z0-9_\-]+"):
+        x = F.regexp_replace(x, mark, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r" *\n *", "\n"), r"^\s+|\s+$", "")
+
+
+def is_junk(x: Column) -> Column:
+    """No paragraph of prose: null, under 20 characters, boilerplate, or markup."""
+    return F.coalesce((F.length(x) < 20) | x.rlike(JUNK) | x.contains("{") | x.contains("Template:"), F.lit(True))
 
 
 def paragraphs(html: Column) -> Column:
-    """Bodies of <p>, without scripts, tables, notes and page furniture; tags dropped, named references decoded."""
-    kept = F.regexp_replace(html, r"(?is)<(script|style|sup|table|nav|header|footer)\b[^>]*>.*?</\1>", " ")
-    out = F.regexp_extract_all(kept, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
-    for name, said in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")):
-        out = F.transform(out, _replacing(f"&{name};", said))
-    bare = F.transform(F.transform(out, lambda p: F.regexp_replace(p, "<[^>]*>", "")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    return F.filter(bare, lambda p: p != "")
+    """Bodies of <p>, without scripts, tables, notes and page furniture: tags dropped, references decoded, then cleaned; empty ones left out."""
+    for part in NO_PROSE:
+        html = F.regexp_replace(html, part, "")
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
+    return F.filter(F.transform(found, lambda p: cleaned(decoded(F.regexp_replace(p, "<[^>]+>", "")))), lambda p: p != "")
+
+
+def assembled(paragraphs_: Column, least: int = 150, most: int = 400, skip: int = 0) -> Column:
+    """Paragraphs that are no junk, in order, until the next would pass `most` words and `least` are reached; struct of text and words, null under `least` words."""
+    good = F.filter(paragraphs_, lambda p: ~is_junk(p))
+    good = F.slice(good, skip + 1, F.greatest(F.size(good) - skip, F.lit(0))) if skip else good
+
+    def add(s: Column, p: Column) -> Column:
+        w = count_words(p)
+        stop = s["stop"] | ((s["words"] + w > most) & (s["words"] >= least)) | (s["words"] >= most)
+        return F.when(stop, F.struct(s["text"].alias("text"), s["words"].alias("words"), F.lit(True).alias("stop"))).otherwise(
+            F.struct(F.concat(s["text"], F.array(p)).alias("text"), (s["words"] + w).alias("words"), F.lit(False).alias("stop")))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("text"), F.lit(0).alias("words"), F.lit(False).alias("stop"))
+    done = lambda s: F.when(s["words"] >= least, F.struct(F.array_join(s["text"], "\n\n").alias("text"), s["words"].alias("words")))
+    return F.aggregate(good, start, add, done)
 
 
 def verdict(said: Column) -> Column:

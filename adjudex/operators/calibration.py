@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import probability as P
+from .shared import saved
+
 
 def folds(families: DataFrame, strata: list[str], family: str, n: int) -> DataFrame:
     """A fold for each family: hash order within its stratum, modulo n. Labels play no part."""
@@ -24,53 +27,116 @@ def balanced_weights(rows: DataFrame, origin: str, kind: str) -> DataFrame:
     return rows.join(counts, [origin, kind]).join(kinds, origin).withColumn("weight", 1 / (2 * F.col("__k") * F.col("__n"))).drop("__n", "__k")
 
 
-def temperature_losses(rows: DataFrame, by: list[str], grid: list[float], logit: str = "logit", y: str = "y") -> DataFrame:
-    """Sum of binary losses of each group at each temperature of a grid, in one distributed pass."""
-    z = F.col(logit)
-    out = [F.sum(F.greatest(z / t, F.lit(0.0)) - z / t * F.col(y) + F.log1p(F.exp(-F.abs(z / t)))).alias(f"t{i}") for i, t in enumerate(grid)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *out)
+def fit_temperatures(rows: DataFrame, by: list[str], logits: str = "logits", gold: str = "gold", weight: str | None = None, low: float = 0.05, high: float = 100.0, rounds: int = 8, steps: int = 17) -> DataFrame:
+    """Per group (`by`): the `temperature` in [low, high] that divides logits for the least weighted loss, its `objective`, and the `identity_objective` of 1.
 
+    `logits` are vectors and `gold` is a place in them, from 0; rows weigh alike without `weight`. The loss falls to one minimum in log
+    T. A grid over it is narrowed round by round around its best point, each round one aggregate over all rows, so groups of any size
+    are fitted without bringing them together; bounds and 1 are tried too, and of equal losses the one nearest 1 wins.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    each = rows.select(*by, F.col(logits).alias("z"), F.col(gold).alias("y"), w.alias("w"))
+    total = each.groupBy(*by).agg(F.sum("w").alias("all"))
+    bounds = total.withColumns({"lo": F.lit(math.log(low)), "hi": F.lit(math.log(high))})
 
-def fit_temperatures(rows: DataFrame, by: list[str], logit: str = "logit", y: str = "y", rounds: int = 4, steps: int = 17) -> DataFrame:
-    """Temperature of least loss for each group (`by`), in [0.05, 100]: a grid in log T, narrowed round by round around its best point.
+    def losses(bounds_: DataFrame, tried: Column) -> DataFrame:
+        """(`by`, `all`, `lo`, `hi`, `log_t`, `loss`) for each log temperature of the array `tried`."""
+        rows_ = each.join(bounds_, by).withColumn("log_t", F.explode(tried))
+        loss = F.col("w") / F.col("all") * P.class_loss(F.transform("z", lambda v: v / F.exp("log_t")), F.col("y"))
+        return rows_.groupBy(*by, "all", "lo", "hi", "log_t").agg(F.sum(loss).alias("loss"))
 
-    Each round is one aggregate over all rows, so groups of any size are fitted without bringing them together.
-    """
-    names = [f"t{i}" for i in range(steps)]
-    z = F.col(logit)
-    bounds = rows.select(*by).distinct().withColumns({"lo": F.lit(math.log(0.05)), "hi": F.lit(math.log(100.0))})
     for _ in range(rounds):
-        at = lambda i: F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * (i / (steps - 1)))
-        both = rows.join(bounds, by)
-        loss = lambda i: F.sum(F.greatest(z / at(i), F.lit(0.0)) - z / at(i) * F.col(y) + F.log1p(F.exp(-F.abs(z / at(i)))))
-        sums = both.groupBy(*by, "lo", "hi").agg(*[loss(i).alias(n) for i, n in enumerate(names)])
-        best = F.array_position(F.array(*names), F.least(*names)) - 1
         width = (F.col("hi") - F.col("lo")) / (steps - 1)
-        bounds = sums.withColumn("best", best).select(*by, (F.col("lo") + F.greatest(F.col("best") - 1, F.lit(0)) * width).alias("lo"), (F.col("lo") + F.least(F.col("best") + 1, F.lit(steps - 1)) * width).alias("hi"))
-    return bounds.select(*by, F.exp((F.col("lo") + F.col("hi")) / 2).alias("temperature"))
+        sums = losses(bounds, F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("lo") + i * width))
+        best = sums.groupBy(*by, "all", "lo", "hi").agg(F.min_by("log_t", F.struct("loss", F.abs("log_t"))).alias("best"))
+        bounds = saved(best.select(*by, "all", F.greatest("lo", F.col("best") - width).alias("lo"), F.least("hi", F.col("best") + width).alias("hi")), "temperatures")
+    last = losses(bounds, F.array(F.lit(math.log(low)), F.lit(0.0), F.lit(math.log(high)), (F.col("lo") + F.col("hi")) / 2))
+    best = F.min(F.struct("loss", F.abs("log_t").alias("off"), "log_t"))
+    return last.groupBy(*by).agg(best.alias("best"), F.min(F.when(F.col("log_t") == 0, F.col("loss"))).alias("one")).select(*by, F.exp("best.log_t").alias("temperature"), F.col("best.loss").alias("objective"), F.col("one").alias("identity_objective"))
+
+
+def apply_temperature(rows: DataFrame, logits: str = "logits", temperature: str = "temperature") -> DataFrame:
+    """`rows` with `probabilities` of the divided logits, and `kept_winner`: whether the unique winner, or the tie, is the same as before."""
+    z = F.col(logits)
+    out = rows.withColumn("probabilities", P.softmax(z, F.col(temperature)))
+    return out.withColumn("kept_winner", P.unique_winner(P.softmax(z)).eqNullSafe(P.unique_winner(F.col("probabilities"))))
+
+
+def crossfit(rows: DataFrame, n: int, by: list[str] | None = None, fold: str = "fold", **how) -> DataFrame:
+    """`rows` calibrated with temperatures fitted on all other folds, for all rows together or for each group (`by`)."""
+    by = by or []
+    other = rows.withColumn("held_fold", F.explode(F.array(*[F.lit(i) for i in range(n)]))).filter(F.col("held_fold") != F.col(fold))
+    fits = fit_temperatures(other, ["held_fold", *by], **how).select(F.col("held_fold").alias(fold), *by, "temperature")
+    return apply_temperature(rows.join(fits, [fold, *by]), how.get("logits", "logits"))
+
+
+def binary_metrics(rows: DataFrame, by: list[str], logit: str = "logit", y: str = "y") -> DataFrame:
+    """Of binary logits, 0 and above being yes: n, accuracy, recall of both classes, loss, Brier score over both classes."""
+    yes, one, p = F.col(logit) >= 0, F.col(y) == 1, P.sigmoid(F.col(logit))
+    rate = lambda hit, of: F.when(F.count_if(of) > 0, F.count_if(hit & of) / F.count_if(of))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((yes == one).cast("double")).alias("accuracy"), rate(yes, one).alias("recall"), rate(~yes, ~one).alias("specificity"),
+        F.avg(P.binary_loss(F.col(logit), F.col(y))).alias("loss"), F.avg(2 * F.pow(p - F.col(y), F.lit(2))).alias("brier"))
+
+
+def case_weights(rows: DataFrame, case: str) -> DataFrame:
+    """`rows` with `weight`: cases weigh alike and sum to 1, the rows of a case share its weight."""
+    per = rows.groupBy(case).agg(F.count(F.lit(1)).alias("of_case"))
+    n = per.agg(F.count(F.lit(1)).alias("cases"))
+    return rows.join(per, case).join(F.broadcast(n)).withColumn("weight", 1 / (F.col("cases") * F.col("of_case"))).drop("cases", "of_case")
+
+
+def leave_out(rows: DataFrame, group: str, n: int | None = None) -> DataFrame:
+    """Folds that leave out one group each, or, with `n`, one of n shares of groups by hash: `rows` with `held_out`, once for each fold it trains.
+
+    Every row stands in all folds but its own, so with many groups give `n`.
+    """
+    fold = F.pmod(F.xxhash64(group), F.lit(n)).cast("string") if n else F.col(group).cast("string")
+    folds_ = rows.select(fold.alias("held_out")).distinct()
+    return rows.withColumn("own", fold).join(F.broadcast(folds_), F.col("held_out") != F.col("own")).drop("own")
+
+
+def fit_logistic(rows: DataFrame, features: list[str], label: str, weight: str, penalty: float = 0.0):
+    """Logistic regression with an L2 penalty by Spark ML; features as they are. The model's `coefficients` and `intercept`."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=features, outputCol="features_vector", handleInvalid="skip").transform(rows.withColumn(label, F.col(label).cast("double")))
+    return LogisticRegression(featuresCol="features_vector", labelCol=label, weightCol=weight, regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(ready)
+
+
+def _beta_tail(x: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(at most k of n at rate x), by the continued fraction of the incomplete beta function (modified Lentz), all rows at once."""
+    a, b, y = n - k, k + 1.0, 1 - x  # P = I_{1-x}(n - k, k + 1)
+    swap = y > (a + 1) / (a + b + 2)
+    a, b, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - y, y)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(y) + b * np.log1p(-y)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 - (a + b) * y / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d
+    for m in range(1, 1000):
+        for step in (m * (b - m) * y / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * y / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    return np.where(swap, 1 - front * h, front * h)
 
 
 @F.pandas_udf(T.DoubleType())
 def upper_bound(k: pd.Series, n: pd.Series) -> pd.Series:
-    """One-sided 95 % upper bound of a share (Clopper and Pearson): closed form for none, 1 for all, else bisection."""
-
-    def one(k: int, n: int) -> float:
-        if n <= 0 or k >= n:
-            return 1.0
-        if k == 0:
-            return 1 - 0.05 ** (1 / n)
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-        lo, hi = k / n, 1.0
-        for _ in range(60):
-            p = (lo + hi) / 2
-            if sum(math.exp(t + i * math.log(p) + (n - i) * math.log1p(-p)) for i, t in enumerate(terms)) > 0.05:
-                lo = p
-            else:
-                hi = p
-        return (lo + hi) / 2
-
-    return pd.Series([one(int(a), int(b)) for a, b in zip(k, n, strict=True)], dtype=np.float64)
-
-
-def predictive_value(prevalence: Column, tpr: Column, fpr: Column) -> Column:
-    return prevalence * tpr / (prevalence * tpr + (1 - prevalence) * fpr)
+    """One-sided 95 % upper bound of a share (Clopper and Pearson): closed form for none, 1 for all, else bisection over the incomplete beta function."""
+    k, n = k.to_numpy(np.float64), n.to_numpy(np.float64)
+    out = np.where(k <= 0, 1 - 0.05 ** (1 / np.maximum(n, 1)), 1.0)
+    out[(n <= 0) | (k >= n)] = 1.0
+    some = (k > 0) & (k < n)
+    k, n = k[some], n[some]
+    lo, hi = k / n, np.ones(len(k))
+    for _ in range(60):
+        p = (lo + hi) / 2
+        above = _beta_tail(p, k, n) > 0.05
+        lo, hi = np.where(above, p, lo), np.where(above, hi, p)
+    out[some] = (lo + hi) / 2
+    return pd.Series(out)

@@ -41,16 +41,58 @@ def score_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select(*chunks.columns, F.when(long_, round3(F.col("__p"))).alias("probability"), F.when(long_, verdict).otherwise("too_short").alias("verdict"), F.when(long_, confidence).otherwise("low").alias("confidence"))
 
 
+LEVELS = ("low", "medium", "high")
+
+
 def score_samples(chunks: DataFrame, sample: str) -> DataFrame:
-    """Samples from scored chunks: word-weighted mean of rounded probabilities; mixed if one chunk is likely AI and another human."""
-    judged = F.col("probability").isNotNull()
-    w, p = F.when(judged, F.col("words")), F.col("probability")
-    level = F.when(judged, F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0))
-    rows = chunks.groupBy(sample).agg(F.sum("words").alias("words"), round3(F.sum(p * w) / F.sum(w)).alias("probability"), F.count("probability").alias("chunks"), (F.coalesce(F.max(p), F.lit(0.0)) >= LIKELY).alias("high"), (F.coalesce(F.min(p), F.lit(1.0)) < HUMAN).alias("low"), F.floor(F.avg(level) + 0.5).alias("level"))
-    mixed = F.col("high") & F.col("low")
-    plain = verdict_of(F.col("probability"))
-    verdict = F.when(F.col("probability").isNull(), "too_short").when(mixed & (plain == "likely_human"), "unclear").when((plain == "very_likely_ai") & (F.col("level") == 0), "likely_ai").otherwise(plain)
-    return rows.select(sample, "words", "chunks", "probability", mixed.alias("mixed"), verdict.alias("verdict"))
+    """Samples from scored chunks: `words`, `chunks` judged, `probability`, `mixed`, `verdict` and `confidence`.
+
+    The verdict is that of the word-weighted mean of the chunks' rounded probabilities, itself not rounded. Mixed is a sample with a
+    likely AI chunk and a human one: it is never human, and its confidence is low, as of all unclear ones. Else confidence is the
+    word-weighted mean level, rounded; a low one takes back the strongest verdict. Without judged chunks: too_short, low.
+    """
+    p = F.col("probability")
+    w = F.when(p.isNotNull(), F.col("words"))
+    level = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
+    mixed = F.coalesce(F.bool_or(p >= LIKELY) & F.bool_or(p < HUMAN), F.lit(False))
+    rows = chunks.groupBy(sample).agg(F.sum("words").alias("words"), F.count(p).alias("chunks"), (F.sum(p * w) / F.sum(w)).alias("p"), mixed.alias("mixed"), F.floor(F.sum(level * w) / F.sum(w) + 0.5).alias("level"))
+    plain = verdict_of(F.col("p"))
+    plain = F.when(F.col("p").isNull(), "too_short").when(F.col("mixed") & (plain == "likely_human"), "unclear").otherwise(plain)
+    rows = rows.withColumn("plain", plain).withColumn("level", F.when(F.col("p").isNull() | F.col("mixed") | (F.col("plain") == "unclear"), 0).otherwise(F.col("level")).cast("int"))
+    verdict = F.when((F.col("level") == 0) & (F.col("plain") == "very_likely_ai"), "likely_ai").otherwise(F.col("plain"))
+    return rows.select(sample, "words", "chunks", round3(F.col("p")).alias("probability"), "mixed", verdict.alias("verdict"), F.array(*[F.lit(x) for x in LEVELS])[F.col("level")].alias("confidence"))
+
+
+TELL_THRESHOLD = 0.6
+
+
+def tells(strengths: dict[str, Column]) -> Column:
+    """The tells of a chunk as array of (family, strength): strengths of three decimals, 0.6 at least, the strongest first, then in the order given."""
+    each = F.array(*[F.struct(F.lit(k).alias("family"), round3(unit(v)).alias("strength"), F.lit(-i).alias("place")) for i, (k, v) in enumerate(strengths.items())])
+    ordered = F.reverse(F.array_sort(F.transform(F.filter(each, lambda t: t["strength"] >= TELL_THRESHOLD), lambda t: F.struct(t["strength"], t["place"], t["family"]))))
+    return F.transform(ordered, lambda t: F.struct(t["family"].alias("family"), t["strength"].alias("strength")))
+
+
+def sample_tells(chunks: DataFrame, sample: str, tells_: str = "tells") -> DataFrame:
+    """(`sample`, `family`, `strength`): the strongest of each family over a sample's judged chunks; none for samples that read human."""
+    verdicts = score_samples(chunks, sample).filter("verdict <> 'likely_human'").select(sample)
+    each = chunks.filter("probability is not null").select(sample, F.inline(tells_)).groupBy(sample, "family").agg(F.max("strength").alias("strength"))
+    return each.join(verdicts, sample, "left_semi")
+
+
+def cached(requests: DataFrame, cache: DataFrame, parts: list[str], value: str = "value") -> DataFrame:
+    """`requests` with `cache_key`, the digest of `parts` joined by newlines, and the cached `value`, null where there is none; `hit` says which."""
+    rows = requests.withColumn("cache_key", F.sha2(F.concat_ws("\n", *[F.col(c) for c in parts]), 256))
+    have = cache.select("cache_key", F.col(value), F.lit(True).alias("hit")).dropDuplicates(["cache_key"])
+    return rows.join(have, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def failures(chunks: DataFrame, sample: str, status: str = "status", fatal: tuple[str, ...] = ("unauthorized", "bad_request")) -> DataFrame:
+    """Per sample: chunks that are `ok`, those that `failed`, and the `outcome`: ok, partial, or failed if a status is fatal or none is ok."""
+    ok = F.count_if(F.col(status) == "ok")
+    rows = chunks.groupBy(sample).agg(ok.alias("ok"), (F.count(F.lit(1)) - ok).alias("failed"), F.count_if(F.col(status).isin(*fatal)).alias("fatal"))
+    outcome = F.when((F.col("fatal") > 0) | (F.col("ok") == 0), "failed").when(F.col("failed") > 0, "partial").otherwise("ok")
+    return rows.select(sample, "ok", "failed", outcome.alias("outcome"))
 
 
 def threshold_sweep(rows: DataFrame, label: str, p: str, thresholds: tuple[float, ...]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
@@ -47,23 +49,70 @@ def nearest_rank(x: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {x})")
 
 
+#: Ranges of values into which each group's rows are dealt before they are put in order.
+BINS = 4096
+
+
+def _binned(rows: DataFrame, by: list[str], value: str, bin_: str) -> DataFrame:
+    """`rows` with a bin that grows with `value`, by the group's least and greatest; those are joined to the rows by group, one row each."""
+    ends = rows.groupBy(*by).agg(F.min(value).alias(f"{bin_}_low"), F.max(value).alias(f"{bin_}_high"))
+    width = F.col(f"{bin_}_high") - F.col(f"{bin_}_low")
+    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col(f"{bin_}_low")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+    return rows.join(F.broadcast(ends) if len(by) == 0 else ends, by).withColumn(bin_, at.cast("int")).drop(f"{bin_}_low", f"{bin_}_high")
+
+
+def _running(counts: DataFrame, by: list[str], bin_: str, value: str, sums: list[str]) -> DataFrame:
+    """Exclusive running sums, in the order of `value` within each group, of rows unique by (group, value): first over bins, then within each."""
+    per = counts.groupBy(*by, bin_).agg(*[F.sum(c).alias(c) for c in sums])
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    bins = per.select(*by, bin_, *[zero(F.sum(c).over(before(Window.partitionBy(*by).orderBy(bin_)))).alias(f"{c}_to_bin") for c in sums])
+    inside = before(Window.partitionBy(*by, bin_).orderBy(value))
+    out = counts.withColumns({f"{c}_before": zero(F.sum(c).over(inside)) for c in sums}).join(bins, [*by, bin_])
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_to_bin") for c in sums}).drop(*[f"{c}_to_bin" for c in sums])
+
+
 def auc(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """P(score of 1 above that of 0) plus half of ties, by groups; null if a class is missing.
 
-    Counts per distinct score come first, so that a tie of any size is one row; the running sums run over distinct scores.
+    Counts per distinct score come first, so that a tie of any size is one row; running sums go over bins of scores, then within each.
     """
-    counts = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("__s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("pos") * (below + F.col("neg") / 2))
+    counts = rows.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    ranked = _running(_binned(counts, by, "score", "bin"), by, "bin", "score", ["neg"])
+    wins = ranked.withColumn("w", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return wins.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), share(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def selective_risk(predictions: DataFrame, by: list[str], *tiebreak: str, fractions: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0)) -> DataFrame:
-    """Error among the most confident share of each group, at least one row."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("max_probability"), *tiebreak))
-    rows = predictions.withColumn("r", rank).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    rows = rows.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions]))).filter(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("all"))))
-    return rows.groupBy(*by, "fraction").agg(F.count(F.lit(1)).alias("covered"), F.avg((~F.col("correct")).cast("double")).alias("error"))
+    """Error among the most confident share of each group, at least one row; of equally confident ones the first by `tiebreak`.
+
+    Counts per distinct probability give how many rows of it each share takes: none, all, or some. Only rows of those that are taken
+    in part are put in order.
+    """
+    rows = predictions.select(*by, *tiebreak, (~F.col("correct")).cast("long").alias("wrong"), (-F.col("max_probability")).alias("least"))
+    counts = rows.groupBy(*by, "least").agg(F.count(F.lit(1)).alias("n"), F.sum("wrong").alias("wrong"))
+    ranked = _running(_binned(counts, by, "least", "bin"), by, "bin", "least", ["n", "wrong"])
+    shares = counts.groupBy(*by).agg(F.sum("n").alias("all")).withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
+    shares = shares.withColumn("covered", F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("all")))).drop("all")
+    cut = ranked.join(shares, by).filter((F.col("n_before") < F.col("covered")) & (F.col("covered") <= F.col("n_before") + F.col("n")))
+    cut = cut.select(*by, "fraction", "covered", "least", "wrong_before", (F.col("covered") - F.col("n_before")).alias("some"))
+    inside = Window.partitionBy(*by, "fraction", "least").orderBy(*tiebreak)
+    part = rows.join(cut, [*by, "least"]).withColumn("r", F.row_number().over(inside)).filter(F.col("r") <= F.col("some"))
+    return part.groupBy(*by, "fraction").agg(F.first("covered").alias("covered"), ((F.first("wrong_before") + F.sum("wrong")) / F.first("covered")).alias("error"))
+
+
+def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group: n, median (of two middle values their mean), p95 and p99 by nearest rank, mean and population deviation; nulls don't count.
+
+    Values are counted first; running counts over bins of values find the ranks, so no task holds a group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = _running(_binned(counts, [by], "v", "bin"), [by], "bin", "v", ["n"])
+    every = rows.groupBy(by).agg(F.count(value).alias("all"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    ranks = {"low": F.floor((F.col("all") + 1) / 2), "high": F.floor((F.col("all") + 2) / 2), "p95": F.ceil(F.lit(0.95) * F.col("all")), "p99": F.ceil(F.lit(0.99) * F.col("all"))}
+    at = lambda r: F.max(F.when((F.col("n_before") < r) & (r <= F.col("n_before") + F.col("n")), F.col("v")))
+    found = ranked.join(every, by).groupBy(by).agg(F.first("all").alias("n"), *[at(r).alias(k) for k, r in ranks.items()], F.first("mean").alias("mean"), F.first("deviation").alias("deviation"))
+    return found.select(by, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "p99", "mean", "deviation")
 
 
 def macro(rows: DataFrame, value: str, family: str, category: str) -> DataFrame:

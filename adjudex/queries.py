@@ -5,31 +5,15 @@ Labels stand for gold answers, and two systems' answers are derived from hashes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import probability as P
 from .functions import text as X
 from .operators import answers, calibration, comparison, corpus, detector, facts, metrics
+from .operators.shared import saved
+from .registry import QUERIES, SQL, query, read  # noqa: F401
 from .streaming.events import windowed
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- texts -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -53,17 +37,45 @@ def text_slugs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"), F.size(lines).alias("lines"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, text AS t, left(text, 200) AS cut FROM documents), e AS (SELECT *, 200 - strpos(reverse(cut), ' ') AS last FROM c)
+  SELECT doc_id, CASE WHEN regexp_matches(t, '(?m)\*\*|^#{1,4} |^[-*] ') THEN
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*(.+?)\*\*', '\1', 'g'), '(?m)^#{1,4} +', '', 'g'), '(?m)^[-*] +', '', 'g'), '(?m)^[0-9]+\. +', '', 'g') ELSE t END AS bare,
+    CASE WHEN length(t) <= 200 THEN t WHEN strpos(cut, ' ') > 0 AND last > 160 THEN left(cut, last::INTEGER) ELSE cut END AS cut,
+    len(list_filter(list_transform(regexp_split_to_array(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\r?\n\s*\r?\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> ''))::INTEGER AS blocks FROM e""")
 def markdown_and_cuts(spark, sf_dir):
     t = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", X.without_markdown(t).alias("bare"), X.truncated(t, 200).alias("cut"), F.size(X.split_blocks(X.plain_newlines(t))).alias("blocks"))
 
 
-@query()
+_NAMED = "regexp_replace(p, '<[^>]+>', '', 'g')"
+for _mark, _said in (("nbsp", " "), ("ndash", "–"), ("mdash", "—"), ("rsquo", "’"), ("lsquo", "‘"), ("rdquo", "”"), ("ldquo", "“"), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')):
+    _NAMED = f"replace({_NAMED}, '&{_mark};', '{_said}')"
+_CLEAN = _NAMED
+for _pattern in (r"\[[0-9]+\]", r"(?i)\[citation needed\]", r"(?i)\[edit\]", r"Template:[A-Za-z0-9_\-]+"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '', 'g')"
+_PARAGRAPHS = "WITH h AS (SELECT page_id, html AS h FROM pages), " + "".join(
+    f"h{i} AS (SELECT page_id, regexp_replace(h, '(?is)<{t}.*?</{t}>', '', 'g') AS h FROM {f'h{i - 1}' if i else 'h'}), " for i, t in enumerate(("script", "style", "sup[^>]*>", "table", "nav", "header", "footer"))
+).replace("</sup[^>]*>>", "</sup>") + rf"""x AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1)) AS p, generate_subscripts(regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1), 1) AS i FROM h6),
+  c AS (SELECT page_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS paragraph FROM x),
+  d AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS place, paragraph FROM c WHERE paragraph <> '') """
+
+
+@query(_PARAGRAPHS + "SELECT * FROM d")
 def page_paragraphs(spark, sf_dir):
+    """The SQL leaves out numeric references, which the pages have none of."""
     return read(spark, sf_dir, "pages").select("page_id", F.posexplode(X.paragraphs(F.col("html"))).alias("place", "paragraph"))
 
 
+@query(_PARAGRAPHS + r""", g AS (SELECT page_id, place, paragraph, coalesce(len(regexp_extract_all(paragraph, '\S+')), 0) AS w FROM d
+    WHERE length(paragraph) >= 20 AND NOT regexp_matches(paragraph, '(?i)Jump to navigation|Jump to search|Wayback Machine has not archived|cookie') AND NOT contains(paragraph, '{') AND NOT contains(paragraph, 'Template:')),
+  k AS (SELECT *, sum(w) OVER (PARTITION BY page_id ORDER BY place) AS upto FROM g),
+  s AS (SELECT *, min(CASE WHEN (upto - w >= 150 AND upto > 400) OR upto - w >= 400 THEN place END) OVER (PARTITION BY page_id) AS stop FROM k)
+  SELECT page_id, string_agg(paragraph, chr(10) || chr(10) ORDER BY place) AS text, sum(w)::INTEGER AS words FROM s WHERE stop IS NULL OR place < stop GROUP BY page_id HAVING sum(w) >= 150""")
+def assembled_paragraphs(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", X.assembled(X.paragraphs(F.col("html"))).alias("a"))
+    return rows.filter("a is not null").select("page_id", "a.text", "a.words")
+
+
 @query()
 def chunk_packing(spark, sf_dir):
     """Lines of a text stand for its blocks; those over 300 words are split."""
@@ -80,9 +92,13 @@ def _cases(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", X.squeezed(F.col("text")).alias("key"))
 
 
-@query(f"""WITH k AS (SELECT doc_id AS id, sha256({_KEY}) AS key FROM documents), r AS (SELECT key, min(id) AS root FROM k GROUP BY key) SELECT id, root FROM k JOIN r USING (key)""")
+@query(r"""WITH RECURSIVE l AS (SELECT DISTINCT e.user_id AS id, k.key FROM events e, LATERAL (SELECT unnest(['value:' || (value * 100)::BIGINT::VARCHAR, 'minute:' || (epoch(ts)::BIGINT // 600)::VARCHAR]) AS key) k WHERE e.event_type = 'purchase'),
+  e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM l a JOIN l b USING (key)), r AS (SELECT a AS id, b AS root FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a) SELECT id, min(root) AS root FROM r GROUP BY id""")
 def connected_groups(spark, sf_dir):
-    return corpus.connected_groups(_cases(spark, sf_dir).withColumn("key", F.sha2("key", 256)))
+    """Users connected over purchases of one value, or within the same ten minutes: keys of two kinds, chains over both."""
+    e = read(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    keys = F.array(F.concat(F.lit("value:"), F.round(F.col("value") * 100).cast("long")), F.concat(F.lit("minute:"), F.expr("unix_seconds(cast(ts as timestamp)) div 600")))
+    return corpus.connected_groups(e.select(F.col("user_id").alias("id"), F.explode(keys).alias("key")))
 
 
 @query(f"""WITH k AS (SELECT doc_id AS id, source AS target, sha256({_KEY}) AS key FROM documents) SELECT * FROM k WHERE key NOT IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT target) > 1)""")
@@ -119,10 +135,15 @@ def corpus_manifest(spark, sf_dir):
     return rows.join(groups, "g").groupBy("split", "lang").agg(F.count(F.lit(1)).alias("examples"), F.count_distinct("g").alias("groups"))
 
 
-@query(f"WITH k AS (SELECT doc_id AS id, source, sha256({_KEY}) AS g FROM documents), s AS ({_SPLIT}) SELECT g, count(DISTINCT split) AS splits FROM k JOIN s USING (g) GROUP BY g HAVING count(DISTINCT split) > 1")
+_HEAD = "WITH k AS (SELECT doc_id AS id, source, sha256({0}) AS g, sha256(left({0}, 40)) AS head FROM documents), s AS ({1}) "
+
+
+@query(_HEAD.format(_KEY, _SPLIT) + "SELECT head, count(DISTINCT split) AS splits FROM k JOIN s USING (g) GROUP BY head HAVING count(DISTINCT split) > 1")
 def split_leaks(spark, sf_dir):
+    """First 40 characters that stand in more than one split: near copies that whole keys don't hold together."""
     rows, groups = _splits(spark, sf_dir)
-    return corpus.leaked(rows.join(groups, "g"), "g")
+    heads = _cases(spark, sf_dir).select("id", F.sha2(F.substring("key", 1, 40), 256).alias("head"))
+    return corpus.leaked(rows.join(groups, "g").join(heads, "id"), "head")
 
 
 @query("""WITH r AS (SELECT doc_id AS id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS r FROM documents),
@@ -232,19 +253,20 @@ def paired_bootstrap(spark, sf_dir):
     return metrics.paired_bootstrap(pairs, "source", "lang")
 
 
-@query("""SELECT event_type, count(*) AS n, median(value) AS median, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(value) AS n, median(value) AS median, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, avg(value) AS mean, stddev_pop(value) AS deviation FROM events GROUP BY event_type""")
 def latency_summary(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median"), metrics.nearest_rank("value", 0.95).alias("p95"), metrics.nearest_rank("value", 0.99).alias("p99"))
+    return metrics.latencies(read(spark, sf_dir, "events"), "event_type", "value")
 
 
 # --- answers and calibration -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH u AS (SELECT vec_id, i, embedding[i]::DOUBLE AS z FROM embeddings, range(1, 5) r(i)), m AS (SELECT *, max(z) OVER (PARTITION BY vec_id) AS mx FROM u), e AS (SELECT *, exp(z - mx) AS e FROM m),
-  p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e), t AS (SELECT *, max(p) OVER (PARTITION BY vec_id) AS top FROM p)
-  SELECT vec_id AS request, min('o' || i) FILTER (p = top) AS choice, (max(p) - 0.25) / 0.75 AS confidence FROM t GROUP BY vec_id""")
+@query("""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) AS i, len(embedding) AS k FROM embeddings), m AS (SELECT *, max(z) OVER (PARTITION BY vec_id) AS mx FROM u), e AS (SELECT *, exp(z - mx) AS e FROM m),
+  p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
+  SELECT vec_id AS request, min('o' || i) FILTER (z = mx) AS choice, (max(p) - 1 / any_value(k)) / (1 - 1 / any_value(k)) AS confidence FROM p GROUP BY vec_id""")
 def assembled_choices(spark, sf_dir):
-    units = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("request"), F.posexplode(F.slice("embedding", 1, 4)).alias("place", "logit"))
+    """Each embedding's elements stand for the logits of so many options."""
+    units = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("request"), F.posexplode("embedding").alias("place", "logit"))
     units = units.select("request", F.lit(0).alias("question"), F.lit("choice").alias("primitive"), "place", F.concat(F.lit("o"), F.col("place") + 1).alias("option"), F.col("logit").cast("double").alias("logit"))
     return answers.assemble(units).select("request", "choice", "confidence")
 
@@ -266,10 +288,20 @@ def balanced_weights(spark, sf_dir):
     return calibration.balanced_weights(rows, "lang", "quality").select("doc_id", "weight")
 
 
+def _logits(spark, sf_dir):
+    odds = F.ln(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9)))
+    return _predictions(spark, sf_dir).select("doc_id", "lang", "source", F.array(F.lit(0.0), odds).alias("logits"), F.col("expected").alias("gold"))
+
+
 @query()
 def temperatures(spark, sf_dir):
-    rows = _predictions(spark, sf_dir).select("lang", F.ln(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9))).alias("logit"), F.col("expected").cast("double").alias("y"))
-    return calibration.fit_temperatures(corpus.written(rows), ["lang"])
+    return calibration.fit_temperatures(saved(_logits(spark, sf_dir)), ["lang"])
+
+
+@query()
+def crossfitted(spark, sf_dir):
+    rows = _logits(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(4)).cast("int"))
+    return calibration.crossfit(saved(rows), 4).select("doc_id", "fold", "temperature", "kept_winner", F.col("probabilities")[1].alias("p"))
 
 
 @query()
@@ -303,10 +335,11 @@ def chunk_scores(spark, sf_dir):
     return _chunks(spark, sf_dir).select("conv_id", "turn", "words", "probability", "verdict", "confidence")
 
 
-@query(_CHUNKS + """, a AS (SELECT conv_id, sum(words)::BIGINT AS words, floor(sum(probability * words) / sum(CASE WHEN probability IS NOT NULL THEN words END) * 1000 + 0.5) / 1000 AS probability, count(probability) AS chunks,
-    coalesce(max(probability), 0) >= 0.75 AND coalesce(min(probability), 1) < 0.3 AS mixed, floor(avg(CASE WHEN probability IS NOT NULL THEN CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END END) + 0.5) AS level FROM s GROUP BY conv_id),
-  b AS (SELECT *, CASE WHEN probability >= 0.9 THEN 'very_likely_ai' WHEN probability >= 0.75 THEN 'likely_ai' WHEN probability < 0.3 THEN 'likely_human' ELSE 'unclear' END AS v FROM a)
-  SELECT conv_id, words, chunks, probability, mixed, CASE WHEN probability IS NULL THEN 'too_short' WHEN mixed AND v = 'likely_human' THEN 'unclear' WHEN v = 'very_likely_ai' AND level = 0 THEN 'likely_ai' ELSE v END AS verdict FROM b""")
+@query(_CHUNKS + """, j AS (SELECT *, CASE WHEN probability IS NOT NULL THEN words END AS w, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS l FROM s),
+  a AS (SELECT conv_id, sum(words)::BIGINT AS words, count(probability) AS chunks, sum(probability * w) / sum(w) AS p, coalesce(bool_or(probability >= 0.75) AND bool_or(probability < 0.3), false) AS mixed, floor(sum(l * w) / sum(w) + 0.5) AS level FROM j GROUP BY conv_id),
+  b AS (SELECT *, CASE WHEN p IS NULL THEN 'too_short' WHEN p >= 0.9 THEN 'very_likely_ai' WHEN p >= 0.75 THEN 'likely_ai' WHEN p < 0.3 THEN CASE WHEN mixed THEN 'unclear' ELSE 'likely_human' END ELSE 'unclear' END AS v FROM a),
+  g AS (SELECT *, CASE WHEN p IS NULL OR mixed OR v = 'unclear' THEN 0 ELSE level END AS k FROM b)
+  SELECT conv_id, words, chunks, floor(p * 1000 + 0.5) / 1000 AS probability, mixed, CASE WHEN k = 0 AND v = 'very_likely_ai' THEN 'likely_ai' ELSE v END AS verdict, CASE k WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM g""")
 def sample_scores(spark, sf_dir):
     return detector.score_samples(_chunks(spark, sf_dir), "conv_id")
 

@@ -131,8 +131,15 @@ def test_upper_bound(spark):
 
 
 def test_temperature(spark):
-    rows = spark.createDataFrame([("a", math.log(4), y) for y in (1.0, 1.0, 1.0, 0.0)], "g string, logit double, y double")
-    assert calibration.fit_temperatures(rows, ["g"], rounds=8).first()["temperature"] == pytest.approx(math.log(4) / math.log(3), rel=1e-3)
+    rows = [("a", [0.0, math.log(4)], y) for y in (1, 1, 1, 0)] + [("b", [2.0, 1.0, -1.0], 0), ("b", [0.5, 0.0, 1.0], 2), ("b", [3.0, 0.0, 0.0], 1)]
+    got = {r["g"]: r for r in calibration.fit_temperatures(spark.createDataFrame(rows, "g string, logits array<double>, gold int"), ["g"]).collect()}
+    assert got["a"]["temperature"] == pytest.approx(math.log(4) / math.log(3), rel=1e-5)
+
+    def loss(t):
+        return sum(math.log(sum(math.exp(v / t) for v in z)) - z[y] / t for g, z, y in rows if g == "b") / 3
+
+    best = min((math.exp(i / 20000 * math.log(2000)) * 0.05 for i in range(20001)), key=loss)
+    assert got["b"]["temperature"] == pytest.approx(best, rel=1e-3) and got["b"]["objective"] <= loss(best) + 1e-12 and got["b"]["identity_objective"] == pytest.approx(loss(1.0))
 
 
 def test_detector_verdicts(spark):
