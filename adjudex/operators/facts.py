@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,11 @@ def within(events: DataFrame, queries: DataFrame, key: str, time: str = "ts", st
     return events.join(queries, key).filter((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end)))
 
 
+def trusted(events: DataFrame, sources: DataFrame, source: str = "source", verified: str = "verified") -> DataFrame:
+    """Verified events of trusted sources."""
+    return events.filter(F.col(verified)).join(sources.select(source).distinct(), source, "left_semi")
+
+
 def latest(events: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
     """The value at the last time of each key; null where events of that time disagree. One pass, no window: extremes of (time, value) are aggregated first."""
     at = events.groupBy(*key, time).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -25,6 +30,35 @@ def latest(events: DataFrame, key: list[str], time: str, value: str) -> DataFram
     return last.select(*key, "at", F.when(F.col("v.lo").eqNullSafe(F.col("v.hi")), F.col("v.lo")).alias("value"))
 
 
+def active_at(queries: DataFrame, events: DataFrame, key: list[str], time: str, value: str, at: str = "query_time") -> DataFrame:
+    """`queries` with `state`: the value of their key's last event not after `at`; null without one, or where events of that time disagree.
+
+    An as-of join without pairs: both sides stand in one table by key and time, and each query takes the last event before it. A key's
+    rows are one window, so keys should be as fine as the question allows.
+    """
+    moments = events.groupBy(*key, F.col(time).alias("moment")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    moments = moments.select(*key, "moment", F.lit(0).alias("rank"), F.struct(F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).alias("v")).alias("event"), F.lit(False).alias("asks"))
+    asked = queries.select(*key, F.col(at).alias("moment")).distinct().select(*key, "moment", F.lit(1).alias("rank"), F.lit(None).cast(moments.schema["event"].dataType).alias("event"), F.lit(True).alias("asks"))
+    last = F.last("event", ignorenulls=True).over(Window.partitionBy(*key).orderBy("moment", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    found = moments.unionByName(asked).withColumn("state", last).filter("asks").select(*key, F.col("moment").alias(at), F.col("state.v").alias("state"))
+    return queries.join(found, [*key, at], "left")
+
+
+def adjudicated(reports: DataFrame, key: list[str], outcome: str, success: str = "success", failure: str = "no_effect") -> DataFrame:
+    """Per key `completed` (a success, no failure), `failed`, `conflict` (both); reports of neither say nothing."""
+    s, f = F.bool_or(F.col(outcome) == success), F.bool_or(F.col(outcome) == failure)
+    rows = reports.groupBy(*key).agg(F.coalesce(s, F.lit(False)).alias("s"), F.coalesce(f, F.lit(False)).alias("f"))
+    return rows.select(*key, (F.col("s") & ~F.col("f")).alias("completed"), (F.col("f") & ~F.col("s")).alias("failed"), (F.col("s") & F.col("f")).alias("conflict"))
+
+
+def item_rollup(declared: DataFrame, items: DataFrame, record: str, item: str, status: str = "status", known: tuple[str, ...] = ("success", "no_effect")) -> DataFrame:
+    """Per record, over its declared items: how many have each known status, and how many none or conflicting ones (`unknown`); `complete` without such."""
+    seen = items.filter(F.col(status).isin(*known)).groupBy(record, item).agg(F.min(status).alias("lo"), F.max(status).alias("hi"))
+    rows = declared.select(record, item).distinct().join(seen, [record, item], "left").withColumn("is", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("unknown"))
+    counts = rows.groupBy(record).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("is") == k).alias(k) for k in (*known, "unknown")])
+    return counts.withColumn("complete", F.col("unknown") == 0)
+
+
 def reversed_by(done: DataFrame, reversals: DataFrame, key: str, time: str = "ts") -> DataFrame:
     """What was done and reversed at the same time or later: a semi-join on the key and each key's last reversal."""
     last = reversals.groupBy(key).agg(F.max(time).alias("__last"))
@@ -74,3 +108,35 @@ def only_choice(options: dict[str, Column]) -> Column:
     """The option whose condition alone holds; null if none or several do."""
     held = F.filter(F.array(*[F.when(c, k) for k, c in options.items()]), lambda o: o.isNotNull())
     return F.when(F.size(held) == 1, held[0])
+
+
+def status_of(reversed_: Column, confirmed: Column, no_effect: Column) -> Column:
+    """By precedence: reversed, confirmed, no_effect, else unknown."""
+    hold = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(hold(reversed_), "reversed").when(hold(confirmed), "confirmed").when(hold(no_effect), "no_effect").otherwise("unknown")
+
+
+def quantified(items: DataFrame, record: str, item: str, order: str, status: str) -> DataFrame:
+    """Per record, of each item its last report: `all_confirmed`, `any_confirmed`, `none_confirmed` and the rubric `level`: 0 none, 1 some, 2 all."""
+    last = items.groupBy(record, item).agg(F.max_by(status, order).alias("status"))
+    yes = F.count_if(F.col("status") == "confirmed")
+    rows = last.groupBy(record).agg(yes.alias("yes"), F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("yes") == 0, 0).when(F.col("yes") < F.col("n"), 1).otherwise(2)
+    return rows.select(record, (F.col("yes") == F.col("n")).alias("all_confirmed"), (F.col("yes") > 0).alias("any_confirmed"), (F.col("yes") == 0).alias("none_confirmed"), level.alias("level"))
+
+
+def masked(features: DataFrame, kinds: dict[str, Column], applies: dict[str, Column]) -> DataFrame:
+    """Targets with masks: for each name `target`, 0 where it doesn't apply, and `mask`, 1 where it does."""
+    each = F.array(*[F.struct(F.lit(k).alias("feature"), F.when(applies[k], v.cast("double")).otherwise(0.0).alias("target"), F.coalesce(applies[k], F.lit(False)).cast("int").alias("mask")) for k, v in kinds.items()])
+    return features.select("record", F.inline(each))
+
+
+def related_pairs(cases: DataFrame, family: str, case: str, target: str, equal: bool, most: int, seed: str = "") -> DataFrame:
+    """`most` pairs of a family's cases whose targets are equal, or differ, by the hash of both ids, out of the first `most` + 1 cases of each target by hash."""
+    rank = F.row_number().over(Window.partitionBy(family, target).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(case).cast("string")), 256)))
+    rows = cases.select(family, case, target).withColumn("r", rank).filter(F.col("r") <= most + 1)
+    l, r = (rows.select(family, F.col(case).alias(f"{s}_case"), F.col(target).alias(f"{s}_target")) for s in ("left", "right"))
+    same = F.col("left_target") == F.col("right_target")
+    pairs = l.join(r, family).filter((F.col("left_case") < F.col("right_case")) & (same if equal else ~same))
+    order = Window.partitionBy(family).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col("left_case").cast("string"), F.col("right_case").cast("string")), 256))
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)

@@ -159,3 +159,142 @@ def unknown_rates(predictions: DataFrame, by: list[str], label: str = "unknown")
     gold, said = F.count_if(is_it("expected")), F.count_if(is_it("predicted"))
     both = F.count_if(is_it("expected") & is_it("predicted"))
     return predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), gold.alias("gold"), said.alias("said"), both.alias("hits"), share(both, gold).alias("recall"), share(both, said).alias("precision"))
+
+
+def flat_summary(cases: DataFrame, fields: DataFrame) -> DataFrame:
+    """One row over a run of flat questions.
+
+    `cases`: case_id, valid (the answer fits its schema), labeled, elapsed. `fields` of labeled cases: case_id, correct, brier, nll,
+    max_probability (null without probabilities). A missing answer is wrong; a case is exact if it is valid and all its fields are right.
+    """
+    per = fields.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"), F.count("brier").alias("with_p"), F.sum("brier").alias("brier"), F.sum("nll").alias("nll"))
+    rows = cases.join(per, "case_id", "left")
+    n, fields_n, with_p = F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("with_p"), F.lit(0))
+    exact = F.count_if(F.col("labeled") & F.col("valid") & (F.coalesce("right", F.lit(0)) == F.coalesce("n", F.lit(0))))
+    return rows.agg(n.alias("evaluations"), F.count_if("labeled").alias("labeled"), fields_n.alias("fields"), (F.count_if("valid") / n).alias("schema_validity"), share(F.sum("right"), fields_n).alias("field_accuracy"),
+        share(exact, F.count_if("labeled")).alias("exact_case_accuracy"), share(F.sum("brier"), with_p).alias("brier"), share(F.sum("nll"), with_p).alias("log_loss"), share(with_p, fields_n).alias("probability_coverage"), F.avg("elapsed").alias("mean_ms"))
+
+
+def repeats(results: DataFrame, on: list[str], repeat: str, answer: str) -> DataFrame:
+    """Runs repeated on the same cases: per repeat the number of answers and of those that differ from repeat 0."""
+    first = results.filter(F.col(repeat) == 0).select(*on, F.col(answer).alias("first_answer"))
+    both = results.join(first, on)
+    return both.groupBy(repeat).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col(answer).eqNullSafe(F.col("first_answer"))).alias("disagreements"))
+
+
+def paired_ratio(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:
+    """`n` pairs with the `median`, `p95` and the like of left over right, by `latencies`."""
+    pairs = left.select(*on, F.col(value).alias("l")).join(right.select(*on, F.col(value).alias("r")), on).filter("r > 0")
+    return latencies(pairs.select(F.lit("ratio").alias("what"), (F.col("l") / F.col("r")).alias("v")), "what", "v")
+
+
+def matrix(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """(`by`, `expected`, `said`, `n`): the confusion of answers, a tie being `__tie__`."""
+    said = F.coalesce(F.col("predicted").cast("string"), F.lit("__tie__"))
+    return predictions.groupBy(*by, F.col("expected").cast("string").alias("expected"), said.alias("said")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tagged(predictions: DataFrame, question: str, category: str, tags: dict[str, str]) -> DataFrame:
+    """`predictions` with `tag`: the question's tag, or category/question where it has none."""
+    found = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])[F.col(question)] if tags else F.lit(None).cast("string")
+    return predictions.withColumn("tag", F.coalesce(found, F.concat_ws("/", category, question)))
+
+
+def crossed(predictions: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """The figures of `grouped` by sets of dimensions, one pass: `cut` names a set's dimensions, `value` their values, joined by `|`."""
+    dims = list(dict.fromkeys(d for s in sets for d in s))
+    rows = predictions.groupingSets(sets, *dims).agg(F.grouping_id(*dims).alias("grouping"), *grouped())
+    bit = {d: 1 << (len(dims) - 1 - i) for i, d in enumerate(dims)}
+    cut, value = F.lit(""), F.lit("")
+    for s in sets:
+        here = F.col("grouping") == sum(b for d, b in bit.items() if d not in s)
+        cut = F.when(here, "*".join(s)).otherwise(cut)
+        value = F.when(here, F.concat_ws("|", *[F.col(d).cast("string") for d in s]) if s else F.lit("")).otherwise(value)
+    return rows.select(cut.alias("cut"), value.alias("value"), *[c for c in rows.columns if c not in (*dims, "grouping")])
+
+
+def level_errors(predictions: DataFrame, by: list[str], expected: str, found: str, levels: str) -> DataFrame:
+    """Of answers on a scale: mean absolute error of the expected level, and the same as a share of the scale."""
+    off = F.abs(F.col(found) - F.col(expected))
+    return predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(off).alias("mae"), F.avg(off / (F.col(levels) - 1)).alias("nmae"))
+
+
+def fact_metrics(candidates: DataFrame, question: str, p: str, y: str) -> DataFrame:
+    """Facts behind questions: per question the means over its candidates, and over questions the means of these; exactly one half is ambiguous."""
+    right = F.when(F.col(p) != 0.5, (F.col(p) > 0.5) == (F.col(y) == 1)).otherwise(False)
+    per = candidates.groupBy(question).agg(F.avg(right.cast("double")).alias("accuracy"), F.bool_and(right).alias("joint"), F.avg(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("squared"), F.count_if(F.col(p) == 0.5).alias("ambiguous"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("questions"), F.sum("n").alias("candidates"), F.avg("accuracy").alias("accuracy"), F.avg(F.col("joint").cast("double")).alias("joint"), F.avg("squared").alias("squared"), F.sum("ambiguous").alias("ambiguous"))
+
+
+def objective(nlls: DataFrame, by: list[str], primitive: str, value: str, broad: str | None = None) -> DataFrame:
+    """(`by`, `macro`): the mean of the primitives' mean losses; with a `broad` loss column the mean of both."""
+    per = nlls.groupBy(*by, primitive).agg(F.avg(value).alias("m"), *([F.avg(broad).alias("b")] if broad else []))
+    out = per.groupBy(*by).agg(F.avg("m").alias("macro"), *([F.avg("b").alias("b")] if broad else []))
+    return out.select(*by, ((F.col("macro") + F.col("b")) / 2 if broad else F.col("macro")).alias("macro"))
+
+
+def best_step(scores: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
+    """The step of least value for each group, the first of equals."""
+    return scores.groupBy(*by).agg(F.min_by(step, F.struct(value, step)).alias(step), F.min(value).alias(value))
+
+
+def gated_pick(candidates: DataFrame, accuracy: float = 0.01, stability: float = 0.02, speed: float = 0.75) -> DataFrame:
+    """The candidate to take over the row with `baseline`: name, accuracy, stability, latency; those within tolerances of it come by latency, else all by accuracy, marked exploratory."""
+    base = candidates.filter("baseline").agg(F.max("accuracy").alias("b_accuracy"), F.max("stability").alias("b_stability"), F.max("latency").alias("b_latency"))
+    rows = candidates.filter("not baseline").join(F.broadcast(base))
+    ok = (F.col("accuracy") >= F.col("b_accuracy") - accuracy) & (F.col("stability") >= F.col("b_stability") - stability) & (F.col("latency") <= F.col("b_latency") * speed)
+    order = F.when(ok, F.struct(F.lit(0).alias("tier"), F.col("latency").alias("x"), (-F.col("accuracy")).alias("y"), F.lit(0.0).alias("z"), F.col("name"))).otherwise(F.struct(F.lit(1).alias("tier"), (-F.col("accuracy")).alias("x"), (-F.col("stability")).alias("y"), F.col("latency").alias("z"), F.col("name")))
+    return rows.agg(F.min(order).alias("best")).select("best.name", (F.col("best.tier") == 1).alias("exploratory"))
+
+
+def costs(runs: DataFrame, by: list[str], seconds: str, tokens: str, price: float) -> DataFrame:
+    """Per configuration: mean seconds, mean tokens of runs that report some, and the cost of all at `price` a million."""
+    t = F.when(F.col(tokens) > 0, F.col(tokens))
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(seconds).alias("seconds"), F.avg(t).alias("tokens"), F.round(F.coalesce(F.sum(t), F.lit(0)) / 1e6 * price, 8).alias("cost"))
+
+
+def breakdown(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Per value of a dimension: count, mean of non-null values, share of all; the most frequent first, then by name (`place`)."""
+    per = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    whole = rows.agg(F.count(F.lit(1)).alias("whole"))
+    placed = per.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), by)))
+    return placed.join(F.broadcast(whole)).select(by, "n", "mean", (F.col("n") / F.col("whole")).alias("share"), "place")
+
+
+def deltas(left: DataFrame, right: DataFrame, on: list[str], figures: list[str]) -> DataFrame:
+    """right less left of each figure; null where either is."""
+    r = right.select(*on, *[F.col(f).alias(f"right_{f}") for f in figures])
+    return left.join(r, on).select(*on, *[(F.col(f"right_{f}") - F.col(f)).alias(f) for f in figures])
+
+
+def reference_agreement(outputs: DataFrame, references: DataFrame, by: list[str], question: str, system: str) -> DataFrame:
+    """How far systems agree with references, for systems that answered all of a group's questions: `matches` among the `determinate`, mean `variation` from probabilistic ones."""
+    from ..functions.probability import variation
+
+    n = references.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"))
+    rows = outputs.select(question, system, F.col("label").alias("said"), F.col("probabilities").alias("p")).join(references, question)
+    per = rows.groupBy(*by, system).agg(F.count(F.lit(1)).alias("answered"), F.count("label").alias("determinate"), F.count_if(F.col("said") == F.col("label")).alias("matches"), F.avg(F.when(F.col("probabilistic"), variation(F.col("p"), F.col("probabilities")))).alias("variation"))
+    return per.join(n, by).filter("answered = questions").withColumn("agreement", share(F.col("matches"), F.col("determinate"))).drop("answered")
+
+
+def nucleus(rows: DataFrame, by: str, token: str, logit: str, seen: str, penalty: float = 1.5, top: int = 20, mass: float = 0.95) -> DataFrame:
+    """Of each group the tokens to sample from, with probability `p`: seen ones lose `penalty`, the `top` by logit stay, and of these the smallest prefix with a mass of `mass`."""
+    z = F.col(logit) - F.when(F.col(seen), penalty).otherwise(0.0)
+    order = Window.partitionBy(by).orderBy(F.desc("z"), token)
+    kept = rows.withColumn("z", z).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top)
+    weight = F.exp(F.col("z") - F.max("z").over(Window.partitionBy(by)))
+    kept = kept.withColumn("w", weight).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(by)))
+    before = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    kept = kept.withColumn("before", before).filter(F.col("before") < mass)
+    return kept.select(by, token, "r", (F.col("w") / F.sum("w").over(Window.partitionBy(by))).alias("p"))
+
+
+def exposure(rows: DataFrame, stream: str, place: str, length: str, batch: int) -> DataFrame:
+    """Per stream: the sum of lengths, and what batches of `batch` consecutive rows take when each is padded to its longest."""
+    per = rows.groupBy(stream, F.floor(F.col(place) / batch).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("sum"), F.max(length).alias("longest"))
+    return per.groupBy(stream).agg(F.sum("sum").alias("tokens"), F.sum(F.col("n") * F.col("longest")).alias("padded"))
+
+
+def step_exposure(step: Column, unique: int = 200, fresh: int = 20, replay: int = 3) -> Column:
+    """What a training step has seen: struct of distinct repeats, new and replayed examples."""
+    return F.struct(F.least(step, F.lit(unique)).alias("distinct"), (step * fresh).alias("fresh"), (step * replay).alias("replayed"))

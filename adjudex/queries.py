@@ -468,3 +468,6 @@ def rule_verdicts(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def windowed_events(spark, sf_dir):
     return windowed(read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import queries_answers, queries_checks, queries_corpus, queries_figures  # noqa: E402, F401  register their queries
