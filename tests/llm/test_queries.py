@@ -65,3 +65,19 @@ def test_pipeline(spark):
         before, docs = docs, corpus_pipeline.saved(stage(spark, docs, SF), "test")
         assert docs.columns == list(corpus_pipeline.COLUMNS) and 0 < docs.count() <= before.count()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_keep_what_the_operators_sql_keeps(spark, duck):
+    from collections import Counter
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda name: Counter(r["doc_id"] for r in stages[name](spark, docs, SF).collect())
+    rows = lambda sql: duck.execute(sql).fetchall()
+    assert ids("quality_rules") == Counter(r[0] for r in rows(f"SELECT doc_id FROM ({SQL['op8_quality_rules']}) WHERE kept"))
+    assert ids("decontaminate") == Counter(r[0] for r in rows(f"SELECT doc_id FROM ({SQL['op3_decontaminate']}) WHERE NOT contaminated"))
+    mixed = ids("mix_sources")
+    for doc_id, size, taken in rows(f"SELECT doc_id, size, taken FROM ({SQL['op9_mix_sources']}) WHERE size > 0"):
+        assert mixed[doc_id] * size == taken
