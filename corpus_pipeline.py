@@ -65,7 +65,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mix_sources", mix_sources)]
 
-#: Near-duplicates by bands and surrogates by keyed hashes have no SQL of a sensible size; tests hold the stages against brute force.
+#: Near-duplicates of five words and keyed surrogates have no SQL of a sensible size. Tests hold quality rules, decontamination and the mix
+#: against the operators' SQL, near-duplicates against all pairs, and surrogates against all spellings of made-up entities.
 ORACLE_SQL = None
 
 
