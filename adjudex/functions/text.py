@@ -140,3 +140,8 @@ def verdict(said: Column) -> Column:
     """The last VERDICT: YES or NO, in capitals; null if there is none."""
     found = F.regexp_extract_all(said, F.lit(r"(?i)VERDICT:\s*(YES|NO)"), F.lit(1))
     return F.when(F.size(found) > 0, F.upper(F.element_at(found, -1)))
+
+
+def human_source(file: Column) -> Column:
+    """Where a human text comes from: what stands before the first - of its file name, else the name without .txt."""
+    return F.when(F.contains(file, F.lit("-")), F.substring_index(file, "-", 1)).otherwise(F.regexp_replace(file, r"(?i)\.txt$", ""))

@@ -70,6 +70,56 @@ def crossfit(rows: DataFrame, n: int, by: list[str] | None = None, fold: str = "
     return apply_temperature(rows.join(fits, [fold, *by]), how.get("logits", "logits"))
 
 
+#: Bounds of scale and offset, and the weight of their squared distance from 1 and 0.
+SCALE, OFFSET, RIDGE = (0.001, 20.0), (-20.0, 20.0), 1e-4
+
+
+def fit_affine(rows: DataFrame, logit: str = "logit", y: str = "y", weight: str = "weight", affine: bool = True, tolerance: float = 1e-8, passes: int = 60) -> dict:
+    """The scale `a` and, if `affine`, the offset `b` that make sigmoid(a * logit + b) fit `y` best, within bounds and with a small ridge.
+
+    Newton's steps on a strictly convex loss: each pass is one aggregate of a few sums per tried step (whole, half, ... 1/64), which is
+    all that comes to the driver. Null or infinite logits and empty tables are errors, as is no convergence. Also given: `temperature`,
+    `threshold`, `objective`, `identity_objective`, `gradient`.
+    """
+    z, p = F.col(logit), lambda a, b: P.sigmoid(a * F.col(logit) + b)
+
+    def sums(points: list[tuple[float, float]]) -> list[tuple]:
+        """Per point: the loss, its gradient and its second derivatives, ridge included."""
+        w = F.col(weight)
+        columns = [F.count_if(z.isNull() | F.isnan(z) | (F.abs(z) == float("inf"))).alias("bad"), F.count(F.lit(1)).alias("n")]
+        for i, (a, b) in enumerate(points):
+            off, bend = w * (p(a, b) - F.col(y)), w * p(a, b) * (1 - p(a, b))
+            columns += [F.sum(v).alias(f"{k}{i}") for k, v in {"loss": w * P.binary_loss(a * z + b, F.col(y)), "ga": off * z, "gb": off, "haa": bend * z * z, "hab": bend * z, "hbb": bend}.items()]
+        r = rows.agg(*columns).first()
+        if r["bad"] or not r["n"]:
+            raise ValueError("logits must be finite, and there must be some")
+        return [
+            (r[f"loss{i}"] + RIDGE / 2 * ((a - 1) ** 2 + b**2), np.array([r[f"ga{i}"] + RIDGE * (a - 1), r[f"gb{i}"] + RIDGE * b]),
+             np.array([[r[f"haa{i}"] + RIDGE, r[f"hab{i}"]], [r[f"hab{i}"], r[f"hbb{i}"] + RIDGE]]))
+            for i, (a, b) in enumerate(points)
+        ]
+
+    low, high = np.array([SCALE[0], OFFSET[0]]), np.array([SCALE[1], OFFSET[1]])
+    at = np.array([1.0, 0.0])
+    loss, slope, bend = sums([tuple(at)])[0]
+    identity = loss
+    for _ in range(passes):
+        free = ~(((at <= low) & (slope > 0)) | ((at >= high) & (slope < 0))) & np.array([True, affine])
+        gradient = float(np.abs(slope[free]).max(initial=0.0))
+        if gradient <= tolerance:
+            a, b = map(float, at)
+            return {"a": a, "b": b, "temperature": 1 / a, "threshold": -b / a, "objective": loss, "identity_objective": identity, "gradient": gradient}
+        step = np.zeros(2)
+        step[free] = -np.linalg.solve(bend[np.ix_(free, free)], slope[free])
+        points = [np.clip(at + step / 2**i, low, high) for i in range(7)]
+        found = sums([tuple(map(float, x)) for x in points])
+        best = min(range(len(points)), key=lambda i: (found[i][0], i))
+        if abs(found[0][0] - found[best][0]) <= 1e-15 * abs(found[best][0]):
+            best = 0  # so near the minimum that losses are alike, whole steps converge best
+        at, (loss, slope, bend) = points[best], found[best]
+    raise RuntimeError(f"not converged: gradient {gradient}")
+
+
 def binary_metrics(rows: DataFrame, by: list[str], logit: str = "logit", y: str = "y") -> DataFrame:
     """Of binary logits, 0 and above being yes: n, accuracy, recall of both classes, loss, Brier score over both classes."""
     yes, one, p = F.col(logit) >= 0, F.col(y) == 1, P.sigmoid(F.col(logit))

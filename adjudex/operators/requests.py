@@ -291,3 +291,24 @@ def reference_pool(sets: DataFrame, by: list[str], question_type: str = "questio
     status = F.when(F.col("bad"), "incompatible").when(~F.col("given"), "missing").when(winner.isNull(), "tied").otherwise("ok")
     usable = status.isin("ok", "tied")
     return pooled.select(*by, status.alias("status"), F.when(status == "ok", F.get(options, winner)).alias("label"), F.when(usable, F.col("mean")).alias("probabilities"), (usable & F.col("soft")).alias("probabilistic"))
+
+
+def _apart(left, right, at: str) -> set[str]:
+    """Paths below `at` where two JSON values differ; lists of unlike lengths and values of unlike kinds differ as a whole."""
+    if type(left) is not type(right):
+        return {at}
+    if isinstance(left, dict):
+        shared = left.keys() & right.keys()
+        return {f"{at}.{k}" for k in left.keys() ^ right.keys()}.union(*[_apart(left[k], right[k], f"{at}.{k}") for k in shared])
+    if isinstance(left, list) and len(left) == len(right):
+        return set().union(*[_apart(a, b, f"{at}[{i}]") for i, (a, b) in enumerate(zip(left, right, strict=True))])
+    return set() if left == right else {at}
+
+
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
+def changed_paths(left: str, right: str):
+    """Where two JSON records differ, as sorted paths from `record`; null if one isn't strict JSON."""
+    try:
+        return sorted(_apart(parsed(left), parsed(right), "record"))
+    except ValueError:
+        return None

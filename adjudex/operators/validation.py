@@ -112,3 +112,24 @@ def non_decreasing(rows: DataFrame, series: str, step: str, value: str) -> DataF
     """Steps at which a cumulative series falls: (`series`, `step`, `value`, `before`)."""
     before = F.lag(value).over(Window.partitionBy(series).orderBy(step))
     return rows.withColumn("before", before).filter(F.col(value) < F.col("before")).select(series, step, value, "before")
+
+
+def target_faults(expected: DataFrame, targets: DataFrame, on: list[str], within: float = 1e-6) -> DataFrame:
+    """Why stored targets can't be used: (`on`, `fault`), the first fault of each key; no rows if all can.
+
+    `expected` has `labels`, `request_sha256` and `computed` (a map as recomputed from raw observations, null where none is kept);
+    `targets` have `probabilities` (a map by label) and `request_sha256`. Faults: missing, unknown, repeated, request, labels, value
+    (null, not finite, outside [0, 1]), sum (off 1 by more than `within`), observation (off the recomputed one by more than 1e-12).
+    """
+    first = F.min_by(F.struct("probabilities", F.col("request_sha256").alias("hash")), "request_sha256").alias("t")
+    found = targets.groupBy(*on).agg(F.count(F.lit(1)).alias("times"), first)
+    rows = expected.select(*on, "labels", "request_sha256", "computed", F.lit(True).alias("wanted")).join(found, on, "full_outer")
+    p = F.col("t.probabilities")
+    values = F.map_values(p)
+    sound = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1))
+    apart = F.exists(F.map_keys(p), lambda k: F.abs(F.try_element_at(p, k) - F.coalesce(F.try_element_at("computed", k), F.lit(float("inf")))) > 1e-12)
+    fault = F.when(F.col("times").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("times") > 1, "repeated")
+    fault = fault.when(~F.col("t.hash").eqNullSafe(F.col("request_sha256")), "request")
+    fault = fault.when(p.isNull() | (F.sort_array(F.map_keys(p)) != F.sort_array("labels")), "labels").when(~sound, "value")
+    fault = fault.when(F.abs(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) - 1) > within, "sum").when(F.col("computed").isNotNull() & apart, "observation")
+    return rows.select(*on, fault.alias("fault")).filter("fault is not null")
