@@ -145,3 +145,39 @@ def verdict(said: Column) -> Column:
 def human_source(file: Column) -> Column:
     """Where a human text comes from: what stands before the first - of its file name, else the name without .txt."""
     return F.when(F.contains(file, F.lit("-")), F.substring_index(file, "-", 1)).otherwise(F.regexp_replace(file, r"(?i)\.txt$", ""))
+
+
+def rule_blocks(x: Column, starts: str = r"^rule( |<|$)", ends: str = r"^(syntax|endmodule|module|configuration)|^$") -> Column:
+    """Blocks of lines of a text without its `/* */` and `//` comments: each begins at a line that `starts`, trimmed, and goes on to the next such line or one that `ends`.
+
+    Null text gives null, a text without such lines an empty list.
+    """
+    bare = F.regexp_replace(F.regexp_replace(x, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    none = F.lit(None).cast("string")
+
+    def step(state: Column, line: Column) -> Column:
+        said = F.trim(line)
+        begins, open_ = said.rlike(starts), state["open"]
+        closed = F.when(open_.isNotNull() & (begins | said.rlike(ends)), F.concat(state["done"], F.array(open_))).otherwise(state["done"])
+        now = F.when(begins, line).when(open_.isNull() | said.rlike(ends), none).otherwise(F.concat(open_, F.lit("\n"), line))
+        return F.struct(closed.alias("done"), now.alias("open"))
+
+    nothing = F.struct(F.array().cast("array<string>").alias("done"), none.alias("open"))
+    return F.aggregate(F.split(bare, "\n"), nothing, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+
+
+#: Operators with a rule of one line each. Fixed values.
+ATOMIC_OPERATORS = ("<=", "==", "&&", "||", "+", "-", "*", "/", "%", "<", "!")
+
+
+def relevant_rules(blocks: Column, program: Column) -> Column:
+    """Of rule blocks those that `program` may need: rules of one operator, short and without a cell, go if the program has none of theirs."""
+
+    def needed(block: Column) -> Column:
+        head = F.substring_index(block, "=>", 1)
+        named = {o: head.rlike(r"(?<![A-Za-z0-9_])\Q" + o + r"\E(?![A-Za-z0-9_=])") for o in ATOMIC_OPERATORS}
+        any_of = lambda tests: F.exists(F.array(*tests), lambda t: t)
+        single = ~F.contains(head, F.lit("<k>")) & (count_words(head) <= 5) & any_of(named.values())
+        return ~single | any_of([named[o] & F.contains(program, F.lit(o)) for o in ATOMIC_OPERATORS])
+
+    return F.filter(blocks, needed)

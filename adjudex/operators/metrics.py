@@ -298,3 +298,72 @@ def exposure(rows: DataFrame, stream: str, place: str, length: str, batch: int)
 def step_exposure(step: Column, unique: int = 200, fresh: int = 20, replay: int = 3) -> Column:
     """What a training step has seen: struct of distinct repeats, new and replayed examples."""
     return F.struct(F.least(step, F.lit(unique)).alias("distinct"), (step * fresh).alias("fresh"), (step * replay).alias("replayed"))
+
+
+def metric_block(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """The figures of `grouped` by groups, and with them all else of a block, one row a group.
+
+    `mean_floored_nll` and `zero_targets` of the probability of the expected answer, `ece` over ten bins, `bins` (bin, n, confidence,
+    accuracy) that have rows, and `confusion` (expected, said, n), a tie being `__tie__`. What goes into a list are counts per group
+    and bin, or per group and pair of answers. No predictions: no rows.
+    """
+    from ..functions.probability import floored_nll
+
+    p = F.get("probabilities", F.col("expected"))
+    bin_ = F.least(F.floor(F.col("max_probability") * 10), F.lit(9)).cast("int").alias("bin")
+    whole = predictions.groupBy(*by).agg(*grouped(), F.avg(floored_nll(p)).alias("mean_floored_nll"), F.count_if(p == 0).alias("zero_targets"))
+    bins = predictions.groupBy(*by, bin_).agg(F.count(F.lit(1)).alias("n"), F.avg("max_probability").alias("confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    off = F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")
+    bins = bins.groupBy(*by).agg(off.alias("ece"), F.sort_array(F.collect_list(F.struct("bin", "n", "confidence", "accuracy"))).alias("bins"))
+    said = matrix(predictions, by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("expected", "said", "n"))).alias("confusion"))
+    if not by:
+        return whole.join(bins).join(said)
+    return whole.join(bins, by).join(said, by)
+
+
+def headline(predictions: DataFrame, families: DataFrame | None = None, family: str = "family_id", confident: float = 0.9) -> DataFrame:
+    """How many are right, of how many, and how many are wrong at a largest probability of `confident` or more; of `families` only, where given."""
+    rows = predictions if families is None else predictions.join(families.select(family).distinct(), family, "left_semi")
+    return rows.agg(F.count_if("correct").alias("right"), F.count(F.lit(1)).alias("total"), F.count_if(~F.col("correct") & (F.col("max_probability") >= confident)).alias("confident_wrong"))
+
+
+def both_systems(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Each case's two predictions, with `variation` and the largest `difference` of their probabilities; an error where a case is missing on a side or its expected answer or number of answers differs."""
+    from ..functions.probability import variation
+
+    names = ("expected", "predicted", "probabilities", "correct", "nll")
+    side = lambda df, s: df.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in names])
+    rows = side(left, "left").join(side(right, "right"), on, "full_outer")
+    a, b = F.col("left_probabilities"), F.col("right_probabilities")
+    alike = F.coalesce((F.col("left_expected") == F.col("right_expected")) & (F.size(a) == F.size(b)), F.lit(False))
+    rows = rows.filter(F.when(alike, True).otherwise(F.raise_error(F.lit("populations, labels or answers differ")).cast("boolean")))
+    return rows.withColumns({"variation": variation(a, b), "difference": F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))})
+
+
+def compare_systems(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """One row over `both_systems`: questions, label changes, largest difference, mean variation, and each side's right answers and mean loss."""
+    changed = F.count_if(~F.col("left_predicted").eqNullSafe(F.col("right_predicted")))
+    each = [f(f"{s}_{c}").alias(f"{s}_{name}") for s in ("left", "right") for c, name, f in (("correct", "correct", F.count_if), ("nll", "mean_nll", F.avg))]
+    return both_systems(left, right, on).agg(F.count(F.lit(1)).alias("questions"), changed.alias("label_changes"), F.max("difference").alias("max_difference"), F.avg("variation").alias("mean_variation"), *each)
+
+
+def family_bootstrap(sums: DataFrame, category: str, family: str, draws: int = 2000, seed: str = "families") -> DataFrame:
+    """Per metric: `difference` of right's ratio of sums and left's, with the interval [`low`, `high`] of 95 %.
+
+    `sums`: (category, family, metric, left_num, left_den, right_num, right_den). A draw takes as many families of each category as it
+    has, with replacement, each by a hash of (seed, draw, category, slot); the interval's ends are order statistics, the lower rounded
+    down, the upper up. A draw whose denominator is 0 doesn't count. Rows are families times draws, so sums per family come first.
+    """
+    names = ("left_num", "left_den", "right_num", "right_den")
+    per = sums.groupBy(category, family, "metric").agg(*[F.sum(c).alias(c) for c in names])
+    families = per.select(category, family).distinct()
+    families = families.withColumn("slot", F.row_number().over(Window.partitionBy(category).orderBy(family)) - 1).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(category)))
+    word = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "draw", category, F.col("slot").cast("string")), 256), 1, 12)
+    drawn = families.select(category, "slot", "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = drawn.select(category, "draw", (F.conv(word, 16, 10).cast("long") % F.col("size")).alias("slot")).groupBy(category, "slot", "draw").agg(F.count(F.lit(1)).alias("times"))
+    picked = drawn.join(families, [category, "slot"]).join(per, [category, family])
+    ratio = lambda t: share(F.sum(F.col("right_num") * t), F.sum(F.col("right_den") * t)) - share(F.sum(F.col("left_num") * t), F.sum(F.col("left_den") * t))
+    values = picked.groupBy("metric", "draw").agg(ratio(F.col("times")).alias("x")).groupBy("metric").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    last = F.size("xs") - 1
+    ends = values.select("metric", F.get("xs", F.floor(last * 0.025).cast("int")).alias("low"), F.get("xs", F.ceil(last * 0.975).cast("int")).alias("high"))
+    return per.groupBy("metric").agg(ratio(F.lit(1)).alias("difference")).join(ends, "metric", "left")

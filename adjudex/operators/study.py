@@ -212,3 +212,40 @@ def clarified(cases: DataFrame, category: str, wanted: str = "ordered_rubrics",
     shared = F.when(on, F.struct(F.col(choice).alias("choice_bands"), F.col(levels).alias("ordered_levels_low_to_high")))
     layout = F.when(on, "shared_definitions_clarified").otherwise(F.col("layout"))
     return cases.withColumns({state: F.struct(F.col(state).alias("evidence"), shared.alias("shared_definitions")), "layout": layout})
+
+
+def balanced_selection(rows: DataFrame, category: str, blueprint: str, kind: str, family: str, quotas: dict[int, int], seed: str) -> DataFrame:
+    """Of each category one family per blueprint, so that each kind comes up as often as `quotas` says: (category, blueprint, kind, family).
+
+    Of all such selections the first, blueprints and families being in the order of hashes of (seed, name). For each kind only a
+    blueprint's first family can be in it, so one row per blueprint and kind is what a category's task gets. No selection is an error,
+    a number of blueprints other than the sum of quotas one of its kinds.
+    """
+    order = lambda c: F.sha2(F.concat_ws("/", F.lit(seed), F.col(c).cast("string")), 256)
+    firsts = rows.filter(F.col(kind).isin(*quotas)).groupBy(category, blueprint, kind).agg(F.min(F.struct(order(family).alias("rank"), F.col(family).alias(family))).alias("first"))
+    firsts = firsts.select(category, blueprint, kind, order(blueprint).alias("blueprint_rank"), "first.*")
+    kinds = list(quotas)
+
+    def choose(part):
+        blocks = [b.sort_values("rank") for _, b in part.groupby("blueprint_rank", sort=True)]
+        # What quotas the blueprints from each on can use up.
+        usable = [{(0,) * len(kinds)}]
+        for block in reversed(blocks):
+            have = {kinds.index(k) for k in block[kind]}
+            more = {left[:i] + (left[i] + 1,) + left[i + 1 :] for left in usable[0] for i in have if left[i] < quotas[kinds[i]]}
+            usable.insert(0, more)
+        left, taken = tuple(quotas.values()), []
+        if left not in usable[0]:
+            raise ValueError(f"no balanced selection in {part[category].iloc[0]}")
+        for block, after in zip(blocks, usable[1:], strict=True):
+            for at, k in zip(block.index, block[kind], strict=True):
+                i = kinds.index(k)
+                rest = left[:i] + (left[i] - 1,) + left[i + 1 :]
+                if rest in after:
+                    left = rest
+                    taken.append(at)
+                    break
+        return part.loc[taken, [category, blueprint, kind, family]]
+
+    out = firsts.select(category, blueprint, kind, family).schema
+    return firsts.groupBy(category).applyInPandas(choose, out)

@@ -70,3 +70,62 @@ def nested_record_features(spark, sf_dir):
     question = F.struct(*[asked[k].alias(k) for k in ("actor", "operation", "target", "run_id")])
     records = records.select("*", question.alias("query"), asked["trusted"].alias("trusted_sources"), F.col("asked").alias("query_time"), asked["whole"].alias("inventory_complete"), F.lit(None).cast("array<string>").alias("item_ids"))
     return features(records.withColumnRenamed("user_id", "record"), "record")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '/\*(.|\n)*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS t FROM documents), s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(t, '[.!?] ', chr(10), 'g'), '\n') AS lines FROM d),
+  l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM s), f AS (SELECT *, regexp_matches(trim(line, ' '), '^[A-F]') AS starts, regexp_matches(trim(line, ' '), '^[X-ZÉ]|^$') AS ends FROM l),
+  b AS (SELECT *, count(*) FILTER (starts OR ends) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM f), g AS (SELECT doc_id, b, bool_or(starts) AS rule, string_agg(line, chr(10) ORDER BY i) AS block FROM b WHERE b > 0 GROUP BY doc_id, b)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INTEGER AS place, block FROM g WHERE rule""")
+def blocks_of_lines(spark, sf_dir):
+    lines = F.regexp_replace("text", "[.!?] ", "\n")
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.rule_blocks(lines, "^[A-F]", "^[X-ZÉ]|^$")).alias("place", "block"))
+
+
+_BINS = "SELECT lang, least(floor(max_probability * 10), 9) AS bin, count(*) AS n, avg(max_probability) AS c, avg(correct::INTEGER) AS a FROM pred GROUP BY ALL"
+
+
+@query(_PRED.format("a") + f""", bins AS ({_BINS}), e AS (SELECT lang, sum(n * abs(c - a)) / sum(n) AS ece, string_agg(bin::INTEGER || ':' || n, ' ' ORDER BY bin) AS bins FROM bins GROUP BY lang),
+  m AS (SELECT lang, string_agg(expected || '>' || predicted || ':' || n, ' ' ORDER BY expected, predicted) AS confusion FROM (SELECT lang, expected, predicted, count(*) AS n FROM pred GROUP BY ALL) GROUP BY lang)
+  SELECT lang, count(*) AS n, avg(correct::INTEGER) AS accuracy, avg(-ln(greatest(CASE WHEN expected = 1 THEN p ELSE 1 - p END, 1e-12))) AS mean_floored_nll, count(*) FILTER (CASE WHEN expected = 1 THEN p ELSE 1 - p END = 0) AS zero_targets,
+    count(*) FILTER (NOT correct AND max_probability >= 0.9) AS wrong_90, any_value(ece) AS ece, any_value(bins) AS bins, any_value(confusion) AS confusion FROM pred JOIN e USING (lang) JOIN m USING (lang) GROUP BY lang""")
+def metric_blocks(spark, sf_dir):
+    rows = metrics.metric_block(_predictions(spark, sf_dir), ["lang"])
+    bins = F.array_join(F.transform("bins", lambda b: F.concat_ws(":", b["bin"], b["n"])), " ").alias("bins")
+    said = F.array_join(F.transform("confusion", lambda c: F.concat(c["expected"], F.lit(">"), c["said"], F.lit(":"), c["n"])), " ").alias("confusion")
+    return rows.select("lang", "n", "accuracy", "mean_floored_nll", "zero_targets", "wrong_90", "ece", bins, said)
+
+
+_TWO = _PRED.format("a") + ", other AS (" + _PRED.format("b") + "SELECT * FROM pred) "
+
+
+@query(_TWO + """SELECT count(*) AS questions, count(*) FILTER (a.predicted <> b.predicted) AS label_changes, max(abs(a.p - b.p)) AS max_difference, avg(abs(a.p - b.p)) AS mean_variation,
+  count(*) FILTER (a.correct) AS left_correct, avg(a.nll) AS left_mean_nll, count(*) FILTER (b.correct) AS right_correct, avg(b.nll) AS right_mean_nll FROM pred a JOIN other b USING (doc_id)""")
+def compared_systems(spark, sf_dir):
+    return metrics.compare_systems(_predictions(spark, sf_dir, "a"), _predictions(spark, sf_dir, "b"), ["doc_id"])
+
+
+@query(_PRED.format("a") + "SELECT count(*) FILTER (correct) AS right, count(*) AS total, count(*) FILTER (NOT correct AND max_probability >= 0.9) AS confident_wrong FROM pred WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 0)".replace(" AS right", ' AS "right"'))
+def headline_of_families(spark, sf_dir):
+    even = read(spark, sf_dir, "documents").groupBy("source").count().filter("count % 2 = 0")
+    return metrics.headline(_predictions(spark, sf_dir), even, "source")
+
+
+@query(_TWO + """, v AS (SELECT lang, source, 'accuracy' AS metric, sum(a.correct::INTEGER)::DOUBLE AS l, sum(b.correct::INTEGER)::DOUBLE AS r, count(*) AS n FROM pred a JOIN other b USING (doc_id, lang, source) GROUP BY lang, source
+    UNION ALL SELECT lang, source, 'nll', sum(a.nll), sum(b.nll), count(*) FROM pred a JOIN other b USING (doc_id, lang, source) GROUP BY lang, source),
+  f AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS size FROM (SELECT DISTINCT lang, source FROM v)),
+  d AS (SELECT lang, draw, ('0x' || substr(sha256('families|' || draw || '|' || lang || '|' || slot), 1, 12))::BIGINT % size AS slot FROM f, range(1, 201) t(draw)),
+  x AS (SELECT metric, draw, sum(r) / sum(n) - sum(l) / sum(n) AS x FROM d JOIN f USING (lang, slot) JOIN v USING (lang, source) GROUP BY metric, draw), o AS (SELECT metric, list(x ORDER BY x) AS xs FROM x GROUP BY metric),
+  t AS (SELECT metric, sum(r) / sum(n) - sum(l) / sum(n) AS difference FROM v GROUP BY metric)
+  SELECT metric, difference, xs[1 + floor((len(xs) - 1) * 0.025::DOUBLE)::INTEGER] AS low, xs[1 + ceil((len(xs) - 1) * 0.975::DOUBLE)::INTEGER] AS high FROM o JOIN t USING (metric)""")
+def family_intervals(spark, sf_dir):
+    rows = metrics.both_systems(*(_predictions(spark, sf_dir, s) for s in "ab"), ["doc_id", "lang", "source"])
+    of = lambda name, side, c: F.sum(F.col(f"{side}_{c}").cast("double")).alias(name)
+    sums = [rows.groupBy("lang", "source").agg(F.lit(m).alias("metric"), of("left_num", "left", c), F.count(F.lit(1)).alias("left_den"), of("right_num", "right", c), F.count(F.lit(1)).alias("right_den")) for m, c in (("accuracy", "correct"), ("nll", "nll"))]
+    return metrics.family_bootstrap(sums[0].unionByName(sums[1]), "lang", "source", draws=200)
+
+
+@query()
+def balanced_orders(spark, sf_dir):
+    """Exact quotas have no SQL; the test holds them against all selections."""
+    rows = read(spark, sf_dir, "orders").selectExpr("o_custkey % 3 AS category", "o_orderkey % 20 AS blueprint", "2 + CAST(o_totalprice AS BIGINT) % 4 AS kind", "o_orderkey AS family")
+    return study.balanced_selection(rows, "category", "blueprint", "kind", "family", {2: 5, 3: 5, 4: 5, 5: 5}, "balanced")
