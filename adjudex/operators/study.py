@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -249,3 +250,58 @@ def balanced_selection(rows: DataFrame, category: str, blueprint: str, kind: str
 
     out = firsts.select(category, blueprint, kind, family).schema
     return firsts.groupBy(category).applyInPandas(choose, out)
+
+
+def family_schedule(families: DataFrame, family: str, place: str, pools: DataFrame, steps: int, repeat: int | None = None, seed: int = 42) -> DataFrame:
+    """(`step`, `origin`, `primitive`, `source`, `id`): a new family for each step by its `place` from 0, and replayed rows of `pools` (primitive, source, id) as by `schedule`.
+
+    With `repeat` the first so many families take turns; without it, fewer families than steps are an error. Replay depends on the step
+    alone, so both kinds of schedule see the same old rows at a step.
+    """
+    active = families.select(F.col(place).cast("long").alias("at"), F.col(family).alias("id")).filter(F.col("at") < (repeat or steps))
+    turns = families.sparkSession.range(steps).select(F.col("id").alias("step"), (F.col("id") % (repeat or steps)).alias("at")).join(active, "at", "left")
+    known = F.coalesce(F.col("id"), F.raise_error(F.lit("families do not cover the steps")).cast(active.schema["id"].dataType))
+    none = F.lit(None).cast("string")
+    new = turns.select("step", F.lit("new").alias("origin"), none.alias("primitive"), none.alias("source"), known.alias("id"))
+    return new.unionByName(schedule(pools.withColumn("origin", F.lit("old")), steps, seed))
+
+
+def disguised_records(rows: DataFrame, column: str, aliases: dict[str, str], scale: float, offset: float, inverse: bool = False, clocks: tuple[str, ...] = ("time", "query_time", "window")) -> DataFrame:
+    """`rows` with all strings of a nested column in their alias, and numbers of its fields named in `clocks` as scale * t + offset; `inverse` turns both back.
+
+    Structs and arrays may nest at will: the column's type gives the expression. A clock that is no number is refused, as is what
+    `disguised` refuses; nulls and strings without an alias stay.
+    """
+    if not scale or len(set(aliases.values())) < len(aliases):
+        raise ValueError("not reversible")
+    pairs = [(b, a) if inverse else (a, b) for a, b in aliases.items()]
+    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.create_map().cast("map<string,string>")
+
+    def visit(c: Column, kind: T.DataType, name: str) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[visit(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: visit(x, kind.elementType, name))
+        if isinstance(kind, T.StringType) and name not in clocks:
+            return F.coalesce(F.try_element_at(table, c), c)
+        if name not in clocks:
+            return c
+        if not isinstance(kind, T.NumericType):
+            raise ValueError(f"{name} is no number")
+        return (c - offset) / scale if inverse else c * scale + offset
+
+    return rows.withColumn(column, visit(F.col(column), rows.schema[column].dataType, column))
+
+
+def prefix_coverage(rows: DataFrame, place: str, prefixes: list[int], category: str, signatures: list[str]) -> DataFrame:
+    """(`prefix`, category, `n`, and of each of `signatures` the number of distinct values) over nested prefixes of an order from 0.
+
+    A row counts in every prefix longer than its place. Nulls are no value.
+    """
+    held = F.filter(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.col(place) < p)
+    return rows.withColumn("prefix", F.explode(held)).groupBy("prefix", category).agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(s).alias(s) for s in signatures])
+
+
+def repeated_signatures(rows: DataFrame, signature: str) -> DataFrame:
+    """Signatures that more than one row has, with `n`; none in a population of different rows."""
+    return rows.groupBy(signature).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

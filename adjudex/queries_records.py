@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import metrics, study
+from .operators.records import auxiliary_facts, semantic_signature
 from .operators.records import record_features as features
 from .queries import _PRED, _predictions
-from .registry import query, read
+from .queries_study import training_schedule
+from .registry import SQL, query, read
 
 #: Each event as a report about its user's record: what kind of report, and its fields, by its number.
 _REPORT = {
@@ -23,9 +26,10 @@ _ASKED = {
     "win_start": "min(event_id) + (max(event_id) - min(event_id)) // 10", "win_end": "max(event_id) - (max(event_id) - min(event_id)) // 10", "asked": "(min(event_id) + max(event_id)) // 2",
     "trusted": "CASE WHEN user_id % 2 = 0 THEN ['s0', 's1', 's2'] ELSE ['s1', 's2', 's3'] END", "whole": "user_id % 4 <> 1", "measurement": "CASE WHEN user_id % 3 = 0 THEN sum(CASE WHEN event_id % 8 = 0 THEN event_id ELSE 0 END)::DOUBLE END",
 }
-_FLAT = f"""WITH e AS (SELECT *, event_id // 8 AS j FROM events), r AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _REPORT.items())} FROM e),
+_REPORTS = f"""WITH e AS (SELECT *, event_id // 8 AS j FROM events), r AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _REPORT.items())} FROM e),
   q AS (SELECT user_id AS record, {', '.join(f'{v} AS {"q_" + k if k in ("actor", "operation", "target", "run_id") else k}' for k, v in _ASKED.items())} FROM events GROUP BY user_id),
-  m AS (SELECT *, coalesce(actor = q_actor, true) AND operation = q_operation AND target = q_target AS act, time BETWEEN win_start AND win_end AS inside, verified AND list_contains(trusted, source) AS auth FROM r JOIN q USING (record)),
+  m AS (SELECT *, coalesce(actor = q_actor, true) AND operation = q_operation AND target = q_target AS act, time BETWEEN win_start AND win_end AS inside, verified AND list_contains(trusted, source) AS auth FROM r JOIN q USING (record))"""
+_FLAT = _REPORTS + """,
   n AS (SELECT *, act AND coalesce(run_id = q_run_id, true) AS run FROM m), x AS (SELECT *, kind IN (2, 3) AND run AND inside AS invoked, mode = 'live' AND auth AS real FROM n),
   w AS (SELECT record, run_id, source, time FROM x WHERE invoked AND real AND outcome = 'success'),
   rev AS (SELECT DISTINCT x.record FROM x JOIN w ON w.record = x.record AND x.reverses = w.run_id AND x.time >= w.time WHERE kind = 4 AND act AND inside AND real AND outcome = 'success'),
@@ -54,8 +58,8 @@ def _spark_sql(sql: str) -> str:
     return sql.replace("//", "div").replace("['s", "array('s").replace("']", "')")
 
 
-@query(_FLAT)
-def nested_record_features(spark, sf_dir):
+def _records(spark, sf_dir):
+    """Each user's events as one record of nested lists."""
     events = read(spark, sf_dir, "events").withColumn("j", F.expr("event_id div 8"))
     rows = events.select("user_id", "event_id", *[F.expr(_spark_sql(v)).alias(k) for k, v in _REPORT.items()])
     fields = {
@@ -69,7 +73,57 @@ def nested_record_features(spark, sf_dir):
     records = rows.groupBy("user_id").agg(*lists, *[asked[k].alias(k) for k in ("win_start", "win_end", "asked", "measurement")])
     question = F.struct(*[asked[k].alias(k) for k in ("actor", "operation", "target", "run_id")])
     records = records.select("*", question.alias("query"), asked["trusted"].alias("trusted_sources"), F.col("asked").alias("query_time"), asked["whole"].alias("inventory_complete"), F.lit(None).cast("array<string>").alias("item_ids"))
-    return features(records.withColumnRenamed("user_id", "record"), "record")
+    return records.withColumnRenamed("user_id", "record")
+
+
+@query(_FLAT)
+def nested_record_features(spark, sf_dir):
+    return features(_records(spark, sf_dir), "record")
+
+
+_SEEN = {n: f"kind IN (2, 3) AND {c} IS NOT DISTINCT FROM q_{c}" for n, c in (("actor", "actor"), ("operation", "operation"), ("target", "target"), ("run", "run_id"))}
+_AUXILIARY = {
+    "statement_claim": "kind = 0 AND act AND tense = 'completed' AND polarity = 'positive'", "statement_intent": "kind = 0 AND act AND tense = 'future' AND polarity = 'positive'",
+    "statement_denial": "kind = 0 AND act AND tense = 'completed' AND polarity = 'negative'", "statement_endorsed": "kind = 0 AND act AND tense = 'completed' AND polarity = 'positive' AND endorsed",
+    "execution_present": "kind IN (2, 3)", "execution_joint_identity": "kind IN (2, 3) AND run", "execution_joint_in_window": "scoped", "execution_joint_authentic": "scoped AND auth", "execution_joint_live": "scoped AND auth AND mode = 'live'",
+    "scoped_untrusted_execution": "scoped AND NOT auth", "scoped_nonlive_execution": "scoped AND mode <> 'live'", "scoped_success_report": "scoped AND outcome = 'success'", "scoped_no_effect_report": "scoped AND outcome = 'no_effect'",
+    "live_success_receipt": "scoped AND auth AND mode = 'live' AND outcome = 'success'", "live_no_effect_receipt": "scoped AND auth AND mode = 'live' AND outcome = 'no_effect'", "live_timeout_receipt": "scoped AND auth AND mode = 'live' AND outcome = 'timeout'",
+    "other_live_success_receipt": "kind IN (2, 3) AND NOT run AND inside AND auth AND mode = 'live' AND outcome = 'success'", **{f"execution_{n}_seen": c for n, c in _SEEN.items()},
+}
+_PERMIT = "max_by(decision, time) FILTER (kind = 1 AND act AND inside AND auth) IS NOT DISTINCT FROM"
+_STATE = "arg_max_null(active, time) FILTER (kind = 7 AND target = q_target AND auth AND time <= {})"
+_MORE = {
+    "permission_latest_allow_report": f"{_PERMIT} 'allow'", "permission_latest_deny_report": f"{_PERMIT} 'deny'", "linked_corroboration_receipt": "record IN (FROM cor)", "linked_reversal_success_receipt": "record IN (FROM rev)",
+    "state_earlier_known": f"{_STATE.format('asked')} IS NOT NULL", "state_earlier_active": _STATE.format("asked"), "state_current_known": f"{_STATE.format('win_end')} IS NOT NULL", "state_current_active": _STATE.format("win_end"),
+    "inventory_complete": "any_value(whole)", "item_scope_count": "3", "item_success_count": "any_value(wins)", "item_no_effect_count": "any_value(losses)", "item_unknown_count": "3 - coalesce(any_value(wins), 0) - coalesce(any_value(losses), 0)",
+    "measurement_known": "any_value(measurement) IS NOT NULL", "measurement_value": "any_value(measurement)",
+}
+_KNOWN = "CASE fact WHEN 'measurement_value' THEN measured WHEN 'state_earlier_active' THEN earlier_known WHEN 'state_current_active' THEN current_known ELSE true END"
+
+
+@query(_REPORTS.replace("coalesce(actor = q_actor, true)", "actor IS NOT DISTINCT FROM q_actor") + f""", k AS (SELECT *, act AND run_id IS NOT DISTINCT FROM q_run_id AS run, kind IN (2, 3) AND act AND run_id IS NOT DISTINCT FROM q_run_id AND inside AS scoped FROM m),
+  w AS (SELECT record, run_id, source, time FROM k WHERE scoped AND auth AND mode = 'live' AND outcome = 'success'),
+  rev AS (SELECT DISTINCT k.record FROM k JOIN w ON w.record = k.record AND k.reverses = w.run_id AND k.time >= w.time WHERE kind = 4 AND act AND inside AND auth AND mode = 'live' AND outcome = 'success'),
+  cor AS (SELECT DISTINCT k.record FROM k JOIN w ON w.record = k.record AND k.source <> w.source AND k.time >= w.time WHERE kind = 5 AND run AND inside AND auth AND outcome = 'success'),
+  it AS (SELECT record, count(*) FILTER (lo = hi AND lo = 'success') AS wins, count(*) FILTER (lo = hi AND lo = 'no_effect') AS losses FROM (SELECT record, item, min(status) AS lo, max(status) AS hi FROM k WHERE kind = 6 AND verified AND status <> 'open' AND item IN ('i0', 'i2', 'i9') GROUP BY ALL) GROUP BY record),
+  g AS (SELECT record, {', '.join(f'coalesce(bool_or({c})::INTEGER, 0)::DOUBLE AS {n}' for n, c in _AUXILIARY.items())}, {', '.join(f'coalesce(({c})::DOUBLE, 0) AS {n}' for n, c in _MORE.items())},
+    any_value(measurement) IS NOT NULL AS measured, {_STATE.format('asked')} IS NOT NULL AS earlier_known, {_STATE.format('win_end')} IS NOT NULL AS current_known FROM k LEFT JOIN it USING (record) GROUP BY record),
+  u AS (UNPIVOT g ON COLUMNS(* EXCLUDE (record, measured, earlier_known, current_known)) INTO NAME fact VALUE target), v AS (SELECT u.record, fact, target, record % 3 < 2 AND ({_KNOWN}) AS mask FROM u)
+  SELECT record, fact, CASE WHEN mask THEN target ELSE 0 END AS target, mask FROM v""")
+def auxiliary_record_facts(spark, sf_dir):
+    names = [*_AUXILIARY, *_MORE]
+    rows = _records(spark, sf_dir).withColumns({"item_ids": F.array(*map(F.lit, ("i0", "i2", "i9", "i0"))), "category": F.concat(F.lit("c"), F.col("record") % 3)})
+    found = auxiliary_facts(rows, "record", "category", dict.fromkeys(names, ["c0", "c1"]))
+    each = F.arrays_zip(F.array(*map(F.lit, names)).alias("fact"), F.col("targets").alias("target"), F.col("masks").alias("mask"))
+    return found.select("record", F.inline(each).alias("fact", "target", "mask"))
+
+
+@query()
+def record_signatures(spark, sf_dir):
+    """Names by role and order have no SQL; the test holds signatures against renamed records."""
+    rows = _records(spark, sf_dir)
+    record = F.to_json(F.struct("query", "trusted_sources", "win_start", "win_end", "statements", "approvals", "executions", "reversals", "corroborations", "items", "state_events"))
+    return rows.select("record", semantic_signature(record, F.lit("[]")).alias("signature"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '/\*(.|\n)*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS t FROM documents), s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(t, '[.!?] ', chr(10), 'g'), '\n') AS lines FROM d),
@@ -129,3 +183,33 @@ def balanced_orders(spark, sf_dir):
     """Exact quotas have no SQL; the test holds them against all selections."""
     rows = read(spark, sf_dir, "orders").selectExpr("o_custkey % 3 AS category", "o_orderkey % 20 AS blueprint", "2 + CAST(o_totalprice AS BIGINT) % 4 AS kind", "o_orderkey AS family")
     return study.balanced_selection(rows, "category", "blueprint", "kind", "family", {2: 5, 3: 5, 4: 5, 5: 5}, "balanced")
+
+
+@query("""SELECT user_id, event_id, 2 * value + 1 AS value, CASE event_type WHEN 'click' THEN 'k1' WHEN 'view' THEN 'k2' ELSE event_type END AS said, value AS back_value, event_type AS back_said FROM events""")
+def disguised_lists(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_id", F.struct(F.col("value").alias("time"), F.array("event_type").alias("said")).alias("what"))).alias("log"))
+    how = dict(aliases={"click": "k1", "view": "k2"}, scale=2.0, offset=1.0)
+    there = study.disguised_records(rows, "log", **how).withColumn("kept", F.col("log"))
+    back = study.disguised_records(there, "log", inverse=True, **how).select("user_id", F.inline(F.arrays_zip("kept", "log")))
+    return back.select("user_id", "kept.event_id", F.col("kept.what.time").alias("value"), F.col("kept.what.said")[0].alias("said"), F.col("log.what.time").alias("back_value"), F.col("log.what.said")[0].alias("back_said"))
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents) SELECT prefix, lang, count(*) AS n, count(DISTINCT source) AS source, count(DISTINCT n_chars % 50) AS shape
+  FROM p JOIN (SELECT unnest([10, 40, 100])::INTEGER AS prefix) ON place < prefix GROUP BY prefix, lang""")
+def covered_prefixes(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("lang", "source", (F.col("n_chars") % 50).alias("shape"), (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("place")).filter("place < 100")
+    return study.prefix_coverage(rows, "place", [10, 40, 100], "lang", ["source", "shape"])
+
+
+@query("SELECT sha256(text) AS signature, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def repeated_texts(spark, sf_dir):
+    return study.repeated_signatures(read(spark, sf_dir, "documents").filter("text is not null").select(X.digest(F.col("text")).alias("signature")), "signature")
+
+
+_REPLAY = SQL[training_schedule.__name__].replace("CASE WHEN doc_id % 2 = 0 THEN 'broad' ELSE 'contrast' END", "'old'")
+
+
+@query(f"SELECT step, 'new' AS origin, NULL AS primitive, NULL AS source, 1000000000 + step % 40 AS id FROM range(300) t(step) UNION ALL SELECT step, origin, primitive, source, id FROM ({_REPLAY})")
+def families_in_turn(spark, sf_dir):
+    families = read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", (F.lit(1000000000) + F.col("conv_id")).alias("id"))
+    return study.family_schedule(families, "id", "conv_id", read(spark, sf_dir, "documents").select(F.col("lang").alias("primitive"), "source", F.col("doc_id").alias("id")), 300, repeat=40)

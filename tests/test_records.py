@@ -183,3 +183,33 @@ def test_signatures_forget_names_only(spark):
     df = spark.createDataFrame([(t, "{}") for t in (text, renamed, *others)] + [(text, "[1]"), (None, "{}"), ("{}", None)], "r string, p string")
     got = [r["s"] for r in df.select(semantic_signature("r", "p").alias("s")).collect()]
     assert got[0] == got[1] and got[7] is None and len(set(got)) == len(got) - 1
+
+
+def test_disguised_records_come_back(spark):
+    df = spark.createDataFrame([((3.0, [1.0, 5.0], [("ann", 2)], "x"),), ((None, None, [None, (None, None)], None),), (None,)], "r struct<time:double,window:array<double>,who:array<struct<name:string,n:int>>,other:string>")
+    how = dict(aliases={"ann": "bob"}, scale=4.0, offset=-1.0)
+    there = study.disguised_records(df, "r", **how)
+    assert there.first()["r"].asDict(True) == {"time": 11.0, "window": [3.0, 19.0], "who": [{"name": "bob", "n": 2}], "other": "x"}
+    assert study.disguised_records(there, "r", inverse=True, **how).collect() == df.collect()
+    with pytest.raises(ValueError, match="no number"):
+        study.disguised_records(spark.createDataFrame([((True,),)], "r struct<time:boolean>"), "r", **how)
+    with pytest.raises(ValueError, match="reversible"):
+        study.disguised_records(df, "r", {"a": "c", "b": "c"}, 1.0, 0.0)
+
+
+def test_family_schedule(spark):
+    pools = spark.createDataFrame([("p", "s", "old1"), ("p", "s", "old2")], "primitive string, source string, id string")
+    families = spark.createDataFrame([(f"f{i}", i) for i in range(3)], "family string, place int")
+    ask = lambda n, **how: sorted((r["step"], r["origin"], r["id"]) for r in study.family_schedule(families, "family", "place", pools, n, **how).collect())
+    assert [x[2] for x in ask(3) if x[1] == "new"] == ["f0", "f1", "f2"] and [x[2] for x in ask(5, repeat=2) if x[1] == "new"] == ["f0", "f1", "f0", "f1", "f0"]
+    old = lambda rows: [x for x in rows if x[1] == "old" and x[0] < 3]
+    assert old(ask(3)) == old(ask(5, repeat=2)) and len(old(ask(3))) == 3
+    with pytest.raises(Exception, match="do not cover"):
+        ask(4)
+
+
+def test_prefix_coverage_and_repeats(spark):
+    df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "x"), ("b", 2, None), ("a", 3, "y")], "c string, place int, s string")
+    got = {(r["prefix"], r["c"]): (r["n"], r["s"]) for r in study.prefix_coverage(df, "place", [2, 4], "c", ["s"]).collect()}
+    assert got == {(2, "a"): (2, 1), (4, "a"): (3, 2), (4, "b"): (1, 0)}
+    assert [tuple(r) for r in study.repeated_signatures(df, "s").collect()] == [("x", 2)]
