@@ -22,14 +22,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str = "core") -> DataFrame:
+def saved(df: DataFrame, name: str = "core", by: tuple[str, ...] = ()) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: the lineage ends here and a lost executor costs no more than a re-read.
 
-    The table goes when the process ends, or with `discard`.
+    With `by`, rows go to folders by these columns, of few values, so that a filter on them reads its own only. The table goes when the process ends, or with `discard`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/adjudex-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back.adjudex_path = path
