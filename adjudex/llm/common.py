@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python worker takes apart at a time.
 SLICE_BYTES = 4 << 20
 
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +56,16 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def word_spans(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, those of SLICE_BYTES at a time."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, min(at + SLICE_BYTES, len(text)))
+        stop = blank.start() if blank else len(text)
+        yield text[at:stop].split()
+        at = stop
+
+
 def output(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import compress, count
@@ -13,21 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, slices, table, texts
+from .common import WORD, slices, table, texts, word_spans
 
 #: A run has so many words, and so many periods, at least.
 MIN_WORDS, MIN_PERIODS = 24, 3
 #: Grid points looked at in one go.
 BLOCK = 1 << 20
-#: Bytes of text that are split into words in one go.
-SPLIT_BYTES = 4 << 20
 #: Symbols at which the grammar stops; a level of so few is walked through.
 TOP = 32
 #: Partitions of the alphabet of which a round of pairs takes the one with most pairs.
 DRAWS = 4
 
-_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
-
 
 class Grammar:
     """A run-length grammar of a sequence by recompression, level by level.
@@ -188,22 +183,12 @@ def word_runs(words: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: i
     return found
 
 
-def _spans(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, those of SPLIT_BYTES at a time."""
-    at = 0
-    while at < len(text):
-        blank = _BLANK.search(text, min(at + SPLIT_BYTES, len(text)))
-        stop = blank.start() if blank else len(text)
-        yield text[at:stop].split()
-        at = stop
-
-
 def _numbered(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of all texts as numbers, with marks around each text that stand nowhere else; where texts begin, and how many words they have."""
     number: dict[bytes, int] = defaultdict(count(len(docs) + 1).__next__)
     parts, sizes = [np.array([0], dtype=np.int32)], np.zeros(len(docs), dtype=np.int64)
     for d, text in enumerate(docs):
-        for words in _spans(text):
+        for words in word_spans(text):
             parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
             sizes[d] += len(words)
         parts.append(np.array([d + 1], dtype=np.int32))
@@ -213,12 +198,12 @@ def _numbered(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _collapsed(text: bytes, n: int, runs: np.ndarray) -> bytes:
     """The words that no run contains after its first period, joined by one space; `runs` has starts, lengths, periods."""
     if not len(runs):
-        return b" ".join(w for words in _spans(text) for w in words)
+        return b" ".join(w for words in word_spans(text) for w in words)
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, runs[:, 0] + runs[:, 2], 1)
     np.add.at(change, runs[:, 0] + runs[:, 1], -1)
     keep, at, out = np.cumsum(change) == 0, 0, []
-    for words in _spans(text):
+    for words in word_spans(text):
         out.extend(compress(words, keep[at : at + len(words)]))
         at += len(words)
     return b" ".join(out)
