@@ -209,7 +209,8 @@ def repeated_texts(spark, sf_dir):
 _REPLAY = SQL[training_schedule.__name__].replace("CASE WHEN doc_id % 2 = 0 THEN 'broad' ELSE 'contrast' END", "'old'")
 
 
-@query(f"SELECT step, 'new' AS origin, NULL AS primitive, NULL AS source, 1000000000 + step % 40 AS id FROM range(300) t(step) UNION ALL SELECT step, origin, primitive, source, id FROM ({_REPLAY})")
+@query(f"SELECT step, 'new' AS origin, NULL AS primitive, NULL AS source, 1000000000 + step % (SELECT 1 + max(conv_id) FROM conversations) AS id FROM range(300) t(step) UNION ALL SELECT step, origin, primitive, source, id FROM ({_REPLAY})")
 def families_in_turn(spark, sf_dir):
-    families = read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", (F.lit(1000000000) + F.col("conv_id")).alias("id"))
-    return study.family_schedule(families, "id", "conv_id", read(spark, sf_dir, "documents").select(F.col("lang").alias("primitive"), "source", F.col("doc_id").alias("id")), 300, repeat=40)
+    talks = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    families = talks.select("conv_id", (F.lit(1000000000) + F.col("conv_id")).alias("id"))
+    return study.family_schedule(families, "id", "conv_id", read(spark, sf_dir, "documents").select(F.col("lang").alias("primitive"), "source", F.col("doc_id").alias("id")), 300, repeat=1 + talks.agg(F.max("conv_id")).first()[0])
