@@ -117,16 +117,30 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - apart / HASHES - chance) / (1 - chance)
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """From a forest (`node`, `component`, its parent, itself at a root) to each node's root, in steps that double their reach."""
+    while True:
+        onward = parents.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        further = saved(parents.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component"), F.col("component").alias("was")), "parents")
+        done = further.filter("component <> was").isEmpty()
+        discard(parents)
+        parents = further
+        if done:
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (`a`, `b`) to `node`, `component`: the least node that can be reached.
 
-    Each round maps every node to its least neighbour and links what they map to; stars vanish in one round, chains at least halve.
-    Links shrink from round to round, each round is written to the shared folder, and minima are aggregated before they move.
+    Each round maps every node to its least neighbour, if that is less than itself, follows these to their roots, which takes steps in
+    the logarithm of their depth, and links what nodes map to. A root that no node maps to has only smaller neighbours in the next
+    round, so two rounds leave half of the nodes at most, whatever the order of ids in a chain. Links shrink from round to round, each
+    round is written to the shared folder, and minima are aggregated before they move.
     """
     label, links = None, saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     while not links.isEmpty():
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "parents")
+        up = _roots(saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "parents"))
         before, label = label, up
         if before is not None:
             nxt = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -134,7 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
         pa_, pb = up.select(F.col("node").alias("a"), F.col("component").alias("x")), up.select(F.col("node").alias("b"), F.col("component").alias("y"))
         used, links = links, saved(links.join(pa_, "a").join(pb, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         discard(used, before, *([up] if label is not up else []))
-    return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return label.select("node", "component") if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 class _Compare:
