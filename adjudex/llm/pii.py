@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, saved, table
+from .common import free_name, table
 
 # Titles by gender, syllables by script.
 MEN = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος")
@@ -17,14 +16,14 @@ EITHER = ("Dr", "Prof", "Doctor", "Professor")
 #: After these two names or more are a person, of no known gender.
 CUES = ("my name is", "name", "contact", "contact person", "author", "signed", "regards", "best regards", "kind regards", "sincerely", "yours sincerely")
 WOMEN = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа", "Κυρία")
-SYLLABLES = {
-    "latin": ("ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"),
-    "cyrillic": ("ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"),
-    "greek": ("βα", "δε", "φι", "γο", "χα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "θε", "ξι", "ζο"),
-}
-#: Letters that stand for the sixteen hexadecimal digits, by script.
-LETTERS = {"latin": "abcdefghijklmnop", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ", "han": "安北成大方光海金林明南平清山文新"}
-ENDINGS = {"latin": ("an", "ina"), "cyrillic": ("ан", "ина"), "greek": ("αν", "ινα")}
+#: What characters change places with, in addresses, numbers and names. Those beyond ASCII that stand in no class do so with Han, Hangul, or the sixteen of their own block.
+WORDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
+#: The same in secrets: hexadecimal digits stay hexadecimal.
+SECRETS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+#: First and last code points of Han and Hangul.
+WIDE = ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: Ends of names by gender: man, woman, neither. None is the end of another, so a name is known by what stands before its end.
+ENDINGS = {"latin": ("an", "ina", "el"), "cyrillic": ("ан", "ина", "ел"), "greek": ("αν", "ινα", "ελ")}
 
 #: Country calling codes: 1 and 7, those of two digits, all others of three.
 CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -36,7 +35,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]++(?![\p{N}_@])"
 #: What stands before a person's names: a title, or a cue.
 _LEAD = rf"(?:(?:{_TITLES})\.? |(?i:{_CUES})(?: ?[:,]| is)?\s{{1,3}}(?=\p{{Lu}}[\p{{L}}'’-]++ \p{{Lu}}))"
 TYPES = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}\p{L}++",
     "secret": r"(?i:(?:token|secret|api_?key|password|passwd|pwd)\s{0,3}[=:]\s{0,3})[\"']?[A-Za-z0-9_+/-]{12,}",
     "key": r"AKIA[0-9A-Z]{16}(?!\w)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -65,38 +64,82 @@ def _hmac(key: str, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(x ^ 0x5C for x in raw)), F.unhex(inner)), 256)
 
 
-def _hash(key: str, norm: Column, attempt: Column) -> Column:
-    """128 hexadecimal digits from the key, the normal form with its type, and the attempt."""
-    seed = F.concat_ws("|", attempt.cast("string"), norm)
-    return F.concat(_hmac(key, F.concat(F.lit("1|"), seed)), _hmac(key, F.concat(F.lit("2|"), seed)))
+def _only_digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _stretch(stream: Column, value: Column) -> Column:
-    return F.rpad(stream, F.length(value), stream)
+def _code(size: int | Column, base: int | Column, at: Column) -> Column:
+    """A place `at` in a class of `size` that begins at `base`; of size 0 what stays as it is."""
+    as_int = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("int")
+    return F.struct(as_int(size).alias("size"), as_int(base).alias("base"), as_int(at).alias("at"))
 
 
-def _digits(h: Column) -> Column:
-    return F.translate(h, "abcdef", "012345")
+def _codes(value: Column, classes: tuple[str, ...]) -> Column:
+    """The characters of a text as places in their classes."""
+    table_ = "".join(classes)
 
+    def one(x: Column) -> Column:
+        at, point, found, start = x["at"], x["point"], None, 0
+        for c in classes:
+            here = at.between(start + 1, start + len(c))
+            found = (F if found is None else found).when(here, _code(len(c), start, at - 1 - start))
+            start += len(c)
+        for low, high in WIDE:
+            found = found.when(point.between(low, high), _code(high - low + 1, -low, point - low))
+        block = (point >= 0x100) & (point < 0xD800) & ~point.between(0x2000, 0x206F) | point.between(0xE000, 0xFFFF)
+        return found.when(block, _code(16, -(point - point % 16), point % 16)).otherwise(_code(0, 0, F.lit(0)))
 
-def _only_digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+    return F.transform(F.split(value, ""), lambda c: _let(F.struct(F.position(c, F.lit(table_)).alias("at"), F.ascii(c).alias("point")), one))
+
+
+def _characters(value: Column, codes: Column, classes: tuple[str, ...]) -> Column:
+    """The text that changed codes of `value` stand for."""
+    table_ = F.lit("".join(classes))
+
+    def one(c: Column, x: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex((x["at"] - x["base"]).cast("long")), 4, "0")), "UTF-16BE")
+        return F.when(x["size"] == 0, c).when(x["base"] < 0, wide).otherwise(F.substring(table_, x["base"] + x["at"] + 1, F.lit(1)))
 
+    return F.array_join(F.zip_with(F.split(value, ""), codes, one), "")
 
-def _like(value: Column, h: Column) -> Column:
-    """A text of the same length, with a digit for a digit, and for a letter one of its case and script; other characters stay."""
-    streams = [_stretch(_digits(h), value).alias("digit"), *[_stretch(F.translate(h, "0123456789abcdef", x), value).alias(s) for s, x in LETTERS.items()]]
 
-    def fill(stream: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            at = lambda name: F.substring(stream[name], i + 1, F.lit(1))
-            letter = F.when(c.rlike(r"^\p{IsCyrillic}$"), at("cyrillic")).when(c.rlike(r"^\p{IsGreek}$"), at("greek")).when(c.rlike(r"^\p{IsHan}$"), at("han")).otherwise(at("latin"))
-            letter = F.when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).otherwise(letter)
-            return F.when(c.rlike(r"^\p{Nd}$"), at("digit")).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
+def _octets(value: Column) -> Column:
+    """An address's four numbers as codes: what may begin or end an address of a host stays so."""
+
+    def one(c: Column, i: Column) -> Column:
+        n = c.cast("int")
+        first, last = (i == 0) & n.between(1, 223), (i == 3) & n.between(1, 254)
+        found = F.when(first, _code(223, 1, n - 1)).when(last, _code(254, 1, n - 1))
+        found = found.when(i == 0, _code(33, 223, F.greatest(n - 223, F.lit(0)))).when(i == 3, _code(2, 254, F.greatest(n - 254, F.lit(0))))
+        return found.otherwise(_code(256, 0, n))
+
+    return F.transform(F.split(value, r"\."), one)
+
+
+def _address(codes: Column) -> Column:
+    return F.array_join(F.transform(codes, lambda x: F.when((x["base"] > 1) & (x["at"] == 0), 0).otherwise(x["base"] + x["at"]).cast("string")), ".")
+
+
+def permuted(codes: Column, key: str, label: Column) -> Column:
+    """Another text of the same classes: a keyed permutation, without fixed points, of all texts that have them.
+
+    A round of an unbalanced Feistel network moves every second place within its class, by amounts that follow from the others by HMAC.
+    Three rounds, one step of the first place within its class, and the rounds undone make a permutation that leaves no text as it is.
+    """
 
-        return F.array_join(F.transform(F.split(value, ""), one), "")
+    def turned(x: Column, n: Column, sign: Column) -> Column:
+        others = F.array_join(F.transform(x, lambda c, i: F.when(i % 2 != n % 2, c["at"].cast("string")).otherwise("")), ",")
+        amount = lambda h, i: F.conv(F.substring(h, F.floor(i / 2).cast("int") % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        moved = lambda h, c, i: F.when((i % 2 == n % 2) & (c["size"] > 0), _code(c["size"], c["base"], F.pmod(c["at"] + sign * amount(h, i), c["size"]))).otherwise(c)
+        return _let(_hmac(key, F.concat_ws("|", n.cast("string"), label, others)), lambda h: F.transform(x, lambda c, i: moved(h, c, i)))
 
-    return _let(F.struct(*streams), fill)
+    def stepped(x: Column) -> Column:
+        first = F.array_position(F.transform(x, lambda c: c["size"] > 0), True)
+        return _let(first, lambda p: F.transform(x, lambda c, i: F.when(i + 1 == p, _code(c["size"], c["base"], (c["at"] + 1) % c["size"])).otherwise(c)))
+
+    steps = [(0, 1), (1, 1), (2, 1), (0, 0), (2, -1), (1, -1), (0, -1)]
+    rounds = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(sign).alias("sign")) for n, sign in steps])
+    return F.aggregate(rounds, codes, lambda x, r: F.when(r["sign"] == 0, stepped(x)).otherwise(turned(x, r["n"], r["sign"])))
 
 
 def _filled(value: Column, digits: Column) -> Column:
@@ -124,33 +167,10 @@ def _payload(value: Column) -> tuple[Column, Column]:
     return digits.substr(F.lit(1), F.length(digits) - 1), digits.substr(F.length(digits), F.lit(1)).cast("int")
 
 
-def _card(digits: Column, h: Column) -> Column:
-    """The same first digit and length, and a right check digit."""
-    old, _ = _payload(digits)
-    new = F.concat(F.substring(old, 1, 1), F.substring(_digits(h), F.lit(1), F.length(old) - 1))
-    return F.concat(new, ((10 - _luhn_sum(new) % 10) % 10).cast("string"))
-
-
-def _ip(h: Column) -> Column:
-    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 4), 16, 10).cast("int")
-    return F.concat_ws(".", (1 + byte(0) % 223).cast("string"), *[(byte(2 * i) % 256).cast("string") for i in range(1, 3)], (1 + byte(6) % 254).cast("string"))
-
-
 def _of_script(name: Column, of: dict[str, Column]) -> Column:
     return F.when(name.rlike(r"^\p{IsCyrillic}"), of["cyrillic"]).when(name.rlike(r"^\p{IsGreek}"), of["greek"]).otherwise(of["latin"])
 
 
-def _stem(name: Column, h: Column, attempt: Column) -> Column:
-    """Syllables of the name's script, one more with every attempt. They end in a vowel, so a name with an ending is no other stem."""
-    count = F.least(attempt, F.lit(50)) + 2
-
-    def of(syllables: tuple[str, ...]) -> Column:
-        table_ = F.array(*[F.lit(s) for s in syllables])
-        return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda k: F.element_at(table_, F.conv(F.substring(h, 1 + k, F.lit(1)), 16, 10).cast("int") + 1)), "")
-
-    return _of_script(name, {s: of(x) for s, x in SYLLABLES.items()})
-
-
 def kind_of(value: Column) -> Column:
     """The type of an entity; null for a number that is no card by its check digit."""
     payload, check = _payload(value)
@@ -193,32 +213,34 @@ def norms(value: Column) -> Column:
         number = _only_digits(_after(value, code))
         phone = F.when(code.isin("", "+1"), number).otherwise(F.concat(F.substring(code, 2, 3), F.lit(":"), number))
         one = F.when(kind == "email", F.lower(value)).when(kind == "secret", _after(value, _secret_lead(value))).when(kind == "phone", phone)
-        one = one.when(kind.isin("card", "ssn"), _only_digits(value)).otherwise(value)
+        one = one.when(kind.isin("card", "ssn"), _only_digits(value)).when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda c: c.cast("int").cast("string")), ".")).otherwise(value)
         return F.when(kind == "person", F.transform(_names(value), _name_norm)).when(kind.isNotNull(), F.array(F.concat(kind, F.lit("|"), one))).otherwise(F.array().cast("array<string>"))
 
     return _let(kind_of(value), of)
 
 
-def canonical(norm: Column, key: str, attempt: Column) -> Column:
-    """What stands for a normal form, as a normal form: it follows from key, normal form and attempt alone."""
-
-    def by_kind(x: Column) -> Column:
-        h, value = x["hash"], x["value"]
-        tld, code = F.regexp_extract(value, r"\.\p{L}+$", 0), F.regexp_extract(value, r"^\d+:", 0)
-        made = {
-            "email": F.concat(_like(value.substr(F.lit(1), F.length(value) - F.length(tld)), h), tld),
-            "key": F.concat(F.lit("AKIA"), _like(_after(value, F.lit("AKIA")), h)),
-            "secret": F.when(value.rlike("^[0-9a-f]+$"), _stretch(h, value)).otherwise(_like(value, h)),
-            "ssn": _like(value, h),
-            "phone": F.concat(code, _like(_after(value, code), h)),
-            "ip": _ip(h),
-            "card": _card(value, h),
-            "name": _stem(value, h, attempt),
-        }
-        return F.concat(x["kind"], F.lit("|"), reduce(lambda out, k: F.when(x["kind"] == k, made[k]).otherwise(out), made, value))
+def canonical(norm: Column, key: str) -> Column:
+    """What stands for a normal form, as a normal form of the same type, format and length: a permutation of these, see `permuted`.
+
+    Kept are an e-mail address's last label, a phone's calling code, a card's first digit, `AKIA` of a key; a card's check digit follows.
+    """
+
+    def parts(kind: Column, value: Column) -> Column:
+        n = F.length(value)
+        head = F.when(kind == "key", "AKIA").when(kind == "phone", F.regexp_extract(value, r"^\d+:", 0)).when(kind == "card", F.substring(value, 1, 1)).otherwise("")
+        tail = F.when(kind == "email", F.regexp_extract(value, r"\.\p{L}++$", 0)).when(kind == "card", value.substr(n, F.lit(1))).otherwise("")
+        return F.struct(kind.alias("kind"), value.alias("value"), head.alias("head"), tail.alias("tail"))
+
+    def made(x: Column) -> Column:
+        kind, body = x["kind"], x["value"].substr(F.length(x["head"]) + 1, F.length(x["value"]) - F.length(x["head"]) - F.length(x["tail"]))
+        letters = kind.isin("secret", "key")
+        codes = F.when(kind == "ip", _octets(body)).when(letters, _codes(body, SECRETS)).otherwise(_codes(body, WORDS))
+        text = lambda c: F.when(kind == "ip", _address(c)).when(letters, _characters(body, c, SECRETS)).otherwise(_characters(body, c, WORDS))
+        check = lambda payload: F.concat(payload, F.when(kind == "card", ((10 - _luhn_sum(payload) % 10) % 10).cast("string")).otherwise(x["tail"]))
+        return F.concat(kind, F.lit("|"), _let(F.concat(x["head"], _let(permuted(codes, key, kind), text)), check))
 
     kind = F.substring_index(norm, "|", 1)
-    return _let(F.struct(kind.alias("kind"), _after(norm, F.concat(kind, F.lit("|"))).alias("value"), _hash(key, norm, attempt).alias("hash")), by_kind)
+    return _let(parts(kind, _after(norm, F.concat(kind, F.lit("|")))), made)
 
 
 def _bare(made: Column) -> Column:
@@ -228,7 +250,7 @@ def _bare(made: Column) -> Column:
 def _name(name: Column, ending: Column, stand) -> Column:
     """A name's surrogate with the ending of a gender ('m', 'w' or ''), in capitals if the name is, with its possessive."""
     ends = lambda k: _of_script(name, {s: F.lit(x[k]) for s, x in ENDINGS.items()})
-    made = F.concat(_bare(stand(_name_norm(name))), F.when(ending == "m", ends(0)).when(ending == "w", ends(1)).otherwise(""))
+    made = F.concat(_bare(stand(_name_norm(name))), F.when(ending == "m", ends(0)).when(ending == "w", ends(1)).otherwise(ends(2)))
     bare = F.regexp_replace(name, _OWNED, "")
     return F.concat(F.when(bare.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made)), F.regexp_extract(name, _OWNED, 0))
 
@@ -255,24 +277,10 @@ def surrogate(value: Column, stand) -> Column:
     return _let(kind_of(value), of)
 
 
-def changed_surrogates(found: DataFrame, key: str) -> DataFrame:
-    """Of all distinct normal forms of the corpus (`norm`), those whose first surrogate would clash, with an `attempt` that doesn't.
-
-    A clash is a surrogate that stands for two of them or is itself one of the corpus. Of those that clash, the first by code point
-    keeps it, unless it is one of the corpus; the others take the next attempt, until none clashes.
-    """
-    real = found.select(F.col("norm").alias("made"), F.lit(True).alias("real"))
-    state, last = found.select("norm", F.lit(0).alias("attempt")), None
-    while True:
-        made = state.withColumn("made", canonical(F.col("norm"), key, F.col("attempt")))
-        first = made.groupBy("made").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-        hit = first.join(real, "made", "left").filter("n > 1 or real").select("made", F.when(F.col("real").isNull(), F.col("first.norm")).alias("keeps"))
-        if hit.isEmpty():
-            return state.filter("attempt > 0")
-        again = F.col("hit") & (F.col("keeps").isNull() | (F.col("keeps") != F.col("norm")))
-        state = saved(made.join(hit.withColumn("hit", F.lit(True)), "made", "left").select("norm", (F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int")).alias("attempt")), "attempts")
-        discard(last)
-        last = state
+def clashes(found: DataFrame, key: str) -> DataFrame:
+    """Of distinct normal forms (`norm`), those that share a surrogate or have themselves as one: `made`, `n`. A check; there are none."""
+    made = found.select("norm", canonical(F.col("norm"), key).alias("made"))
+    return made.groupBy("made").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("made") == F.col("norm")).cast("int")).alias("same")).filter("n > 1 or same = 1").drop("same")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -285,9 +293,10 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     title's gender. Names found so are also replaced where they stand alone in the same text, but for those of under three letters
     and those that the text also has in lower case.
 
-    Distinct normal forms keep distinct surrogates: all of the corpus, distinct and aggregated before they move, are checked for
-    clashes; only texts with a changed surrogate meet a join, and if there are none no text is shuffled. Keep `key` secret: who has
-    it can try all numbers. It stands in the plan, as literals do.
+    Distinct normal forms have distinct surrogates, by permutation rather than by comparing (`permuted`, checked by `clashes`), so no
+    row meets another and no text is shuffled. A surrogate may be another's original where a format has few members; that one has a
+    surrogate itself. Letters and digits without a class, from the astral planes, stay. Keep `key` secret: who has it can undo
+    everything. It stands in the plan, as literals do.
 
     Null text: stays null, n_entities 0. Empty text: empty. Repeated rows: each replaced alike. Other columns pass through, but a
     column n_entities is replaced. Empty table: empty.
@@ -295,19 +304,10 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     if not key:
         raise ValueError("the key is empty")
     kept = [c for c in docs.columns if c.lower() != "n_entities"]
-    found, digest, instead, names = (free_name(docs, c) for c in ("found", "digest", "instead", "names"))
+    found, names = (free_name(docs, c) for c in ("found", "names"))
     t = F.col(f"`{text}`")
-    all_found = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
-    each = docs.select(F.explode(all_found).alias("entity")).distinct().select(F.explode(norms(F.col("entity"))).alias("norm")).distinct()
-    changed = changed_surrogates(saved(each, "entities"), key)
-    rows, attempt = docs.select(*[F.col(f"`{c}`") for c in kept], all_found.alias(found)), lambda n: F.lit(0)
-    if not changed.isEmpty():
-        rows = rows.withColumn(digest, F.sha2(t, 256))
-        each = rows.filter(F.size(found) > 0).select(digest, F.explode(F.flatten(F.transform(found, norms))).alias("norm")).distinct()
-        maps = each.join(changed, "norm").groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("norm", "attempt"))).alias(instead))
-        rows = rows.join(maps, digest, "left")
-        attempt = lambda n: F.coalesce(F.try_element_at(F.col(instead), n), F.lit(0))
-    stand = lambda n: canonical(n, key, attempt(n))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)).alias(found))
+    stand = lambda n: canonical(n, key)
 
     persons = F.filter(found, lambda e: e.rlike(rf"^{_LEAD}\p{{Lu}}"))
     short = lambda n: F.regexp_replace(n["name"], _OWNED, "")

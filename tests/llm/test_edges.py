@@ -297,14 +297,6 @@ def test_prefixed_secrets_and_neutral_titles(spark):
     assert got[9]["n_entities"] == 2 and got[9]["text"].startswith("Dr. ") and "Prof " in got[9]["text"] and not {"Ann", "Lee", "Smith"} & set(got[9]["text"].replace(",", "").split())
 
 
-def test_clashing_surrogates_are_told_apart(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(pii, "canonical", lambda n, key, attempt: F.concat(F.lit("s"), F.when(attempt == 0, F.length(n).cast("string")).otherwise(F.sha2(n, 256))))
-    changed = pii.changed_surrogates(spark.createDataFrame([("aa",), ("bb",), ("c",), ("s1",)], "norm string"), "k").collect()
-    assert {r["norm"]: r["attempt"] for r in changed} == {"bb": 1, "s1": 1, "c": 1}
-
-
 def test_all_spellings_of_an_entity_are_one(spark):
     rng = random.Random(6)
     rows, want = [], []
