@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +68,9 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
 
 
-def _text_key(keys: np.ndarray) -> int:
-    """Of all lines of a text as normalised: texts alike but for case, digits and white space have one."""
-    return xxhash.xxh3_64_intdigest(keys[keys != 0].tobytes())
+def _text_key(text: bytes) -> int:
+    """Of a whole text, as it stands: only copies share one."""
+    return _signed(xxhash.xxh3_64_intdigest(text))
 
 
 def _signed(n: int) -> int:
@@ -85,21 +87,21 @@ def _lines_of(column: str, host: str):
                 keys = line_keys(h, text)[1]
                 own = np.unique(keys[keys != 0])
                 lines.append(own)
-                documents.append(np.full(len(own), _signed(_text_key(keys)), dtype=np.int64))
+                documents.append(np.full(len(own), _text_key(text), dtype=np.int64))
             yield output({"line": np.concatenate(lines), "document": np.concatenate(documents)}, schema)
 
     return run
 
 
 def lines_of(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(`line`, `document`): each line of a document once, both as keys; copies within a host count as one document."""
+    """(`line`, `document`): each line of a document once, both as keys; exact copies within a host are one document."""
     return docs.select(F.col(f"`{text}`"), F.col(f"`{host}`").cast("string").alias(f"{host}")).mapInArrow(_lines_of(text, host), "line long, document long").distinct()
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS) -> DataFrame:
     """`line`: keys of lines that more than `most` distinct documents of their host have.
 
-    Documents of a host whose normalised lines agree are one. Both counts are aggregated before they are shuffled, and cover all
+    Documents of a host with the same text are one; near copies, and pages that differ in a number, each count. Both counts are aggregated before they are shuffled, and cover all
     documents and lines.
     """
     return lines_of(docs, text, host).groupBy("line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > most).select("line")
@@ -157,18 +159,20 @@ def judge_lines(docs: DataFrame, text: str = "text", host: str = "source", most:
         each = found.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
         pairs = lines_of(source, "t", "h").withColumn("deal", F.pmod("document", F.lit(DEALS)).cast("int"))
         own = saved(pairs.join(each, ["line", "deal"]).groupBy(F.col("document").alias(document)).agg(F.collect_list("line").alias(gone)), "gone")
-        rows = rows.mapInArrow(_with_key(rows.schema, text, name, document), T.StructType([*rows.schema.fields, T.StructField(document, T.LongType())]))
+        rows = rows.mapInArrow(_with_key(rows.schema, text, document), T.StructType([*rows.schema.fields, T.StructField(document, T.LongType())]))
         rows = rows.join(own.hint("merge"), document, "left").drop(document)
     out = T.StructType([f for f in rows.schema.fields if f.name not in (name, gone)] + list(T.StructType.fromDDL(f"{_BASE}, n_words_left long, base_failed boolean, kept boolean, clean_text string")))
     return rows.mapInArrow(_judge(out, text, name, None if known else gone, known, least, min_words), out)
 
 
-def _with_key(schema: T.StructType, column: str, host: str, document: str):
+def _with_key(schema: T.StructType, column: str, document: str):
+    """Adds the text's key; a text without words has none of the lines, so it gets a number of its own instead of one key for all."""
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = count(TaskContext.get().partitionId() << 40)
         for part in slices(batches, column):
-            keys = [_signed(_text_key(line_keys(h, t)[1])) for h, t in zip(part.column(host).to_pylist(), texts(part, column), strict=True)]
+            keys = [_text_key(t) if t and not t.isspace() else next(own) for t in texts(part, column)]
             yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(keys, pa.int64())], names=[*names, document])
 
     return run
@@ -181,11 +185,10 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
-ln AS (SELECT r, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+ln AS (SELECT r, source, unnest(string_split(text, chr(10))) AS raw FROM d),
 lw AS (SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lws FROM ln),
-lk AS (SELECT r, source, i, raw, len(lws) AS n, regexp_replace(array_to_string(lws, ' '), '[0-9]', '0', 'g') AS line FROM lw WHERE len(lws) > 0),
-whole AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS document FROM lk GROUP BY r),
-freq AS (SELECT source, line FROM (SELECT DISTINCT source, line, document FROM lk JOIN whole USING (r)) GROUP BY source, line HAVING count(*) > 20),
+lk AS (SELECT r, source, raw, len(lws) AS n, regexp_replace(array_to_string(lws, ' '), '[0-9]', '0', 'g') AS line FROM lw WHERE len(lws) > 0),
+freq AS (SELECT source, line FROM (SELECT DISTINCT lk.source, line, md5(text) AS document FROM lk JOIN d USING (r)) GROUP BY source, line HAVING count(*) > 20),
 gone AS (SELECT r, sum(n) AS words FROM lk JOIN freq ON lk.line = freq.line AND lk.source IS NOT DISTINCT FROM freq.source GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n_dup FROM lk GROUP BY r),
 wd AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),

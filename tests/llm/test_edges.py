@@ -273,6 +273,14 @@ def test_footers_go_and_joins_do_as_broadcasts(spark):
     assert {r["doc_id"]: r["clean_text"] for r in quality_rules.judge_lines(docs).filter("doc_id < 900").collect()} == texts
 
 
+def test_pages_of_a_template_count_one_by_one(spark):
+    rows = [(i, f"Order {i}\nAll rights reserved, a long footer", "shop") for i in range(10, 100)] + [(200 + i, "One page\nIts footer", "copies") for i in range(90)] + [(400 + i, "", "shop") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for options in ({}, {"most_lines": 0}):
+        got = {r["doc_id"]: r["clean_text"] for r in quality_rules.judge_lines(docs, **options).collect()}
+        assert all(got[i] == "" for i in range(10, 100)) and all(got[200 + i] == "One page\nIts footer" for i in range(90)) and len(got) == len(rows)
+
+
 def test_blocks_of_lines_are_boilerplate(spark):
     block, own = "\n".join(f"header line {c}" for c in "abcde"), lambda i: f"own words {chr(97 + i)}x of this page"
     rows = [(i, f"{block}\n{own(i)}", "h") for i in range(21)] + [(50 + i, f"{block}\n{own(i)}", "few") for i in range(20)] + [(100 + i, "same one\nsame two", "copies") for i in range(30)]
