@@ -73,3 +73,14 @@ def output(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; of null, that of an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))
+
+
+def sampled(rows: DataFrame, most: int, *key: Column) -> DataFrame:
+    """About `most` rows, or all if there are no more: those whose hash of `key` lies under a bound that follows from the count of rows.
+
+    Rows are picked where they lie, so what a later `limit` sends to the driver doesn't grow with the number of tasks. The bound
+    leaves six standard deviations above `most`. Rows alike in `key` are picked together. Empty table: empty.
+    """
+    n = rows.count()
+    share = min(1.0, (most + 6 * most**0.5 + 20) / n) if n else 1.0
+    return rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40)))

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, texts
+from .common import sampled, slices, table, texts
 
 #: Pages of the table, those with the least hash of page_id, that the model is fitted on beside the built-in layouts. A bound, not a share.
 TRAIN_PAGES = 200
+#: Bytes of a page that training takes; longer ones are extracted from like all others.
+TRAIN_BYTES = 1 << 20
 LAYOUTS = 300
 #: Share of a page's text from which on an element is one around all of it.
 WIDE = 0.75
@@ -372,10 +374,14 @@ def main_text(page: str, model: Crf) -> str:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", page: str = "html", most: int = TRAIN_PAGES) -> Crf:
-    """Fits on built-in layouts and on `most` pages at most that mark their article, taken by a hash of their id."""
-    sample = pages.filter(F.col(page).rlike("(?i)<(article|main)[\\s>]")).orderBy(F.xxhash64(F.col(page_id).cast("string")), F.xxhash64(page)).limit(most).select(page).collect()
-    marked = [(b, [label_of(x) for x in b]) for b in (blocks_of(r[0]) for r in sample)]
-    return fit(layouts(LAYOUTS) + marked)
+    """Fits on built-in layouts and on `most` pages at most that mark their article, of TRAIN_BYTES at most each, taken by a hash of their id.
+
+    Only pages under the hash's bound go to the driver, `most` * TRAIN_BYTES at most whatever the number of tasks. No such page, or an empty table: the layouts alone.
+    """
+    marked = pages.filter(F.col(page).rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(page) <= TRAIN_BYTES))
+    key = F.col(page_id).cast("string")
+    sample = sampled(marked, most, key).orderBy(F.xxhash64(key), F.xxhash64(page)).limit(most).select(page).collect()
+    return fit(layouts(LAYOUTS) + [(b, [label_of(x) for x in b]) for b in (blocks_of(r[0]) for r in sample)])
 
 
 def _extract(schema: T.StructType, column: str, model):

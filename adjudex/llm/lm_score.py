@@ -230,6 +230,23 @@ def _sum(column: str, head):
     return run
 
 
+def _frequent(words: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
+    """The most frequent words (column `c`), `most` at most: all whose count reaches a bound, found from how many words have which size of count.
+
+    Sizes are counts to eight leading bits, some thousands of classes at most, so that no task sends words of its own to be ranked.
+    """
+    bits = F.length(F.bin("c"))
+    size = bits * 256 + F.expr("shiftright(c, greatest(length(bin(c)) - 8, 0))")
+    classes = words.select(size.alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()
+    total, least = 0, None
+    for r in classes:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["size"]
+    return words.filter(size >= least) if least is not None else words.limit(0)
+
+
 def score_texts(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -258,7 +275,7 @@ def score_texts(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
     logs = context.broadcast(np.log(np.maximum(weight / weight.sum(), 1e-300)))
     figures = saved(words.mapInArrow(_value(file, logs, tokens, distinct), "word string, c long, base double, model double"), "figures")
 
-    frequent = figures.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toPandas()
+    frequent = _frequent(figures).toPandas()
     known = dict(zip((w.encode() for w in frequent["word"]), zip((frequent["c"] > 0).astype(int).tolist(), frequent["base"].tolist(), frequent["model"].tolist(), strict=True), strict=True))
     parts = rows.mapInArrow(_sum(text, context.broadcast(pickle.dumps(known))), "doc_id long, held_out boolean, text_hash long, word string, n long, rows long, known long, base double, model double")
     parts = saved(parts, "parts")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, output, saved, slices, table, texts
+from .common import crc_mod, output, sampled, saved, slices, table, texts
 
 #: Words are hashed into so many rows of vectors, so that tables of vectors have one size whatever the corpus.
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 6
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     vectors = context.broadcast(word_vectors(ids, text))
     pooled = saved(ids.mapInArrow(_pool(text, vectors), "doc_id long, pooled array<float>"), "pooled")
     marked = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD)
-    sample = pooled.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("pooled")).limit(most).toPandas()
+    sample = pooled.join(sampled(marked, most, F.col("doc_id"), F.lit("sample")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("pooled")).limit(most).toPandas()
     x = np.array(sample["pooled"].tolist(), dtype=np.float64).reshape(len(sample), 2 * DIM + 1)
     net = context.broadcast(fit(x, sample["label"].to_numpy(dtype=np.float64)))
     rows = pooled.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_FOLD)
