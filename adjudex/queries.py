@@ -470,4 +470,4 @@ def windowed_events(spark, sf_dir):
     return windowed(read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import queries_answers, queries_checks, queries_corpus, queries_figures, queries_overlap, queries_records, queries_study  # noqa: E402, F401  register their queries
+from . import queries_answers, queries_checks, queries_corpus, queries_figures, queries_overlap, queries_records, queries_sources, queries_study  # noqa: E402, F401  register their queries
