@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import metrics, study
-from .operators.records import auxiliary_facts, semantic_signature
+from .operators.records import auxiliary_facts, semantic_signatures
 from .operators.records import record_features as features
 from .queries import _PRED, _predictions
 from .queries_study import training_schedule
@@ -123,7 +123,7 @@ def record_signatures(spark, sf_dir):
     """Names by role and order have no SQL; the test holds signatures against renamed records."""
     rows = _records(spark, sf_dir)
     record = F.to_json(F.struct("query", "trusted_sources", "win_start", "win_end", "statements", "approvals", "executions", "reversals", "corroborations", "items", "state_events"))
-    return rows.select("record", semantic_signature(record, F.lit("[]")).alias("signature"))
+    return semantic_signatures(rows.select(record.alias("record"), F.lit("[]").alias("programs")), "record", "programs").drop("programs")
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '/\*(.|\n)*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS t FROM documents), s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(t, '[.!?] ', chr(10), 'g'), '\n') AS lines FROM d),

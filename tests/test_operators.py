@@ -111,6 +111,23 @@ def test_requests_that_are_wrong(spark):
     assert [(r["path"], r["primitive"], r["readout"]) for r in rows if r["i"] == 0] == [('["type","a"]', "noul", 1)]
 
 
+def test_units_keep_their_order_and_texts(spark):
+    leaf = {"type": "choice", "instructions": {"b": 1, "a": "é"}, "criteria": {"z\"q": "last", "a": {"y": 1, "x": 2}, "m": None}}
+    deep = {"type": "noul", "criteria": {"true": ["t"]}}
+    for _ in range(300):
+        deep = {"in": [deep]}
+    asked = [{"state": ["s", 1.50], "model": " m ", "questions": {"b": leaf, "a": [{"type": "score", "criteria": ["x", {"k": 0}]}, {}], "type": deep}}]
+    wrong = [{"state": "s", "questions": {"q": leaf}, "model": m} for m in ("", " \n", 5, None)] + [{"state": "s", "questions": [{"type": 5}]}, {"state": "s", "questions": [{"type": "noul"}, 7]}, ["state", "questions"], {"state": "s", "questions": {"type": "noul", "criteria": []}}]
+    rows = requests.compile_requests(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(asked + wrong)], "i int, request string"), keep=("i",)).collect()
+    good = [r for r in rows if r["i"] == 0]
+    assert [r["error"] is None for r in rows] == [r["i"] == 0 for r in rows] and len(rows) == len(good) + len(wrong)
+    assert [(r["primitive"], r["place"], r["option"], r["readout"], r["model"]) for r in good] == [("choice", 0, 'z"q', 0, " m "), ("choice", 1, "a", 0, " m "), ("choice", 2, "m", 0, " m "), ("score", 0, "0", 0, " m "), ("score", 1, "1", 0, " m "), ("noul", 0, "true", 1, " m ")]
+    state, said = '["s",1.5]', '{"description":{"x":2,"y":1},"name":"a"}'
+    assert good[1]["payload"] == f'{{"criterion":{said},"question":{{"a":"é","b":1}},"state":{state}}}' and json.loads(good[0]["payload"])["criterion"] == {"description": "last", "name": 'z"q'}
+    assert good[1]["message"] == f'STATE:\n{state}\nQUESTION:\n{{"a":"é","b":1}}\nCRITERION:\n{said}'
+    assert good[5]["message"].endswith('QUESTION:\nnull\nBINARY_CRITERIA:\n{"false":null,"true":["t"]}') and json.loads(good[5]["path"])[:3] == ["type", "in", 0] and len(json.loads(good[5]["path"])) == 601
+
+
 def test_answers_of_other_kinds(spark):
     r = spark.createDataFrame([('{"a": {"noul": 0.5}, "b": {"noul": 1}}', " B\n", [0.2, 0.5, 0.3], [0.5, 0.3, 0.1])], "t string, said string, p array<double>, odd array<double>")
     got = r.select(

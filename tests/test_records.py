@@ -172,7 +172,7 @@ def test_auxiliary_facts(spark):
 
 
 def test_signatures_forget_names_only(spark):
-    from adjudex.operators.records import semantic_signature
+    from adjudex.operators.records import semantic_signatures
 
     raw = {"query": {"actor": "ann", "run_id": "r1"}, "trusted_sources": ["s"], "item_ids": ["i", "j"], "executions": [{"actor": "ann", "source": "s", "run_id": "r1", "time": 3}, {"actor": "bob", "source": "x", "run_id": "r2", "time": 4}], "statements": [{"speaker": "ann"}, {"speaker": "kim"}]}
     text = json.dumps(raw)
@@ -180,9 +180,24 @@ def test_signatures_forget_names_only(spark):
     for a, b in (("ann", "zoe"), ("bob", "amy"), ("kim", "lee"), ('"r1"', '"q"'), ('"r2"', '"p"'), ('"s"', '"news"'), ('"x"', '"blog"'), ('"i"', '"one"')):
         renamed = renamed.replace(a, b)
     others = [text.replace("bob", "ann"), text.replace('"x"', '"s"'), text.replace('"time": 4', '"time": 5'), text.replace("kim", "ann")]
-    df = spark.createDataFrame([(t, "{}") for t in (text, renamed, *others)] + [(text, "[1]"), (None, "{}"), ("{}", None)], "r string, p string")
-    got = [r["s"] for r in df.select(semantic_signature("r", "p").alias("s")).collect()]
-    assert got[0] == got[1] and got[7] is None and len(set(got)) == len(got) - 1
+    texts = [(t, "{}") for t in (text, renamed, *others)] + [(text, "[1]"), (None, "{}"), ("{}", None), ("no json", None), (text, "{ }")]
+    df = spark.createDataFrame([(i, *t, "x") for i, t in enumerate(texts)], "i int, r string, p string, signature string")
+    got = [r["signature"] for r in semantic_signatures(df, "r", "p").orderBy("i").collect()]
+    assert len(got) == len(texts) and got[0] == got[1] == got[10] and got[7] is None and got[9] is None
+    assert len({got[0], *got[2:7], got[8]}) == 7
+    assert semantic_signatures(df.limit(0), "r", "p").count() == 0
+
+
+def test_signatures_of_speakers_and_sources(spark):
+    from adjudex.operators.records import semantic_signatures
+
+    base = {"query": {"actor": "ann", "target": "t"}, "trusted_sources": ["s", "s2"], "approvals": [{"actor": "bob"}], "statements": [{"speaker": "bob", "source": "s"}, {"speaker": "kim", "source": "x"}]}
+    change = lambda **kw: {**base, **kw}
+    same = [base, change(approvals=[{"actor": "kim"}], statements=[{"speaker": "kim", "source": "s2"}, {"speaker": "bob", "source": "y"}]), change(trusted_sources=["s2", "s", "s"])]
+    other = [change(trusted_sources=["s"]), change(statements=[{"speaker": "kim", "source": "s"}, {"speaker": "bob", "source": "x"}]), change(statements=[{"speaker": "bob", "source": "s"}, {"speaker": "kim", "source": "s2"}]), change(approvals=[]), change(approvals=[{"actor": "ann"}])]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate([*same, *other])], "i int, r string").selectExpr("*", "'[]' AS p")
+    got = [r["signature"] for r in semantic_signatures(df, "r", "p").orderBy("i").collect()]
+    assert len(set(got[:3])) == 1 and len(set(got)) == 1 + len(other)
 
 
 def test_disguised_records_come_back(spark):
