@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import probability as P
-from .shared import saved
+from .shared import free_name, saved
 
 
 def folds(families: DataFrame, strata: list[str], family: str, n: int) -> DataFrame:
@@ -62,12 +63,48 @@ def apply_temperature(rows: DataFrame, logits: str = "logits", temperature: str
     return out.withColumn("kept_winner", P.unique_winner(P.softmax(z)).eqNullSafe(P.unique_winner(F.col("probabilities"))))
 
 
-def crossfit(rows: DataFrame, n: int, by: list[str] | None = None, fold: str = "fold", **how) -> DataFrame:
+def fit_left_out_temperatures(rows: DataFrame, fold: str, by: list[str] | None = None, logits: str = "logits", gold: str = "gold", weight: str | None = None, low: float = 0.05, high: float = 100.0, rounds: int = 8, steps: int = 17) -> DataFrame:
+    """For each fold (of each group of `by`) what `fit_temperatures` gives on the rows of all other folds: `temperature`, `objective`, `identity_objective`.
+
+    Each pass sums the losses of every fold's own rows, and a fit's loss is the total less its fold's own, so no row is copied or joined with other
+    folds. All fits try temperatures of one lattice, made finer round by round; as they lie close together, most of what one of them tries the others
+    do too, and a row's loss is computed once for all of them. A fold that is alone in its group has nothing to be fitted on and no row here.
+    """
+    keys, w = [f"by_{i}" for i in range(len(by or []))] or ["by_all"], F.col(weight) if weight else F.lit(1.0)
+    own_keys = [F.col(c).alias(k) for c, k in zip(by or [], keys, strict=False)] or [F.lit(0).alias("by_all")]
+    each = rows.select(*own_keys, F.col(fold).alias("own"), F.col(logits).alias("z"), F.col(gold).alias("y"), w.alias("w"))
+    sizes = saved(each.groupBy(*keys, "own").agg(F.sum("w").alias("own_w"), F.count(F.lit(1)).alias("n")), "fold-sizes")
+    totals = sizes.groupBy(*keys).agg(F.sum("own_w").alias("all_w"), F.count(F.lit(1)).alias("folds"))
+    fits = sizes.join(totals, keys).filter("folds > 1").select(*keys, F.col("own").alias("held"), (F.col("all_w") - F.col("own_w")).alias("w"))
+    start, width = math.log(low), (math.log(high) - math.log(low)) / (steps - 1)
+
+    def losses(tried: DataFrame) -> DataFrame:
+        """`tried` (keys, `held`, `w`, `log_t`) with the `loss` on all folds but the held one."""
+        points = tried.groupBy(*keys).agg(F.collect_set("log_t").alias("points"))
+        loss = F.col("w") * P.class_loss(F.transform("z", lambda v: v / F.exp("log_t")), F.col("y"))
+        sums = saved(each.join(points, keys).withColumn("log_t", F.explode("points")).groupBy(*keys, "own", "log_t").agg(F.sum(loss).alias("own_loss")), "fold-losses")
+        total = sums.groupBy(*keys, "log_t").agg(F.sum("own_loss").alias("total"))
+        mine = sums.withColumnRenamed("own", "held")
+        return tried.join(total, [*keys, "log_t"]).join(mine, [*keys, "held", "log_t"]).withColumn("loss", (F.col("total") - F.col("own_loss")) / F.col("w"))
+
+    best = fits.withColumn("k", F.lit(0).cast("long"))
+    for r in range(rounds):
+        span, fine = steps // 2, width / (steps // 2) ** r
+        last = (steps - 1) * span**r
+        ks = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")) if not r else F.sequence(F.greatest(F.lit(0), F.col("k") * span - span), F.least(F.lit(last), F.col("k") * span + span))
+        tried = best.withColumn("k", F.explode(ks)).withColumn("log_t", F.lit(start) + F.col("k") * F.lit(fine))
+        best = saved(losses(tried).groupBy(*keys, "held", "w").agg(F.min_by("k", F.struct("loss", F.abs("log_t"))).alias("k")), "temperatures")
+    points = F.array(F.lit(math.log(low)), F.lit(0.0), F.lit(math.log(high)), F.lit(start) + F.col("k") * F.lit(fine))
+    end = losses(best.withColumn("log_t", F.explode(F.array_distinct(points))))
+    chosen = end.groupBy(*keys, "held").agg(F.min(F.struct("loss", F.abs("log_t").alias("off"), "log_t")).alias("best"), F.min(F.when(F.col("log_t") == 0, F.col("loss"))).alias("one"))
+    named = [F.col(k).alias(c) for c, k in zip(by or [], keys, strict=False)]
+    return chosen.select(*named, F.col("held").alias(fold), F.exp("best.log_t").alias("temperature"), F.col("best.loss").alias("objective"), F.col("one").alias("identity_objective"))
+
+
+def crossfit(rows: DataFrame, by: list[str] | None = None, fold: str = "fold", **how) -> DataFrame:
     """`rows` calibrated with temperatures fitted on all other folds, for all rows together or for each group (`by`)."""
-    by = by or []
-    other = rows.withColumn("held_fold", F.explode(F.array(*[F.lit(i) for i in range(n)]))).filter(F.col("held_fold") != F.col(fold))
-    fits = fit_temperatures(other, ["held_fold", *by], **how).select(F.col("held_fold").alias(fold), *by, "temperature")
-    return apply_temperature(rows.join(fits, [fold, *by]), how.get("logits", "logits"))
+    fits = fit_left_out_temperatures(rows, fold, by, **how).select(fold, *(by or []), "temperature")
+    return apply_temperature(rows.join(fits, [fold, *(by or [])]), how.get("logits", "logits"))
 
 
 #: Bounds of scale and offset, and the weight of their squared distance from 1 and 0.
@@ -135,14 +172,90 @@ def case_weights(rows: DataFrame, case: str) -> DataFrame:
     return rows.join(per, case).join(F.broadcast(n)).withColumn("weight", 1 / (F.col("cases") * F.col("of_case"))).drop("cases", "of_case")
 
 
-def leave_out(rows: DataFrame, group: str, n: int | None = None) -> DataFrame:
-    """Folds that leave out one group each, or, with `n`, one of n shares of groups by hash: `rows` with `held_out`, once for each fold it trains.
+#: Fits that one pass keeps sums of.
+MOST_FITS = 4096
+
 
-    Every row stands in all folds but its own, so with many groups give `n`.
+def fit_left_out_logistic(rows: DataFrame, group: str, features: list[str], label: str, weight: str, penalty: float = 0.0, n: int | None = None, passes: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """For each group what logistic regression with an L2 penalty gives on the rows of all others: (`held_out`, `rows`, `intercept`, `coefficients`, `gradient`).
+
+    With `n`, one of n shares of groups by hash is left out instead of one group. All fits take Newton's steps together: a pass goes over the
+    rows once, and a task's sums leave a row out of its own group's fit. So rows are neither copied nor joined; what moves is a few numbers for
+    each fit and task. A step that doesn't lower a fit's loss is halved. The loss is the weighted mean plus penalty / 2 * |coefficients|^2.
+
+    Rows with a null feature, label, weight or group count nowhere. A fit that doesn't converge, as with classes that a plane parts and no penalty, is an
+    error, as are more than MOST_FITS fits. Fewer than two groups: no rows.
     """
-    fold = F.pmod(F.xxhash64(group), F.lit(n)).cast("string") if n else F.col(group).cast("string")
-    folds_ = rows.select(fold.alias("held_out")).distinct()
-    return rows.withColumn("own", fold).join(F.broadcast(folds_), F.col("held_out") != F.col("own")).drop("own")
+    key = F.pmod(F.xxhash64(group), F.lit(n)).cast("string") if n else F.col(group).cast("string")
+    each = rows.filter(F.col(group).isNotNull()).select(key.alias("held_out"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"))
+    each = each.filter(F.col("y").isNotNull() & F.col("w").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    sizes = each.groupBy("held_out").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).orderBy("held_out").limit(MOST_FITS + 1).collect()
+    if len(sizes) > MOST_FITS:
+        raise ValueError(f"more than {MOST_FITS} fits: leave out shares of groups with n")
+    schema = "held_out string, rows long, intercept double, coefficients array<double>, gradient double"
+    if len(sizes) < 2:
+        return rows.sparkSession.createDataFrame([], schema)
+    names, d = {r["held_out"]: i for i, r in enumerate(sizes)}, len(features) + 1
+    left_w = sum(r["w"] for r in sizes) - np.array([r["w"] for r in sizes])
+    left_n = sum(r["n"] for r in sizes) - np.array([r["n"] for r in sizes])
+    ridge = np.append(0.0, np.full(d - 1, penalty))
+
+    def sums(at: np.ndarray):
+        """Loss, gradient and second derivatives of every fit at its own coefficients."""
+        at_, fits = at, len(names)
+
+        def run(batches):
+            total = np.zeros((fits, 1 + d + d * d))
+            for batch in batches:
+                own = np.array([names[x] for x in batch.column("held_out").to_pylist()], dtype=np.int64)
+                x = np.hstack([np.ones((len(own), 1)), np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(len(own), d - 1)])
+                y, w = (batch.column(c).to_numpy() for c in ("y", "w"))
+                for k in range(0, len(own), 4096):
+                    part = slice(k, k + 4096)
+                    z = x[part] @ at_.T
+                    weights = np.repeat(w[part, None], fits, axis=1)
+                    weights[np.arange(len(z)), own[part]] = 0.0
+                    p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+                    total[:, 0] += (weights * (np.maximum(z, 0) - z * y[part, None] + np.log1p(np.exp(-np.abs(z))))).sum(axis=0)
+                    total[:, 1 : 1 + d] += (weights * (p - y[part, None])).T @ x[part]
+                    total[:, 1 + d :] += (weights * p * (1 - p)).T @ (x[part, :, None] * x[part, None, :]).reshape(len(z), d * d)
+            yield pa.RecordBatch.from_pydict({"fit": np.arange(fits), "sums": list(total)}, schema=pa.schema([("fit", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+
+        parts = each.mapInArrow(run, "fit long, sums array<double>").select("fit", F.posexplode("sums").alias("i", "v"))
+        got = np.zeros((fits, 1 + d + d * d))
+        for r in parts.groupBy("fit", "i").agg(F.sum("v").alias("v")).collect():
+            got[r["fit"], r["i"]] = r["v"]
+        got /= left_w[:, None]
+        loss = got[:, 0] + (ridge * at**2).sum(axis=1) / 2
+        return loss, got[:, 1 : 1 + d] + ridge * at, got[:, 1 + d :].reshape(fits, d, d) + np.diag(ridge)
+
+    at = np.zeros((len(names), d))
+    loss, slope, bend = sums(at)
+    size = np.ones(len(names))
+    for _ in range(passes):
+        steep = np.abs(slope).max(axis=1)
+        if (steep <= tolerance).all():
+            found = [(k, int(left_n[i]), float(at[i, 0]), at[i, 1:].tolist(), float(steep[i])) for k, i in names.items()]
+            return rows.sparkSession.createDataFrame(found, schema)
+        step = -np.stack([np.linalg.lstsq(h, g, rcond=None)[0] for h, g in zip(bend, slope, strict=True)])
+        tried = at + size[:, None] * step
+        new = sums(tried)
+        better = new[0] <= loss + 1e-14 * np.abs(loss)
+        at[better] = tried[better]
+        loss, slope, bend = (np.where(better.reshape(-1, *[1] * (old.ndim - 1)), now, old) for now, old in zip(new, (loss, slope, bend), strict=True))
+        size = np.where(better, 1.0, size / 2)
+    raise RuntimeError(f"not converged: gradient {float(np.abs(slope).max())}")
+
+
+def left_out_scores(rows: DataFrame, fits: DataFrame, group: str, features: list[str], n: int | None = None) -> DataFrame:
+    """`rows` with `score`, the probability of label 1 by the fit that their group was left out of; null without such a fit."""
+    key = F.pmod(F.xxhash64(group), F.lit(n)).cast("string") if n else F.col(group).cast("string")
+    name = free_name(rows, "held_out_of")
+    of = fits.select(F.col("held_out").alias(name), "intercept", "coefficients")
+    z = F.col("intercept")
+    for i, c in enumerate(features):
+        z = z + F.col("coefficients")[i] * F.col(c)
+    return rows.join(of, key == F.col(name), "left").withColumn("score", P.sigmoid(z)).drop(name, "intercept", "coefficients")
 
 
 def fit_logistic(rows: DataFrame, features: list[str], label: str, weight: str, penalty: float = 0.0):

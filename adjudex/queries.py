@@ -298,10 +298,19 @@ def temperatures(spark, sf_dir):
     return calibration.fit_temperatures(saved(_logits(spark, sf_dir)), ["lang"])
 
 
+@query("""WITH d AS (SELECT lang, quality FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL AND n_chars IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM d GROUP BY lang)
+  SELECT lang AS held_out, ((SELECT sum(n) FROM n) - n)::BIGINT AS rows, 2 AS features, true AS flat FROM n""")
+def left_out_fits(spark, sf_dir):
+    """Quality by two figures of the text, fitted without one language each; at the fits' coefficients the loss has no slope."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id").select("lang", "quality", (F.log1p("n_chars") / 10).alias("long"), (F.col("n_chars") % 7 / 7.0).alias("odd"), F.lit(1.0).alias("w"))
+    fits = calibration.fit_left_out_logistic(saved(rows), "lang", ["long", "odd"], "quality", "w", penalty=0.01)
+    return fits.select("held_out", "rows", F.size("coefficients").alias("features"), (F.col("gradient") < 1e-8).alias("flat"))
+
+
 @query()
 def crossfitted(spark, sf_dir):
     rows = _logits(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(4)).cast("int"))
-    return calibration.crossfit(saved(rows), 4).select("doc_id", "fold", "temperature", "kept_winner", F.col("probabilities")[1].alias("p"))
+    return calibration.crossfit(saved(rows)).select("doc_id", "fold", "temperature", "kept_winner", F.col("probabilities")[1].alias("p"))
 
 
 @query()

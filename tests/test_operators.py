@@ -74,15 +74,47 @@ def test_upper_bounds_leave_five_percent(spark, k, n):
     assert sum(terms) == pytest.approx(0.05, rel=1e-6)
 
 
-def test_crossfit_uses_other_folds(spark):
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_crossfit_uses_other_folds(spark, by):
     rng = random.Random(3)
-    rows = [(i, i % 3, [0.0, rng.gauss(0, 2)], rng.randint(0, 1)) for i in range(60)]
-    df = spark.createDataFrame(rows, "id int, fold int, logits array<double>, gold int")
-    got = calibration.crossfit(df, 3).select("fold", "temperature", "kept_winner").distinct().collect()
-    for r in got:
-        alone = calibration.fit_temperatures(df.filter(F.col("fold") != r["fold"]).withColumn("g", F.lit(0)), ["g"]).first()["temperature"]
-        assert r["temperature"] == pytest.approx(alone) and r["kept_winner"]
-    assert len(got) == 3
+    rows = [(i, "pq"[i % 2], i % 3, [0.0, rng.gauss(0, 2)], int(rng.random() < 0.3 + 0.4 * (i % 2)), rng.random()) for i in range(90)] + [(99, "lone", 0, [0.0, 1.0], 1, 1.0)] * bool(by)
+    df = spark.createDataFrame(rows, "id int, g string, fold int, logits array<double>, gold int, w double")
+    fits = calibration.fit_left_out_temperatures(df, "fold", by, weight="w").collect()
+    assert len(fits) == (6 if by else 3)
+    for r in fits:
+        others = df.filter(F.col("fold") != r["fold"]).filter(F.lit(True) if not by else F.col("g") == r["g"])
+        alone = calibration.fit_temperatures(others.withColumn("unit", F.lit(0)), ["unit"], weight="w").first()
+        assert r["objective"] == pytest.approx(alone["objective"], abs=1e-9) and r["identity_objective"] == pytest.approx(alone["identity_objective"], abs=1e-9)
+        assert r["temperature"] == pytest.approx(alone["temperature"], rel=1e-5)
+    got = calibration.crossfit(df, by, weight="w").collect()
+    assert len(got) == 90 and all(r["kept_winner"] for r in got)
+
+
+def test_held_labels_change_nothing_of_their_fit(spark):
+    rng = random.Random(4)
+    rows = [(i % 4, [0.0, rng.gauss(0, 2)], rng.randint(0, 1)) for i in range(80)]
+    fit = lambda rows: {r["fold"]: r["temperature"] for r in calibration.fit_left_out_temperatures(spark.createDataFrame(rows, "fold int, logits array<double>, gold int"), "fold", rounds=5).collect()}
+    before, after = fit(rows), fit([(f, z, 1 - y if f == 0 else y) for f, z, y in rows])
+    assert before[0] == pytest.approx(after[0], rel=1e-9) and any(abs(before[f] / after[f] - 1) > 1e-3 for f in (1, 2, 3))
+
+
+def test_left_out_logistic_fits(spark):
+    rng = random.Random(5)
+    rows = [("abcd"[i % 4], rng.gauss(0, 1), rng.gauss(0, 3), rng.random() + 0.1) for i in range(200)]
+    rows = [(g, x, z, int(rng.random() < 1 / (1 + math.exp(-x - 0.2 * z))), w) for g, x, z, w in rows]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1, 1.0), ("a", None, 1.0, 0, 1.0)], "g string, x double, z double, y int, w double").repartition(5)
+    fits = {r["held_out"]: r for r in calibration.fit_left_out_logistic(df, "g", ["x", "z"], "y", "w", penalty=0.05).collect()}
+    for g in "abcd":
+        model = calibration.fit_logistic(df.filter(F.col("g") != g), ["x", "z"], "y", "w", penalty=0.05)
+        assert fits[g]["rows"] == 150 and [fits[g]["intercept"], *fits[g]["coefficients"]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-5)
+    scored = calibration.left_out_scores(df, calibration.fit_left_out_logistic(df, "g", ["x", "z"], "y", "w", penalty=0.05), "g", ["x", "z"]).filter("x is not null").collect()
+    assert len(scored) == 201 and all((r["score"] is None) == (r["g"] is None) for r in scored)
+    r = next(r for r in scored if r["g"] == "b")
+    f = fits["b"]
+    assert r["score"] == pytest.approx(1 / (1 + math.exp(-(f["intercept"] + f["coefficients"][0] * r["x"] + f["coefficients"][1] * r["z"]))))
+    assert calibration.fit_left_out_logistic(df, "g", ["x"], "y", "w", penalty=0.1, n=2).count() == 2 and calibration.fit_left_out_logistic(df.limit(0), "g", ["x"], "y", "w").count() == 0
+    with pytest.raises(RuntimeError, match="not converged"):
+        calibration.fit_left_out_logistic(spark.createDataFrame([("a", -1.0, 0, 1.0), ("a", 1.0, 1, 1.0), ("b", -2.0, 0, 1.0), ("b", 2.0, 1, 1.0)], "g string, x double, y int, w double"), "g", ["x"], "y", "w", passes=12)
 
 
 def test_logistic_regression(spark):
@@ -93,10 +125,8 @@ def test_logistic_regression(spark):
     assert slope[0] == pytest.approx(0, abs=1e-4) and b > 0
 
 
-def test_leave_out_and_weights(spark):
+def test_weights_and_binary_metrics(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "g string, v int")
-    got = calibration.leave_out(df, "g").collect()
-    assert sorted((r["held_out"], r["v"]) for r in got) == [("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 4), ("c", 1), ("c", 2), ("c", 3)]
     assert sorted(r["weight"] for r in calibration.case_weights(df, "g").collect()) == pytest.approx([1 / 6, 1 / 6, 1 / 3, 1 / 3])
     m = calibration.binary_metrics(spark.createDataFrame([(0.0, 1), (-1.0, 0), (2.0, 0)], "logit double, y int"), []).first()
     assert (m["n"], m["recall"], m["specificity"]) == (3, 1.0, 0.5)
