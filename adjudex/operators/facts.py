@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bin_bounds, bin_of, saved
+
 
 def matches(query: Column, value: Column) -> Column:
     """A key that the query leaves open matches all."""
@@ -30,18 +32,31 @@ def latest(events: DataFrame, key: list[str], time: str, value: str) -> DataFram
     return last.select(*key, "at", F.when(F.col("v.lo").eqNullSafe(F.col("v.hi")), F.col("v.lo")).alias("value"))
 
 
-def active_at(queries: DataFrame, events: DataFrame, key: list[str], time: str, value: str, at: str = "query_time") -> DataFrame:
+#: Rows of a key that one window takes; a key with more is parted by time.
+RUN = 1 << 16
+
+
+def active_at(queries: DataFrame, events: DataFrame, key: list[str], time: str, value: str, at: str = "query_time", run: int = RUN) -> DataFrame:
     """`queries` with `state`: the value of their key's last event not after `at`; null without one, or where events of that time disagree.
 
-    An as-of join without pairs: both sides stand in one table by key and time, and each query takes the last event before it. A key's
-    rows are one window, so keys should be as fine as the question allows.
+    An as-of join without pairs: both sides stand in one table by key and time, and each query takes the last event before it. A key
+    with more than `run` moments is parted into bins of time of like size; a query takes the last event of its bin, or else the one that
+    the bins before it end with, which is carried on over one row a bin. So a key of any size is spread over tasks.
     """
     moments = events.groupBy(*key, F.col(time).alias("moment")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     moments = moments.select(*key, "moment", F.lit(0).alias("rank"), F.struct(F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).alias("v")).alias("event"), F.lit(False).alias("asks"))
     asked = queries.select(*key, F.col(at).alias("moment")).distinct().select(*key, "moment", F.lit(1).alias("rank"), F.lit(None).cast(moments.schema["event"].dataType).alias("event"), F.lit(True).alias("asks"))
-    last = F.last("event", ignorenulls=True).over(Window.partitionBy(*key).orderBy("moment", "rank").rowsBetween(Window.unboundedPreceding, 0))
-    found = moments.unionByName(asked).withColumn("state", last).filter("asks").select(*key, F.col("moment").alias(at), F.col("state.v").alias("state"))
-    return queries.join(found, [*key, at], "left")
+    both = saved(moments.unionByName(asked), "moments")
+    hot = both.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run).select(*key)
+    bounds = bin_bounds(both.join(hot, key, "left_semi"), key, "moment", "bounds")
+    rows = both.join(bounds, key, "left").withColumn("bin", bin_of(F.col("moment"), F.col("bounds"))).drop("bounds")
+    ends = rows.filter("not asks").groupBy(*key, "bin").agg(F.max_by("event", "moment").alias("end"))
+    bins = rows.select(*key, "bin").distinct().join(ends, [*key, "bin"], "left")
+    carried = F.last("end", ignorenulls=True).over(Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = bins.select(*key, "bin", carried.alias("carried"))
+    last = F.last("event", ignorenulls=True).over(Window.partitionBy(*key, "bin").orderBy("moment", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("last", last).filter("asks").join(carried, [*key, "bin"]).withColumn("state", F.coalesce("last", "carried"))
+    return queries.join(found.select(*key, F.col("moment").alias(at), F.col("state.v").alias("state")), [*key, at], "left")
 
 
 def adjudicated(reports: DataFrame, key: list[str], outcome: str, success: str = "success", failure: str = "no_effect") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import bin_bounds, bin_of, free_name
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -49,16 +49,11 @@ def nearest_rank(x: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) within group (order by {x})")
 
 
-#: Ranges of values into which each group's rows are dealt before they are put in order.
-BINS = 4096
-
-
 def _binned(rows: DataFrame, by: list[str], value: str, bin_: str) -> DataFrame:
-    """`rows` with a bin that grows with `value`, by the group's least and greatest; those are joined to the rows by group, one row each."""
-    ends = rows.groupBy(*by).agg(F.min(value).alias(f"{bin_}_low"), F.max(value).alias(f"{bin_}_high"))
-    width = F.col(f"{bin_}_high") - F.col(f"{bin_}_low")
-    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col(f"{bin_}_low")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
-    return rows.join(F.broadcast(ends) if len(by) == 0 else ends, by).withColumn(bin_, at.cast("int")).drop(f"{bin_}_low", f"{bin_}_high")
+    """`rows` with a bin that grows with `value`, by bounds that give the bins of a group like numbers of rows; one row of bounds for each group."""
+    name = free_name(rows, "bounds")
+    bounds = bin_bounds(rows, by, value, name)
+    return rows.join(F.broadcast(bounds) if len(by) == 0 else bounds, by).withColumn(bin_, bin_of(F.col(value), F.col(name))).drop(name)
 
 
 def _running(counts: DataFrame, by: list[str], bin_: str, value: str, sums: list[str]) -> DataFrame:
