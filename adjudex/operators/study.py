@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .shared import free_name
 
 
 def capped_picks(rows: DataFrame, kind: str, kinds: list[str], eligible: Column, rank: Column, n: int = 2) -> DataFrame:
@@ -305,3 +306,78 @@ def prefix_coverage(rows: DataFrame, place: str, prefixes: list[int], category:
 def repeated_signatures(rows: DataFrame, signature: str) -> DataFrame:
     """Signatures that more than one row has, with `n`; none in a population of different rows."""
     return rows.groupBy(signature).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+#: Strands into which a source's rows are dealt to be numbered, and times that a place may walk before a permutation is given up: one in 10^32.
+STRANDS, WALKS = 256, 256
+
+
+def permuted_place(place: Column, size: Column, key: Column) -> Column:
+    """Where a keyed permutation of the numbers from 0 to `size` - 1 puts `place`: each to one place, without a sort.
+
+    Four Feistel rounds permute the smallest square of a power of two that holds `size`; what lands outside is permuted again until it lands inside.
+    """
+    half = F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double")) / 2 + F.lit(1e-12)).cast("int")
+    side = F.pow(F.lit(2.0), half).cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = F.call_function("shiftright", x, half), x % side
+        for n in range(4):
+            left, right = right, F.pmod(left + F.xxhash64(key, F.lit(n), right) % side, side)
+        return left * side + right
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(place.cast("long")), lambda x, _: F.when(x < size, x).otherwise(once(x)))
+    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("a place walks on")).cast("long"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: Column, name: str = "number") -> DataFrame:
+    """`rows` with a number from 0 within each group of `by`, by strands of the hash of `order`: what a window sorts is a strand, what is summed is a count per strand."""
+    strand = free_name(rows, "strand")
+    dealt = rows.withColumn(strand, F.pmod(F.xxhash64(order), F.lit(STRANDS)).cast("int"))
+    counts = dealt.groupBy(*by, strand).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(strand).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*by, strand, before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, strand).orderBy(order)) - 1
+    return dealt.withColumn(name, inside).join(offsets, [*by, strand]).withColumn(name, F.col(name) + F.col("before")).drop(strand, "before")
+
+
+def paired_schedule(pools: DataFrame, steps: int, seed: int = 42, origins: tuple[str, ...] = ("original", "new"), primitives: tuple[str, ...] = ("noul", "choice", "score")) -> DataFrame:
+    """(`step`, `slot`, `origin`, `primitive`, `source`, `id`): at each step one row of every origin and primitive, slots by primitive, then origin.
+
+    Sources of an origin and primitive take turns in their order; of a source's rows each comes once in a cycle, in an order that a keyed permutation of
+    their numbers gives, another one in each cycle. No source is sorted as a whole, and a cycle costs a row one expression.
+
+    An origin without one of the primitives, others than those named, null or repeated ids and fewer steps than one are errors.
+    """
+    have = {(r["origin"], r["primitive"]) for r in pools.select("origin", "primitive").distinct().collect()}
+    if steps < 1 or have != {(o, p) for o in origins for p in primitives}:
+        raise ValueError("every origin needs every primitive, and a schedule a step")
+    twice = pools.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").first()
+    if twice:
+        raise ValueError(f"id {twice['id']} stands {twice['n']} times")
+    stream = ["origin", "primitive", "source"]
+    rows = numbered(pools.select(*stream, "id"), stream, F.col("id"))
+    sizes = pools.groupBy(*stream).agg(F.count(F.lit(1)).alias("size"))
+    w = Window.partitionBy("origin", "primitive")
+    turns = sizes.withColumns({"at": F.row_number().over(w.orderBy("source")) - 1, "of": F.count(F.lit(1)).over(w)}).withColumn("uses", F.ceil((F.lit(steps) - F.col("at")) / F.col("of"))).filter("uses > 0")
+    rows = rows.join(turns, stream).withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(uses - 1) div size"))))
+    place = permuted_place(F.col("number"), F.col("size"), F.concat_ws("/", F.lit(str(seed)), *stream, F.col("cycle").cast("string")))
+    rows = rows.withColumn("turn", F.col("cycle") * F.col("size") + place).filter("turn < uses").withColumn("step", F.col("turn") * F.col("of") + F.col("at"))
+    slots = F.create_map(*[F.lit(x) for i, p in enumerate(primitives) for j, o in enumerate(origins) for x in (f"{o}/{p}", i * len(origins) + j)])
+    return rows.select("step", F.element_at(slots, F.concat_ws("/", "origin", "primitive")).alias("slot"), *stream, "id")
+
+
+def one_field_apart(records: DataFrame, record: str, fields: list[str]) -> DataFrame:
+    """Records that agree in all `fields` but one: (`field`, `group`, `value`, `record`, `next`, `next_value`), `next` the record with the next value of that field.
+
+    For each field a record stands under the digest of all its other fields, so records that differ in this field alone meet in one group,
+    and no family is joined with itself. Records alike in all fields are one, the smallest `record`. A group of n has n - 1 links from value to value, from
+    which every pair of it follows; groups of one are left out. Null is a value, before all others.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    each = records.groupBy(*fields).agg(F.min(record).alias("record"))
+    keys = [F.struct(F.lit(f).alias("field"), F.sha2(F.concat_ws("\x1f", *[text(c) for c in fields if c != f]), 256).alias("group"), F.col(f).cast("string").alias("value")) for f in fields]
+    met = each.select("record", F.inline(F.array(*keys)))
+    w = Window.partitionBy("field", "group").orderBy(F.col("value").asc_nulls_first())
+    linked = met.withColumns({"next": F.lead("record").over(w), "next_value": F.lead("value").over(w)})
+    return linked.filter("next is not null").select("field", "group", "value", "record", "next", "next_value")

@@ -187,3 +187,30 @@ def affine_calibration(spark, sf_dir):
     rows = calibration.case_weights(_predictions(spark, sf_dir).select("doc_id", "source", F.col("expected").alias("y"), logit.alias("logit")), "source")
     fit = calibration.fit_affine(rows)
     return rows.select("doc_id", "y", (F.col("logit") * fit["a"] + fit["b"]).alias("logit"))
+
+
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'original' ELSE 'new' END AS origin, ['noul', 'choice', 'score'][1 + doc_id // 2 % 3] AS primitive, source, count(*) AS size FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY origin, primitive ORDER BY source) - 1 AS turn, count(*) OVER (PARTITION BY origin, primitive) AS per FROM d), u AS (SELECT *, ceil((1500 - turn) / per)::BIGINT AS uses FROM t)
+  SELECT origin, primitive, source, uses AS steps, least(size, uses) AS ids, ceil(uses / size)::BIGINT AS most_uses, floor(uses / size)::BIGINT AS whole_cycles FROM u WHERE uses > 0""")
+def paired_schedules(spark, sf_dir):
+    """How often sources and their documents come up in 1500 steps: order aside, all of what a schedule promises."""
+    rows = read(spark, sf_dir, "documents").filter("source is not null")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("noul", "choice", "score")]), (F.expr("doc_id div 2") % 3 + 1).cast("int"))
+    pools = rows.select(F.when(F.col("doc_id") % 2 == 0, "original").otherwise("new").alias("origin"), kind.alias("primitive"), "source", F.col("doc_id").alias("id"))
+    per = study.paired_schedule(pools, 1500).groupBy("origin", "primitive", "source", "id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pools.groupBy("origin", "primitive", "source").agg(F.count(F.lit(1)).alias("size"))
+    by = per.groupBy("origin", "primitive", "source").agg(F.sum("n").alias("steps"), F.count(F.lit(1)).alias("ids"), F.max("n").alias("most_uses"), F.min("n").alias("least")).join(sizes, ["origin", "primitive", "source"])
+    return by.select("origin", "primitive", "source", "steps", "ids", "most_uses", F.when(F.col("ids") < F.col("size"), 0).otherwise(F.col("least")).alias("whole_cycles"))
+
+
+@query("""WITH r AS (SELECT min(concat_ws('/', l_orderkey, l_linenumber, l_suppkey, l_quantity::INTEGER, l_returnflag, l_linestatus, year(l_shipdate))) AS record, l_quantity::INTEGER % 5 AS quantity, l_returnflag AS flag, l_linestatus AS status, year(l_shipdate)::INTEGER AS mode, l_suppkey AS supplier FROM lineitem GROUP BY ALL),
+  p AS (SELECT CASE WHEN a.quantity <> b.quantity THEN 'quantity' WHEN a.flag <> b.flag THEN 'flag' WHEN a.status <> b.status THEN 'status' WHEN a.mode <> b.mode THEN 'mode' ELSE 'supplier' END AS field, a.record, a.supplier, a.mode, a.quantity, a.flag, a.status, b.record AS other
+    FROM r a JOIN r b ON a.record <> b.record AND (a.quantity <> b.quantity)::INTEGER + (a.flag <> b.flag)::INTEGER + (a.status <> b.status)::INTEGER + (a.mode <> b.mode)::INTEGER + (a.supplier <> b.supplier)::INTEGER = 1)
+  SELECT field, record, count(*) AS partners FROM p GROUP BY field, record""")
+def one_field_contrasts(spark, sf_dir):
+    """Of each line how many others differ from it in exactly one field, by field: a group's links, counted back to its pairs."""
+    rows = read(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int"), "l_returnflag", "l_linestatus", F.year("l_shipdate")).alias("record"), (F.col("l_quantity").cast("int") % 5).alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("mode"), F.col("l_suppkey").alias("supplier"))
+    links = study.one_field_apart(rows, "record", ["quantity", "flag", "status", "mode", "supplier"])
+    members = links.select("field", "group", "record").unionAll(links.select("field", "group", F.col("next").alias("record"))).distinct()
+    sizes = links.groupBy("field", "group").agg(F.count(F.lit(1)).alias("partners"))
+    return members.join(sizes, ["field", "group"]).select("field", "record", "partners")

@@ -153,3 +153,38 @@ def test_affine_fit_refuses(spark):
     for bad in (df, df.limit(0)):
         with pytest.raises(ValueError):
             calibration.fit_affine(bad)
+
+
+def test_places_are_permuted(spark):
+    sizes = [1, 2, 3, 4, 5, 16, 17, 100, 1000]
+    rows = spark.createDataFrame([(n, i, k) for n in sizes for i in range(n) for k in ("a", "b")], "n long, i long, k string")
+    got = {}
+    for r in rows.withColumn("to", study.permuted_place(F.col("i"), F.col("n"), F.col("k"))).collect():
+        got.setdefault((r["n"], r["k"]), {})[r["i"]] = r["to"]
+    assert all(sorted(to.values()) == list(range(n)) for (n, _), to in got.items())
+    assert got[1000, "a"] != got[1000, "b"] and sum(i == j for i, j in got[1000, "a"].items()) < 20
+    big = spark.range(5).select(study.permuted_place(F.col("id") + (1 << 40), F.lit(1 << 41), F.lit("k"))).collect()
+    assert len({r[0] for r in big}) == 5 and all(0 <= r[0] < 1 << 41 for r in big)
+
+
+def test_paired_schedule(spark):
+    pools = [(o, p, s, f"{o}{p}{s}{i}") for o in ("original", "new") for p in ("noul", "choice", "score") for s, n in (("a", 3), ("b", 40)) for i in range(n)]
+    df = spark.createDataFrame(pools, "origin string, primitive string, source string, id string")
+    rows = study.paired_schedule(df, 50).collect()
+    assert sorted((r["step"], r["slot"]) for r in rows) == [(s, k) for s in range(50) for k in range(6)]
+    assert {r["slot"]: (r["primitive"], r["origin"]) for r in rows} == dict(enumerate((p, o) for p in ("noul", "choice", "score") for o in ("original", "new")))
+    assert all(r["source"] == "ab"[r["step"] % 2] for r in rows)
+    ids = [r["id"] for r in sorted(rows, key=lambda r: r["step"]) if r["slot"] == 0 and r["source"] == "a"]
+    cycles = [ids[i : i + 3] for i in range(0, 24, 3)]
+    assert all(len(set(c)) == 3 for c in cycles) and len({tuple(c) for c in cycles}) > 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, study.paired_schedule(df.repartition(7), 50).collect()))
+    for wrong, said in ((df.filter("primitive <> 'score' or origin = 'new'"), "every primitive"), (df.unionAll(df.limit(1)), "2 times")):
+        with pytest.raises(ValueError, match=said):
+            study.paired_schedule(wrong, 5)
+
+
+def test_records_that_differ_in_one_field(spark):
+    records = [(1, "x", "p", None), (2, "x", "p", "n"), (3, "y", "p", None), (4, "x", "p", None), (5, "z", "q", "n"), (6, "y", "p", "n"), (7, "z", "p", None)]
+    got = study.one_field_apart(spark.createDataFrame(records, "id int, a string, b string, c string"), "id", ["a", "b", "c"]).collect()
+    assert sorted((r["field"], r["record"], r["next"]) for r in got) == [("a", 1, 3), ("a", 2, 6), ("a", 3, 7), ("c", 1, 2), ("c", 3, 6)]
+    assert study.one_field_apart(spark.createDataFrame([], "id int, a string, b string"), "id", ["a", "b"]).count() == 0
