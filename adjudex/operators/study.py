@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .shared import free_name
+from .shared import free_name, saved
 
 
 def capped_picks(rows: DataFrame, kind: str, kinds: list[str], eligible: Column, rank: Column, n: int = 2) -> DataFrame:
@@ -381,3 +385,79 @@ def one_field_apart(records: DataFrame, record: str, fields: list[str]) -> DataF
     w = Window.partitionBy("field", "group").orderBy(F.col("value").asc_nulls_first())
     linked = met.withColumns({"next": F.lead("record").over(w), "next_value": F.lead("value").over(w)})
     return linked.filter("next is not null").select("field", "group", "value", "record", "next", "next_value")
+
+
+#: Families that one task draws for together.
+BLOCK = 1024
+
+
+def _generator(*parts) -> np.random.Generator:
+    return np.random.default_rng(np.frombuffer(hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest(), dtype=np.uint64))
+
+
+def block_counts(total: int, block: int, size: int, draws: int, *seed) -> np.ndarray:
+    """How often each of `draws` draws of `total` families out of `total`, with replacement, hits `block`, of blocks of `size` families.
+
+    The blocks are leaves of a binary tree. At a node the draws that reach it fall to its left side by a binomial with that side's share of families; its
+    generator follows from seed and node alone. So every task that goes down to a leaf of its own finds the same numbers at the nodes that
+    it shares with others, and the leaves' counts are one multinomial draw together.
+    """
+    low, high, counts = 0, -(-total // size), np.full(draws, total, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * size / (min(high * size, total) - low * size)
+        left = _generator(*seed, low, high).binomial(counts, share)
+        low, high, counts = (low, middle, left) if block < middle else (middle, high, counts - left)
+    return counts
+
+
+def macro_draws(families: DataFrame, category: str, family: str, arms: list[str], draws: int, seed: str = "42", size: int = BLOCK) -> DataFrame:
+    """(`draw`, arms): for each draw the mean over categories of the mean over the drawn families of each arm's figure; draw -1 takes each family once.
+
+    A draw takes as many families of a category as it has, with replacement, the same for all arms: exact multinomial counts, by `block_counts` and
+    then within a block. A block's task sums its families for all draws, so what moves is a row for each block and draw, not for each family
+    and draw, and a category of any size is spread over tasks. Reruns agree, on any number of tasks.
+
+    Families with a null or no number in an arm, or a null category or family, are errors, as are families that stand twice. Empty table: no draws.
+    """
+    bad = F.lit(False)
+    for c in (category, family):
+        bad = bad | F.col(c).isNull()
+    for arm in arms:
+        bad = bad | F.col(arm).isNull() | F.isnan(arm) | (F.abs(arm) == float("inf"))
+    faults = families.groupBy(category, family).agg(F.count(F.lit(1)).alias("n"), F.bool_or(bad).alias("bad")).filter("n > 1 or bad").first()
+    if faults:
+        raise ValueError(f"family {faults[1]} of {faults[0]}: one row with finite figures is needed")
+    rows = numbered(families.select(F.col(category).cast("string").alias("category"), F.col(family).alias("family"), *[F.col(a).cast("double").alias(a) for a in arms]), ["category"], F.col("family"), "at")
+    rows = saved(rows.withColumn("block", F.expr(f"at div {size}")), "families")
+    sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
+    schema = pa.schema([("category", pa.string()), ("draw", pa.int32()), *[(a, pa.float64()) for a in arms]])
+
+    def drawn(key: tuple, part: pa.Table) -> pa.Table:
+        name, block, total = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        part = part.sort_by("at")
+        figures = np.stack([part.column(a).to_numpy() for a in arms], axis=1)
+        counts = block_counts(total, block, size, draws, seed, name)
+        times = _generator(seed, name, "block", block).multinomial(counts, np.full(len(figures), 1 / len(figures)))
+        sums = np.vstack((figures.sum(axis=0), times @ figures))
+        return pa.table({"category": [name] * (draws + 1), "draw": np.arange(-1, draws, dtype=np.int32), **{a: sums[:, i] for i, a in enumerate(arms)}}, schema=schema)
+
+    spread = "category string, draw int, " + ", ".join(f"`{a}` double" for a in arms)
+    parts = rows.join(sizes, "category").groupBy("category", "block", "total").applyInArrow(drawn, spread)
+    means = parts.groupBy("category", "draw").agg(*[F.sum(a).alias(a) for a in arms]).join(sizes, "category").select("draw", *[(F.col(a) / F.col("total")).alias(a) for a in arms])
+    return means.groupBy("draw").agg(*[F.avg(a).alias(a) for a in arms])
+
+
+def pairwise_effects(families: DataFrame, category: str, family: str, comparisons: list[tuple[str, str]], draws: int = 2000, seed: str = "42") -> DataFrame:
+    """(`effect`, `estimate`, `low`, `high`): of each comparison (a, b) the macro mean of a less that of b, named `a-b`, with the 95 % range over `macro_draws`.
+
+    Families weigh alike in a category, categories alike. Percentiles interpolate. With one comparison ("b", "a") this is the paired effect of b.
+    Faults as in `macro_draws`; no comparison, or an empty table: no rows.
+    """
+    if not comparisons:
+        return families.sparkSession.createDataFrame([], "effect string, estimate double, low double, high double")
+    arms = sorted({x for pair in comparisons for x in pair})
+    each = macro_draws(families, category, family, arms, draws, seed)
+    values = each.select("draw", F.inline(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("effect"), (F.col(a) - F.col(b)).alias("value")) for a, b in comparisons])))
+    ends = [F.percentile(F.when(F.col("draw") >= 0, F.col("value")), q).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))]
+    return values.groupBy("effect").agg(F.max(F.when(F.col("draw") < 0, F.col("value"))).alias("estimate"), *ends).select("effect", "estimate", "low", "high")

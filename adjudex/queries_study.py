@@ -214,3 +214,13 @@ def one_field_contrasts(spark, sf_dir):
     members = links.select("field", "group", "record").unionAll(links.select("field", "group", F.col("next").alias("record"))).distinct()
     sizes = links.groupBy("field", "group").agg(F.count(F.lit(1)).alias("partners"))
     return members.join(sizes, ["field", "group"]).select("field", "record", "partners")
+
+
+@query("""WITH f AS (SELECT lang, source, avg(n_chars) AS a, avg(ln(1 + n_chars)) AS b, avg(n_chars % 100) AS c FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lang, source),
+  m AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c FROM (SELECT lang, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM f GROUP BY lang))
+  SELECT unnest(['a-b', 'b-c', 'c-a']) AS effect, unnest([a - b, b - c, c - a]) AS estimate, true AS inside FROM m""")
+def macro_comparisons(spark, sf_dir):
+    """Differences of figures between arms, families being sources; whether the range of the draws holds each."""
+    rows = read(spark, sf_dir, "documents").filter("source is not null and lang is not null")
+    families = rows.groupBy("lang", "source").agg(F.avg("n_chars").alias("a"), F.avg(F.log1p("n_chars")).alias("b"), F.avg(F.col("n_chars") % 100).alias("c"))
+    return study.pairwise_effects(families, "lang", "source", [("a", "b"), ("b", "c"), ("c", "a")], draws=500).select("effect", "estimate", F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"))

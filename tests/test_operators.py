@@ -79,21 +79,21 @@ def test_crossfit_uses_other_folds(spark, by):
     rng = random.Random(3)
     rows = [(i, "pq"[i % 2], i % 3, [0.0, rng.gauss(0, 2)], int(rng.random() < 0.3 + 0.4 * (i % 2)), rng.random()) for i in range(90)] + [(99, "lone", 0, [0.0, 1.0], 1, 1.0)] * bool(by)
     df = spark.createDataFrame(rows, "id int, g string, fold int, logits array<double>, gold int, w double")
-    fits = calibration.fit_left_out_temperatures(df, "fold", by, weight="w").collect()
+    fits = calibration.fit_left_out_temperatures(df, "fold", by, weight="w", rounds=5).collect()
     assert len(fits) == (6 if by else 3)
     for r in fits:
         others = df.filter(F.col("fold") != r["fold"]).filter(F.lit(True) if not by else F.col("g") == r["g"])
-        alone = calibration.fit_temperatures(others.withColumn("unit", F.lit(0)), ["unit"], weight="w").first()
+        alone = calibration.fit_temperatures(others.withColumn("unit", F.lit(0)), ["unit"], weight="w", rounds=5).first()
         assert r["objective"] == pytest.approx(alone["objective"], abs=1e-9) and r["identity_objective"] == pytest.approx(alone["identity_objective"], abs=1e-9)
-        assert r["temperature"] == pytest.approx(alone["temperature"], rel=1e-5)
-    got = calibration.crossfit(df, by, weight="w").collect()
+        assert r["temperature"] == pytest.approx(alone["temperature"], rel=1e-3)
+    got = calibration.crossfit(df, by, weight="w", rounds=2).collect()
     assert len(got) == 90 and all(r["kept_winner"] for r in got)
 
 
 def test_held_labels_change_nothing_of_their_fit(spark):
     rng = random.Random(4)
     rows = [(i % 4, [0.0, rng.gauss(0, 2)], rng.randint(0, 1)) for i in range(80)]
-    fit = lambda rows: {r["fold"]: r["temperature"] for r in calibration.fit_left_out_temperatures(spark.createDataFrame(rows, "fold int, logits array<double>, gold int"), "fold", rounds=5).collect()}
+    fit = lambda rows: {r["fold"]: r["temperature"] for r in calibration.fit_left_out_temperatures(spark.createDataFrame(rows, "fold int, logits array<double>, gold int"), "fold", rounds=3).collect()}
     before, after = fit(rows), fit([(f, z, 1 - y if f == 0 else y) for f, z, y in rows])
     assert before[0] == pytest.approx(after[0], rel=1e-9) and any(abs(before[f] / after[f] - 1) > 1e-3 for f in (1, 2, 3))
 

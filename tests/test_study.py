@@ -188,3 +188,32 @@ def test_records_that_differ_in_one_field(spark):
     got = study.one_field_apart(spark.createDataFrame(records, "id int, a string, b string, c string"), "id", ["a", "b", "c"]).collect()
     assert sorted((r["field"], r["record"], r["next"]) for r in got) == [("a", 1, 3), ("a", 2, 6), ("a", 3, 7), ("c", 1, 2), ("c", 3, 6)]
     assert study.one_field_apart(spark.createDataFrame([], "id int, a string, b string"), "id", ["a", "b"]).count() == 0
+
+
+def test_block_counts_are_one_multinomial_draw():
+    import numpy as np
+
+    total, size, draws = 1037, 100, 4000
+    counts = np.array([study.block_counts(total, b, size, draws, "s", "c") for b in range(11)])
+    assert (counts.sum(axis=0) == total).all()
+    p = np.array([100 / total] * 10 + [37 / total])
+    assert np.abs(counts.mean(axis=1) - total * p).max() < 5 * np.sqrt(total * p.max() / draws)
+    assert np.abs(counts.var(axis=1) / (total * p * (1 - p)) - 1).max() < 0.15
+    assert abs(np.cov(counts[0], counts[7])[0, 1] / (-total * p[0] * p[7]) - 1) < 0.5
+
+
+def test_pairwise_effects(spark):
+    rng = random.Random(8)
+    rows = [("big", i, rng.gauss(1, 1), rng.gauss(0, 1)) for i in range(400)] + [("small", i, 2.0, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "category string, family int, a double, b double")
+    got = study.pairwise_effects(df, "category", "family", [("a", "b"), ("b", "a")], draws=1500).orderBy("effect").collect()
+    mean = lambda name, i: sum(r[i] for r in rows if r[0] == name) / sum(r[0] == name for r in rows)
+    point = (mean("big", 2) - mean("big", 3) + 1) / 2
+    spread = math.sqrt(sum((r[2] - r[3] - mean("big", 2) + mean("big", 3)) ** 2 for r in rows if r[0] == "big") / 400 / 400) / 2
+    assert got[0]["estimate"] == pytest.approx(point) and got[1]["estimate"] == pytest.approx(-point) and got[0]["low"] == pytest.approx(-got[1]["high"])
+    assert got[0]["low"] == pytest.approx(point - 1.96 * spread, abs=0.25 * spread) and got[0]["high"] == pytest.approx(point + 1.96 * spread, abs=0.25 * spread)
+    draws = lambda n: sorted(tuple(r) for r in study.macro_draws(df.repartition(n), "category", "family", ["a"], 50, size=64).collect())
+    assert [r[0] for r in draws(2)] == list(range(-1, 50)) and [x for r in draws(2) for x in r] == pytest.approx([x for r in draws(9) for x in r])
+    with pytest.raises(ValueError, match="finite"):
+        study.pairwise_effects(df.unionAll(df.limit(1)), "category", "family", [("a", "b")])
+    assert study.pairwise_effects(df.limit(0), "category", "family", [("a", "b")]).count() == 0
