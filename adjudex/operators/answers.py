@@ -44,3 +44,12 @@ def average_orders(a: Column, b: Column) -> Column:
 def identical_requests(requests: DataFrame, payload: str = "payload", case: str = "case_id") -> DataFrame:
     """One row per distinct request: its digest, its number of cases and the first of them."""
     return requests.groupBy(F.sha2(payload, 256).alias("request")).agg(F.count(F.lit(1)).alias("cases"), F.min(case).alias("first_case"))
+
+
+def cases_of_requests(requests: DataFrame, payload: str = "payload", case: str = "case_id") -> DataFrame:
+    """Each case with the digest of its request, and `first` true for the one that is sent on behalf of all others. Null payloads have no digest; they are none's.
+
+    The list of a request's cases is rows, as one request can be that of most cases.
+    """
+    rows = requests.select(F.sha2(payload, 256).alias("request"), F.col(case))
+    return rows.join(identical_requests(requests, payload, case).select("request", "first_case"), "request", "left").select("request", case, F.coalesce(F.col(case) == F.col("first_case"), F.lit(False)).alias("first"))

@@ -80,6 +80,28 @@ def layout_stability(answers: DataFrame, field: list[str], answer: str) -> DataF
     return rows.select(*field, "layouts", "stable", share(F.col("__agree"), F.col("layouts") * (F.col("layouts") - 1) / 2).alias("agreement"))
 
 
+def layout_report(answers: DataFrame, case: str, field: str, layout: str, answer: str, expected: str) -> DataFrame:
+    """One row over all cases asked in several layouts: `cases`, `fields` (of cases), `layouts`, `mean_accuracy` and `worst_accuracy` of layouts, `worst_layout`
+    (the first of equals), `mean_whole_cases` (the share of cases with all fields right, averaged over layouts), `stable_fields`, `stable_cases`, `agreement` of pairs of layouts.
+
+    Every field of a case must be answered in every layout once: else it is an error that names one. A null answer is wrong, and equals another null.
+    Pairs are counted from counts of equal answers, not made; one layout has agreement 1. Empty table: no row.
+    """
+    right = F.coalesce(F.col(answer) == F.col(expected), F.lit(False)).cast("int")
+    n_layouts = answers.agg(F.count_distinct(layout)).first()[0]
+    asked = answers.groupBy(case, field).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(layout).alias("of"))
+    bad = asked.filter((F.col("n") != n_layouts) | (F.col("of") != n_layouts)).first()
+    if bad:
+        raise ValueError(f"{bad[1]} of {bad[0]} has {bad['n']} answers in {bad['of']} of {n_layouts} layouts")
+    whole = answers.groupBy(layout, case).agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("n"))
+    of = whole.groupBy(layout).agg((F.sum("right") / F.sum("n")).alias("accuracy"), F.avg((F.col("right") == F.col("n")).cast("double")).alias("whole"))
+    by_layout = of.agg(F.count(F.lit(1)).alias("layouts"), F.avg("accuracy").alias("mean_accuracy"), F.min("accuracy").alias("worst_accuracy"), F.min_by(layout, F.struct("accuracy", layout)).alias("worst_layout"), F.avg("whole").alias("mean_whole_cases"))
+    per = layout_stability(answers, [case, field], answer).withColumn("pairs", F.col("layouts") * (F.col("layouts") - 1) / 2)
+    cases = per.groupBy(case).agg(F.bool_and("stable").alias("all"), F.count_if("stable").alias("stable"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("agreement", F.lit(0.0)) * F.col("pairs")).alias("agree"), F.sum("pairs").alias("pairs"))
+    fields = cases.agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("fields"), (F.sum("stable") / F.sum("n")).alias("stable_fields"), F.avg(F.col("all").cast("double")).alias("stable_cases"), F.coalesce(share(F.sum("agree"), F.sum("pairs")), F.lit(1.0)).alias("agreement"))
+    return by_layout.join(fields).filter("cases > 0").select("cases", "fields", "layouts", "mean_accuracy", "worst_accuracy", "worst_layout", "mean_whole_cases", "stable_fields", "stable_cases", "agreement")
+
+
 def unanimous(runs: DataFrame, case: list[str], verdict: str, n: int = 3) -> DataFrame:
     """Per case with exactly `n` runs that all gave a verdict: GOOD if each is YES, else BAD."""
     rows = runs.groupBy(*case).agg(F.count(F.lit(1)).alias("__n"), F.count(verdict).alias("__given"), F.bool_and(F.col(verdict) == "YES").alias("__yes"))

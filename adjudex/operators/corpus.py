@@ -248,11 +248,12 @@ def first_views(views: DataFrame) -> DataFrame:
     return views.filter("view = 0").drop("view", "relation")
 
 
-def disjoint_picks(rows: DataFrame, row_id: str, keys: list[str], rank: Column, blocked: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+def disjoint_picks(rows: DataFrame, row_id: str, keys: list[str], rank: Column, blocked: DataFrame | None = None) -> DataFrame:
     """Rows taken in order of `rank` such that no two share a value of any of `keys`, nor one that `blocked` (`key`) has.
 
     The greedy choice by rounds: a row that is the first of all its keys' rows is taken, rows that share a key with it go, and so on with
-    the rest. That is what one pass in order would take. Each round is three aggregates, and most rows are settled in the first few.
+    the rest. That is what one pass in order would take. Each round is three aggregates; the first of all rows left is taken in each, so
+    it ends, and most rows are settled in the first few.
     """
     tagged = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys]))
     left = saved(rows.select(F.col(row_id).alias("pick"), rank.alias("rank"), F.explode(tagged).alias("key")))
@@ -260,16 +261,12 @@ def disjoint_picks(rows: DataFrame, row_id: str, keys: list[str], rank: Column,
         bad = left.join(blocked.select("key").distinct(), "key", "left_semi").select("pick").distinct()
         left = saved(left.join(bad, "pick", "left_anti"))
     taken = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         firsts = left.groupBy("key").agg(F.min_by("pick", F.struct("rank", "pick")).alias("first"))
         marked = left.join(firsts, "key")
         now = saved(marked.groupBy("pick").agg(F.bool_and(F.col("pick") == F.col("first")).alias("all")).filter("all").select("pick"))
         taken = now if taken is None else taken.unionAll(now)
         gone = left.join(left.join(now, "pick", "left_semi").select("key").distinct(), "key", "left_semi").select("pick").distinct()
         left = saved(left.join(gone, "pick", "left_anti"))
-    if not left.isEmpty():
-        raise RuntimeError(f"picks not settled in {rounds} rounds")
     found = taken if taken is not None else left.select("pick")
     return rows.join(found.select(F.col("pick").alias(row_id)), row_id, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import probability as P
 from .functions import text as X
-from .operators import calibration, metrics, study
+from .operators import answers, calibration, comparison, metrics, study
 from .operators import requests as R
 from .operators import validation as V
 from .queries import _PRED, _predictions
@@ -224,3 +224,26 @@ def macro_comparisons(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").filter("source is not null and lang is not null")
     families = rows.groupBy("lang", "source").agg(F.avg("n_chars").alias("a"), F.avg(F.log1p("n_chars")).alias("b"), F.avg(F.col("n_chars") % 100).alias("c"))
     return study.pairwise_effects(families, "lang", "source", [("a", "b"), ("b", "c"), ("c", "a")], draws=500).select("effect", "estimate", F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@query("""WITH a AS (SELECT user_id AS c, unnest(['value', 'kind']) AS field, l AS layout, unnest([CASE WHEN value * (l + 1) > 60 THEN 'high' ELSE 'low' END, CASE WHEN l = 2 AND event_type = 'click' THEN NULL ELSE event_type END]) AS answer,
+    unnest([CASE WHEN value > 40 THEN 'high' ELSE 'low' END, CASE WHEN user_id % 5 = 0 THEN 'view' ELSE event_type END]) AS expected
+    FROM (SELECT user_id, min_by(value, event_id) AS value, min_by(event_type, event_id) AS event_type FROM events GROUP BY user_id), range(3) r(l)),
+  w AS (SELECT layout, c, sum(coalesce(answer = expected, false)::INTEGER) AS right_, count(*) AS n FROM a GROUP BY layout, c), o AS (SELECT layout, sum(right_) / sum(n) AS accuracy, avg((right_ = n)::INTEGER) AS whole FROM w GROUP BY layout),
+  p AS (SELECT x.c, x.field, bool_and(x.answer IS NOT DISTINCT FROM y.answer) AS stable, sum((x.answer IS NOT DISTINCT FROM y.answer)::INTEGER) AS agree, count(*) AS pairs FROM a x JOIN a y ON x.c = y.c AND x.field = y.field AND x.layout < y.layout GROUP BY x.c, x.field)
+  SELECT (SELECT count(DISTINCT c) FROM a) AS cases, (SELECT count(*) FROM p) AS fields, (SELECT count(*) FROM o) AS layouts, (SELECT avg(accuracy) FROM o) AS mean_accuracy, (SELECT min(accuracy) FROM o) AS worst_accuracy, (SELECT arg_min(layout, (accuracy, layout)) FROM o) AS worst_layout,
+  (SELECT avg(whole) FROM o) AS mean_whole_cases, (SELECT avg(stable::INTEGER) FROM p) AS stable_fields, (SELECT avg(s::INTEGER) FROM (SELECT bool_and(stable) AS s FROM p GROUP BY c)) AS stable_cases, (SELECT sum(agree) / sum(pairs) FROM p) AS agreement""")
+def worst_layout(spark, sf_dir):
+    """Each user's first event judged in three layouts; the SQL makes all pairs of layouts."""
+    first = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", "event_id").alias("value"), F.min_by("event_type", "event_id").alias("event_type"))
+    asked = first.withColumn("layout", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    level = lambda x, of: F.when(x > of, "high").otherwise("low")
+    one = lambda field, answer, expected: F.struct(F.lit(field).alias("field"), answer.alias("answer"), expected.alias("expected"))
+    said = F.when(~((F.col("layout") == 2) & (F.col("event_type") == "click")), F.col("event_type"))
+    both = F.array(one("value", level(F.col("value") * (F.col("layout") + 1), 60), level(F.col("value"), 40)), one("kind", said, F.when(F.col("user_id") % 5 == 0, "view").otherwise(F.col("event_type"))))
+    return comparison.layout_report(asked.select("user_id", "layout", F.inline(both)), "user_id", "field", "layout", "answer", "expected")
+
+
+@query("SELECT sha256(text) AS request, doc_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AND text IS NOT NULL AS first FROM documents")
+def cases_of_requests(spark, sf_dir):
+    return answers.cases_of_requests(read(spark, sf_dir, "documents"), "text", "doc_id")

@@ -34,12 +34,18 @@ def csv_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def _shown(df: DataFrame, most: int) -> tuple[list, str | None]:
+    """The first `most` rows, and what to say of those left out."""
+    rows = df.limit(most + 1).collect()
+    return rows[:most], f"{df.count() - most} more rows" if len(rows) > most else None
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report of `most` rows at most as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A report of `most` rows at most as a Markdown table; a line below says how many are left out, if any."""
+    rows, left_out = _shown(df, most)
     cell = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+    return "\n".join([*head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), *(["", left_out] if left_out else [])])
 
 
 def replace_text(spark: SparkSession, text: str, path: str) -> None:
@@ -57,13 +63,14 @@ def replace_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def html_report(tables: dict[str, DataFrame], title: str, most: int = 1000) -> str:
-    """A report of small tables, `most` rows of each at most, as one page of HTML."""
+    """A report of small tables, `most` rows of each at most, as one page of HTML; a line below a table says how many rows are left out, if any."""
     cell = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else html.escape(str(v))
     row = lambda tag, values: "<tr>" + "".join(f"<{tag}>{v}</{tag}>" for v in values) + "</tr>"
     parts = [f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
-        rows = [row("td", map(cell, r)) for r in df.limit(most).collect()]
-        parts += [f"<h2>{html.escape(name)}</h2><table>", row("th", map(html.escape, df.columns)), *rows, "</table>"]
+        found, left_out = _shown(df, most)
+        rows = [row("td", map(cell, r)) for r in found]
+        parts += [f"<h2>{html.escape(name)}</h2><table>", row("th", map(html.escape, df.columns)), *rows, "</table>", *([f"<p>{left_out}</p>"] if left_out else [])]
     return "\n".join([*parts, "</body></html>"])
 
 

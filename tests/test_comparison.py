@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from adjudex.operators import comparison, corpus, metrics
@@ -55,3 +56,16 @@ def test_eligibility_and_picks(spark):
 def test_unknown_rates_of_nothing(spark):
     p = spark.createDataFrame([("s", "Unknown", None), ("t", "a", "b")], "g string, expected string, predicted string")
     assert rows(metrics.unknown_rates(p, ["g"])) == [("s", 1, 1, 0, 0, 0.0, None), ("t", 1, 0, 0, 0, None, None)]
+
+
+def test_layout_report_needs_every_answer_once(spark):
+    schema = "c int, f string, k string, said string, gold string"
+    report = lambda rows: comparison.layout_report(spark.createDataFrame(rows, schema), "c", "f", "k", "said", "gold")
+    rows = [(c, f, k, None if c == 0 and k == "l1" else "x", "x") for c in range(4) for f in "pq" for k in ("l1", "l2")]
+    got = report(rows).first()
+    assert (got["cases"], got["fields"], got["layouts"], got["worst_layout"], got["worst_accuracy"]) == (4, 8, 2, "l1", 0.75)
+    assert (got["mean_accuracy"], got["mean_whole_cases"], got["stable_fields"], got["stable_cases"], got["agreement"]) == (0.875, 0.875, 0.75, 0.75, 0.75)
+    assert report([r for r in rows if r[2] == "l1"]).first()["agreement"] == 1 and report([]).count() == 0
+    for wrong in (rows[1:], [*rows, rows[0]]):
+        with pytest.raises(ValueError, match="layouts"):
+            report(wrong)

@@ -66,3 +66,23 @@ def test_text_samples_and_locks(spark, tmp_path):
 def test_article_candidates(spark):
     rows = spark.createDataFrame([("h", f"u{i % 4}", 7000 if i % 4 != 1 else 10, i) for i in range(12)] + [("h", "tag/x", 7000, 0)], "host string, url string, length int, place int")
     assert sorted(r["url"] for r in S.article_candidates(rows, "^tag/", limit=2).collect()) == ["u0", "u2"]
+
+
+def test_reports_say_what_they_leave_out(spark):
+    from adjudex.sources import writers as W
+
+    df = spark.range(12).toDF("n")
+    assert W.markdown(df, 5).endswith("| 4 |\n\n7 more rows") and "more rows" not in W.markdown(df, 12)
+    page = W.html_report({"t": df}, "r", 10)
+    assert "<td>9</td>" in page and "<td>10</td>" not in page and "<p>2 more rows</p>" in page
+
+
+def test_appended_lines_and_csv_reports(spark, tmp_path):
+    from adjudex.sources import writers as W
+
+    for i in range(2):
+        W.append(spark.createDataFrame([(i, "é")], "i int, s string"), str(tmp_path / "a"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "a")).collect())) == [(0, "é"), (1, "é")]
+    W.csv_report(spark.createDataFrame([(1, None), (2, ""), (3, 'x,"y"')], "i int, s string"), str(tmp_path / "c"))
+    (part,) = (p for p in (tmp_path / "c").iterdir() if p.suffix == ".csv")
+    assert part.read_text().split("\n") == ["i,s", "1,", "2,", '3,"x,\\"y\\""', ""]
