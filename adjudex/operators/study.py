@@ -204,7 +204,7 @@ def schedule(pools: DataFrame, steps: int, seed: int = 42) -> DataFrame:
     sizes = pools.groupBy(*stream).agg(F.count(F.lit(1)).alias("size"))
     w = Window.partitionBy("origin", "primitive")
     turns = sizes.withColumns({"at": F.row_number().over(w.orderBy("source")) - 1, "of": F.count(F.lit(1)).over(w)}).withColumn("uses", F.ceil((steps - F.col("at")) / F.col("of"))).filter("uses > 0")
-    rows = pools.select(*stream, "id").join(F.broadcast(turns), stream)
+    rows = pools.select(*stream, "id").join(turns, stream)
     rows = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.ceil(F.col("uses") / F.col("size")).cast("int") - 1)))
     order = F.sha2(F.concat_ws("/", F.lit(str(seed)), *stream, "cycle", "id"), 256)
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(*stream, "cycle").orderBy(order)) - 1).filter(F.col("r") < steps)
