@@ -116,7 +116,7 @@ def search(
     accumulators are few. An owner's lists lie by shard and term and hold what a term adds to each document. Items go in bundles,
     one for each shard, from owner to owner: a stage cogroups them with that owner's lists and adds; the last keeps a shard's k best.
     So a group is `shard_docs` by `bundle` numbers at most, a word that all documents hold is in as many lists as there are shards, and
-    no count is left out. The items' terms are broadcast up to `vocabulary_bytes`, and joined beyond, with the same rows.
+    no count is left out. The items' terms, and which items ask for them, are broadcast up to `vocabulary_bytes` each, and joined beyond, with the same rows.
 
     Null or empty text: no terms, never found; as an item no rows. Rows of one item_id count as one item with all their terms, those
     with a null id among them. Documents of one doc_id each take a rank; a null doc_id stands last among equals. Other columns are not read.
@@ -137,6 +137,7 @@ def search(
         vocabulary, known = names.withColumn("term", F.col("name")), None
     wanted = asked.alias("a").join(numbers.alias("b"), null_safe).join(vocabulary, "name").withColumn("bundle", F.pmod(F.xxhash64("item"), F.lit(bundles)).cast("int"))
     wanted = saved(wanted.groupBy("term", "bundle").agg(F.collect_list("item").alias("items")), "wanted")
+    few = small and (wanted.agg(F.sum(8 * F.size("items") + 64).alias("bytes")).first()["bytes"] or 0) <= vocabulary_bytes
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"n long, terms array<{'int' if small else 'string'}>, times array<int>")])
@@ -159,7 +160,7 @@ def search(
     postings = placed.select("shard", "place", "m", F.explode(F.arrays_zip("terms", "times")).alias("x")).select("shard", "place", "m", F.col("x.terms").alias("term"), F.col("x.times").cast("long").alias("tf"))
     adds = F.expr("w * ((1000000000 * tf) div (1000 * tf + 20 * m))")
     lists = postings.repartition("shard").join(F.broadcast(weights) if small else weights, "term").groupBy("shard", "owner", "term").agg(F.collect_list(F.struct("place", adds.alias("adds"))).alias("x"))
-    lists = saved(lists.join(F.broadcast(wanted) if small else wanted, "term").select("shard", "bundle", "owner", "items", F.col("x.place").alias("docs"), F.col("x.adds").alias("adds")), "lists", by=("owner",))
+    lists = saved(lists.join(F.broadcast(wanted) if few else wanted, "term").select("shard", "bundle", "owner", "items", F.col("x.place").alias("docs"), F.col("x.adds").alias("adds")), "lists", by=("owner",))
 
     bundles_ = spark.createDataFrame([], _ACCUMULATORS)
     for owner in range(owners):
