@@ -37,7 +37,7 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_docs": 7, "bundle": 2, "owners": 3}, {"shard_docs": 16, "bundle": 3, "vocabulary_bytes": 0}, {"owners": 1}])
+@pytest.mark.parametrize("options", [{}, {"shard_docs": 7, "bundle": 2, "owners": 3}, {"shard_docs": 16, "bundle": 3, "vocabulary_bytes": 0}, {"owners": 1, "bundle": 1, "vocabulary_bytes": 1200}])
 def test_search_equals_brute_force(spark, options):
     rng = random.Random(7)
     words = ["The", "of", "é-t", "x1", "Ab", "rare", "seldom", "東京", "mid", "zeta"]
