@@ -68,19 +68,21 @@ BINS_SIDE = 32
 
 
 def bin_bounds(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """`by` and an array `name` of bounds that part each group's rows into BINS_SIDE^2 bins of like numbers, however values are spread.
+    """`by` and bounds `name` that part each group's rows into BINS_SIDE^2 bins of like numbers, however values are spread: `fine` all, `coarse` every BINS_SIDE-th.
 
     They come from a quantile sketch, which tasks make of their rows and merge, to a tenth of a bin.
     """
     bins = BINS_SIDE * BINS_SIDE
-    return rows.groupBy(*by).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10 * bins).alias(name))
+    fine = rows.groupBy(*by).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10 * bins).alias(name))
+    coarse = F.filter(name, lambda b, i: i % BINS_SIDE == BINS_SIDE - 1)
+    return fine.withColumn(name, F.struct(coarse.alias("coarse"), F.col(name).alias("fine")))
 
 
 def bin_of(value: Column, bounds: Column) -> Column:
-    """How many of `bounds` a value reaches: found among every BINS_SIDE-th of them, then among those after it. Null bounds or value: 0."""
+    """How many of `bounds` a value reaches: found among the coarse ones, then among those after it. Null bounds or value: 0."""
     reached = lambda some: F.coalesce(F.greatest(F.size(F.filter(some, lambda b: b <= value)), F.lit(0)), F.lit(0))
-    coarse = reached(F.filter(bounds, lambda b, i: i % BINS_SIDE == BINS_SIDE - 1)) * BINS_SIDE
-    return (coarse + reached(F.slice(bounds, coarse + 1, F.lit(BINS_SIDE - 1)))).cast("int")
+    coarse = reached(bounds["coarse"]) * BINS_SIDE
+    return (coarse + reached(F.slice(bounds["fine"], coarse + 1, F.lit(BINS_SIDE - 1)))).cast("int")
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], spread: bool = True) -> DataFrame:
