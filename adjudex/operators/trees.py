@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,9 +91,36 @@ def _outline(whole, inside: str, label: str) -> dict:
     return {"kind": kind_of(whole), "members": tops, "found": found, "strays": strays}
 
 
-@F.udf(returnType=LEAVES, useArrow=True)
-def tree_leaves(text: str):
+#: Plain values that `tree_leaves` holds at once, those of one text aside.
+LEAVES_AT_ONCE = 1 << 15
+_LEAF = [("place", pa.int32()), *[(n, pa.string()) for n in ("path", "role", "kind", "value")]]
+_LEAVES = pa.list_(pa.struct(_LEAF))
+
+
+def leaf_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The plain values of texts, a list for each, in arrays that end where LEAVES_AT_ONCE values are reached."""
+    for texts in batches:
+        held, size = [], 0
+        for text in texts:
+            held.append(leaves := _leaves(text.as_py()))
+            size += len(leaves or ())
+            if size >= LEAVES_AT_ONCE:
+                yield pa.array(held, _LEAVES)
+                held, size = [], 0
+        if held:
+            yield pa.array(held, _LEAVES)
+
+
+@F.arrow_udf(returnType=LEAVES)
+def tree_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """All plain values and empty containers of a JSON text, by sorted keys: `place` from 0, `path`, `role` (the last key on the path), `kind`, `value` (strings as they are). Null for no JSON."""
+    yield from leaf_batches(batches)
+
+
+tree_leaves = tree_leaves.asNondeterministic()  # else a filter on its result runs it once more
+
+
+def _leaves(text: str | None) -> list[dict] | None:
     try:
         todo = [((), None, parsed(text))]
     except ValueError:

@@ -59,7 +59,7 @@ def _spark_sql(sql: str) -> str:
 
 
 def _records(spark, sf_dir):
-    """Each user's events as one record of nested lists."""
+    """Each user's events as one record of nested lists, in order of events."""
     events = read(spark, sf_dir, "events").withColumn("j", F.expr("event_id div 8"))
     rows = events.select("user_id", "event_id", *[F.expr(_spark_sql(v)).alias(k) for k, v in _REPORT.items()])
     fields = {
@@ -68,7 +68,8 @@ def _records(spark, sf_dir):
         "corroborations": ((5,), "actor operation target run_id time source verified outcome"), "items": ((6,), "id status verified"), "state_events": ((7,), "target time source verified active"),
     }
     rows = rows.withColumn("id", F.col("item"))
-    lists = [F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct(*names.split()))).alias(k) for k, (kinds, names) in fields.items()]
+    in_turn = lambda held: F.transform(F.array_sort(held), lambda x: x["report"])
+    lists = [in_turn(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("event_id", F.struct(*names.split()).alias("report"))))).alias(k) for k, (kinds, names) in fields.items()]
     asked = {k: F.expr(_spark_sql(v)) for k, v in _ASKED.items()}
     records = rows.groupBy("user_id").agg(*lists, *[asked[k].alias(k) for k in ("win_start", "win_end", "asked", "measurement")])
     question = F.struct(*[asked[k].alias(k) for k in ("actor", "operation", "target", "run_id")])

@@ -200,6 +200,30 @@ def test_signatures_of_speakers_and_sources(spark):
     assert len(set(got[:3])) == 1 and len(set(got)) == 1 + len(other)
 
 
+def test_leaves_come_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from adjudex.operators import trees
+
+    monkeypatch.setattr(trees, "LEAVES_AT_ONCE", 10)
+    texts = [json.dumps({"a": list(range(i % 7)), "b": None}) for i in range(100)] + ["no json", None, "3"]
+    got = list(trees.leaf_batches(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts[:1])])))
+    sizes = [sum(len(x or ()) for x in batch.to_pylist()) for batch in got]
+    assert max(sizes) < 10 + 8 and sum(map(len, got)) == len(texts) + 1
+    rows = [x for batch in got for x in batch.to_pylist()]
+    assert rows[100:102] == [None, None] and [[leaf["value"] for leaf in x] for x in rows[:4]] == [["[]", "null"], ["0", "null"], ["0", "1", "null"], ["0", "1", "2", "null"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    assert {r["i"]: r["n"] for r in df.select("i", trees.F.size(trees.tree_leaves("t")).alias("n")).collect()} == {i: None if x is None else len(x) for i, x in enumerate(rows[:-1])}
+
+
+def test_signatures_take_records_apart_in_one_pass(spark):
+    from adjudex.operators.records import semantic_signatures
+
+    df = spark.createDataFrame([("{}", "[]")], "r string, p string")
+    plan = semantic_signatures(df, "r", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tree_leaves") == 1
+
+
 def test_disguised_records_come_back(spark):
     df = spark.createDataFrame([((3.0, [1.0, 5.0], [("ann", 2)], "x"),), ((None, None, [None, (None, None)], None),), (None,)], "r struct<time:double,window:array<double>,who:array<struct<name:string,n:int>>,other:string>")
     how = dict(aliases={"ann": "bob"}, scale=4.0, offset=-1.0)
