@@ -371,6 +371,20 @@ def paired_schedule(pools: DataFrame, steps: int, seed: int = 42, origins: tuple
     return rows.select("step", F.element_at(slots, F.concat_ws("/", "origin", "primitive")).alias("slot"), *stream, "id")
 
 
+def one_field_groups(records: DataFrame, record: str, fields: list[str]) -> DataFrame:
+    """(`field`, `group`, `value`, `record`): each record under the digest of all its fields but one, for each field. Records alike in all fields are one, the smallest `record`. Null is a value."""
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    each = records.groupBy(*fields).agg(F.min(record).alias("record"))
+    keys = [F.struct(F.lit(f).alias("field"), F.unhex(F.sha2(F.concat_ws("\x1f", *[text(c) for c in fields if c != f]), 256)).alias("group"), F.col(f).cast("string").alias("value")) for f in fields]
+    return each.select("record", F.inline(F.array(*keys))).select("field", "group", "value", "record")
+
+
+def one_field_partners(records: DataFrame, record: str, fields: list[str]) -> DataFrame:
+    """(`field`, `record`, `partners`): how many records differ from a record in this field alone, where there are some. Each group is sorted out once; records count as in `one_field_apart`."""
+    among = F.count(F.lit(1)).over(Window.partitionBy("field", "group"))
+    return one_field_groups(records, record, fields).select("field", "record", (among - 1).alias("partners")).filter("partners > 0")
+
+
 def one_field_apart(records: DataFrame, record: str, fields: list[str]) -> DataFrame:
     """Records that agree in all `fields` but one: (`field`, `group`, `value`, `record`, `next`, `next_value`), `next` the record with the next value of that field.
 
@@ -378,10 +392,7 @@ def one_field_apart(records: DataFrame, record: str, fields: list[str]) -> DataF
     and no family is joined with itself. Records alike in all fields are one, the smallest `record`. A group of n has n - 1 links from value to value, from
     which every pair of it follows; groups of one are left out. Null is a value, before all others.
     """
-    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    each = records.groupBy(*fields).agg(F.min(record).alias("record"))
-    keys = [F.struct(F.lit(f).alias("field"), F.sha2(F.concat_ws("\x1f", *[text(c) for c in fields if c != f]), 256).alias("group"), F.col(f).cast("string").alias("value")) for f in fields]
-    met = each.select("record", F.inline(F.array(*keys)))
+    met = one_field_groups(records, record, fields).withColumn("group", F.lower(F.hex("group")))
     w = Window.partitionBy("field", "group").orderBy(F.col("value").asc_nulls_first())
     linked = met.withColumns({"next": F.lead("record").over(w), "next_value": F.lead("value").over(w)})
     return linked.filter("next is not null").select("field", "group", "value", "record", "next", "next_value")

@@ -190,6 +190,14 @@ def test_records_that_differ_in_one_field(spark):
     assert study.one_field_apart(spark.createDataFrame([], "id int, a string, b string"), "id", ["a", "b"]).count() == 0
 
 
+def test_partners_in_one_field_take_one_exchange_of_groups(spark):
+    records = [(1, "x", "p", None), (2, "x", "p", "n"), (3, "y", "p", None), (4, "x", "p", None), (5, "z", "q", "n"), (6, "y", "p", "n"), (7, "z", "p", None)]
+    got = study.one_field_partners(spark.createDataFrame(records, "id int, a string, b string, c string"), "id", ["a", "b", "c"])
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 2), ("a", 2, 1), ("a", 3, 2), ("a", 6, 1), ("a", 7, 2), ("c", 1, 1), ("c", 2, 1), ("c", 3, 1), ("c", 6, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_block_counts_are_one_multinomial_draw():
     import numpy as np
 
